@@ -85,6 +85,7 @@ class Bpe(dict):
         self._left: dict[int, list[tuple[int, int]]] = {}
         self._right: dict[int, list[tuple[int, int]]] = {}
         self._fits: dict[tuple[int, int], bool] = {}
+        self.older: dict[str, bytes] = {}
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The parts of a token that touch its left (0) or right (1) edge, each with the rank at which it becomes part of more."""
@@ -121,6 +122,17 @@ class Bpe(dict):
     def encode_piece(self, piece: str) -> list[int]:
         """The ids of one piece: longest matches first, stepping back to shorter ones where neighbours don't fit."""
         text = piece.encode().decode("latin-1")
+        # the leftmost longest matches are the first path to try, and mostly the last
+        path = [token for _, (token, _) in self.match.iter_long(text)]
+        known, before = self._fits, -1
+        for token in path:
+            if before >= 0:
+                ok = known.get((before, token))
+                if not (self.fits(before, token) if ok is None else ok):
+                    break
+            before = token
+        else:
+            return path
         n = len(text)
         starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for end, (token, size) in self.match.iter(text):
@@ -150,15 +162,24 @@ class Bpe(dict):
         return out
 
     def __missing__(self, piece: str) -> bytes:
+        packed = self.older.get(piece)
+        if packed is not None:
+            self._keep(piece, packed)
+            return packed
         if not piece.isascii() and self.newer is not None and self.newer.search(piece):
             raise _Newer
         packed = np.array(self.encode_piece(piece), "<u4").tobytes()
         if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHE:
-                self.clear()
-            self[piece] = packed
+            self._keep(piece, packed)
         return packed
 
+    def _keep(self, piece: str, packed: bytes) -> None:
+        """Two generations: pieces that are asked for again outlive the change."""
+        if len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = packed
+
     def _packed(self, text: str) -> bytes:
         try:
             return b"".join(map(self.__getitem__, self.pieces.findall(text)))
