@@ -13,9 +13,11 @@ from quire.llm.common import counter, mix, ranges, shingle_sets, signed, stage,
 
 #: 32 bands of 4: at a similarity of 0.8 a pair shares no band with probability (1 - 0.8^4)^32 < 5e-8.
 BANDS, ROWS = 32, 4
-#: Two bits of each register, compared before full sets are: registers that differ also differ in 1 bit on average, so a
-#: pair of similarity 0.8 has 26 differing bits on average (standard deviation 6); 7 deviations more pass.
-SKETCH_BITS = 66
+#: Two bits of every register are compared before full sets are: registers that differ, differ in 1 of them on average, so of
+#: 256 bits a pair of similarity 0.8 differs in 26 on average (standard deviation 5.8); 5 deviations more pass.
+SKETCH_BITS = 55
+#: Bits of a set's bitmap.
+BITMAP = 2048
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = counter(512, 53)
 
@@ -91,6 +93,26 @@ def _sets(width: int):
     return run
 
 
+def _bitmaps(width: int):
+    """(id, bits): a bitmap with a bit set for each hash of the shingle set.
+
+    Bits in which two bitmaps differ are at most the shingles in which the sets do, so they bound the similarity from above.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            for a, b in ranges(offsets):
+                made = np.zeros((b - a, BITMAP), np.uint8)
+                for row, s in zip(made, shingle_sets(data, offsets[a : b + 1], width), strict=True):
+                    row[(s >> np.uint64(40)) % np.uint64(BITMAP)] = 1
+                words = np.packbits(made, axis=1).view(np.int64).reshape(-1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, BITMAP // 64, dtype=np.int32)), pa.array(words))
+                yield pa.record_batch([batch.column(0)[a:b], lists], names=["id", "bits"])
+
+    return run
+
+
 def _verify(percent: int):
     """Keeps the pairs with 100 * intersection >= percent * union."""
 
@@ -172,40 +194,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id count as one document and are all returned.  An empty table gives an empty result.
 
     Documents with equal sets form a class, represented by its smallest id, so copies never pair with each other.  Each
-    band bucket first links all its classes to its smallest one; only buckets that then still hold different components
-    go on to compare classes across those components, so no link between different components is lost, and a bucket
-    of near copies costs pairs in proportion to its size.
+    band bucket first links all its classes to the one that meets most others; only buckets that then still hold
+    different components go on to compare classes across those components (bits of the signatures first, then full
+    sets), so no link between different components is lost, and most buckets cost pairs in proportion to their size.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sigs = stage(source.mapInArrow(_signatures(width, bands, rows), _SIGNED), "signatures")
     classes = sigs.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     reps = sigs.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    members = stage(reps.select("doc_id", "n", "sketch", F.explode("bands").alias("band")), "members")
-    buckets = stage(members.groupBy("band").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "a"), "buckets")
-    shared = stage(members.join(buckets, "band"), "shared")
+    members = stage(reps.select("doc_id", "n", F.explode("bands").alias("band")), "members")
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = stage(members.join(sizes, "band"), "shared")
     unstage(members)
-    sizes = shared.select(F.col("doc_id").alias("a"), F.col("n").alias("na")).distinct()
+    # the class that meets the most others is nearest to what a bucket's classes were copied from
+    met = shared.groupBy("doc_id").agg(F.sum("size").alias("met"))
+    center = F.max(F.struct(F.col("met"), (-F.col("doc_id")).alias("id"), F.col("n").alias("na"))).alias("c")
+    buckets = stage(shared.join(met, "doc_id").groupBy("band").agg(center).select("band", (-F.col("c.id")).alias("a"), F.col("c.na").alias("na")), "buckets")
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    star = shared.where("doc_id <> a").select("a", F.col("doc_id").alias("b"), "n").distinct().join(sizes, "a").where(fits(F.col("n"), F.col("na"))).select("a", "b")
+    near = stage(shared.join(buckets, "band").where(F.col("doc_id") != F.col("a")).select("a", "na", "doc_id", "n").distinct(), "near")
+    for t in (shared, buckets):
+        unstage(t)
+    star = near.where(fits(F.col("n"), F.col("na"))).select("a", F.col("doc_id").alias("b"))
     first = _linked(stage(star, "pairs"), source, width, percent)
     grouped = components(first)
     comp = F.coalesce("component", "doc_id").alias("comp")
-    labelled = shared.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n", "sketch", "a", comp)
-    mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    across = stage(labelled.join(mixed, "band", "left_semi"), "across")
-    x, y = across.alias("x"), across.alias("y")
-    differ = sum((F.bit_count(F.col("x.sketch")[k].bitwiseXOR(F.col("y.sketch")[k])) for k in range(bands * rows // 32)), F.lit(0))
-    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp"))
-    close = fits(F.col("x.n"), F.col("y.n")) & (differ <= SKETCH_BITS * bands * rows // 128)
-    # pairs with the bucket's smallest class have been compared
-    new = met & close & (F.col("x.doc_id") != F.col("x.a"))
-    rest = stage(x.join(y, new).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "pairs")
+    labelled = near.select("a", "doc_id", "n").join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("a", "doc_id", "n", comp)
+    mixed = labelled.groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("a")
+    # the center has been compared with all the others
+    across = stage(labelled.join(mixed, "a", "left_semi").join(reps.select("doc_id", "sketch"), "doc_id"), "across")
+    bitmaps = source.join(across.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_bitmaps(width), "id long, bits array<long>").dropDuplicates(["id"])
+    sides = stage(across.join(bitmaps, F.col("doc_id") == F.col("id")).drop("id"), "sides")
+    unstage(across)
+    x, y = sides.alias("x"), sides.alias("y")
+    differ = lambda c, k: sum((F.bit_count(F.col(f"x.{c}")[i].bitwiseXOR(F.col(f"y.{c}")[i])) for i in range(k)), F.lit(0))
+    apart = (F.col("x.a") == F.col("y.a")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp"))
+    close = fits(F.col("x.n"), F.col("y.n")) & (differ("sketch", bands * rows // 32) <= SKETCH_BITS * bands * rows // 128)
+    # sets of sizes x, y with 100 * intersection >= p * union differ in (100 - p) / (100 + p) * (x + y) shingles at most
+    close &= differ("bits", BITMAP // 64) * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    rest = stage(x.join(y, apart & close).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "pairs")
     second = _linked(rest, source, width, percent)
     if second.isEmpty():
         final = grouped
     else:
         final = components(first.unionByName(second))
-    for t in (shared, buckets, across):
+    for t in (near, sides):
         unstage(t)
     # the classes that have copies or links; every other document is its own component
     known = (
