@@ -27,7 +27,8 @@ def zone_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _blocks(spark, sf_dir).withColumn("height", F.col("y1") - F.col("y0") - F.when(F.length("text") < 20, 12).otherwise(0))
-    return L.positive_percentiles(rows, PAGE, "height", 0.35, 0.5)
+    out = L.positive_percentiles(rows, PAGE, "height", 0.35, 0.5)
+    return out.withColumns({c: F.round(c, 6) for c in ("p35", "p50")})
 
 
 def body_font_target(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +122,7 @@ SQL = {
         SELECT item_id, layout_mode, layout_zone, CASE WHEN layout_zone = 'non_flow' THEN -1 ELSE k END AS layout_zone_rank, CASE WHEN layout_zone = 'non_flow' THEN 0 ELSE n END AS layout_zone_size,
                CASE WHEN layout_zone = 'non_flow' THEN '' WHEN n = 1 THEN 'single' WHEN k = 0 THEN 'head' WHEN k = n - 1 THEN 'tail' ELSE 'middle' END AS layout_boundary_role FROM r""",
     "page_baselines": f"""WITH {ITEMS_SQL}, h AS (SELECT doc_id, page_idx, (y1 - y0 - CASE WHEN length(text) < 20 THEN 12 ELSE 0 END)::DOUBLE AS h FROM items)
-        SELECT doc_id, page_idx, quantile_cont(h, 0.35) FILTER (h > 0) AS p35, quantile_cont(h, 0.5) FILTER (h > 0) AS p50, count(*) FILTER (h > 0) AS n_positive FROM h GROUP BY ALL""",
+        SELECT doc_id, page_idx, round(quantile_cont(h, 0.35) FILTER (h > 0), 6) AS p35, round(quantile_cont(h, 0.5) FILTER (h > 0), 6) AS p50, count(*) FILTER (h > 0) AS n_positive FROM h GROUP BY ALL""",
     "body_font_target": f"""WITH {ITEMS_SQL}, s AS (SELECT doc_id, round((length(text) % 50) / 4 + 3, 2) AS font FROM items), m AS (SELECT doc_id, quantile_cont(font, 0.5) AS m FROM s GROUP BY 1),
         o AS (SELECT s.*, font >= m * 0.6 AS ok FROM s JOIN m USING (doc_id)), c AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY doc_id) AS c FROM o), k AS (SELECT doc_id, font FROM c WHERE ok OR c < 3),
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY font) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM k)
