@@ -35,7 +35,7 @@ def exact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedupe_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     deduped = C.dedupe(_items(spark, sf_dir), "sig", ["item_id"])
-    results = deduped.where("rep_id = item_id").select("item_id", F.upper("text").alias("result"))
+    results = deduped.where("rep_id = item_id").select("item_id", F.left("text", F.lit(40)).alias("result"))
     return C.fan_out(deduped, results)
 
 
@@ -129,7 +129,10 @@ _QUEUED = f"""{_SIG}, queued AS (SELECT *, CASE WHEN layout_role <> 'title' AND
     WHEN length(text) > 900 THEN 'single_slow' ELSE 'single_fast' END AS queue FROM sig WHERE trim(text) <> '')"""
 _G = f"g AS (SELECT * FROM {_values([g for g in GLOSSARY if g[2]], 'v')})"
 _KEY = "lower(trim(source))"
-_TERMS = f"""WITH {LINES_SQL}, {_G}, m AS (SELECT doc_id, line_no, unnest(range(len(r))) AS k_, unnest(r) AS raw FROM (SELECT doc_id, line_no, regexp_extract_all(text, {q(C.TECH_TERM)}) AS r FROM lines)),
+#: RE2 knows no Unicode word edges: separators are doubled, so that a match can take one on either side.
+_DOUBLED = "regexp_replace(text, '([^\\p{L}\\p{N}_])', '\\1\\1', 'g')"
+_TERM = r"(?:^|[^\p{L}\p{N}_])([A-Z][a-z]+(?:--[A-Z][A-Za-z0-9]+)+|[A-Z]{2,}(?:(?:--|_|//)[A-Za-z0-9]+)+|[A-Za-z]+[0-9][A-Za-z0-9]*(?:(?:--|_|//)[A-Za-z0-9]+)*|[A-Z]{2,}[a-z]*)(?:$|[^\p{L}\p{N}_])"
+_TERMS = f"""WITH {LINES_SQL}, {_G}, m AS (SELECT doc_id, line_no, unnest(range(len(r))) AS k_, unnest(r) AS raw FROM (SELECT doc_id, line_no, list_transform(regexp_extract_all({_DOUBLED}, {q(_TERM)}, 1), lambda x: replace(replace(x, '--', '-'), '//', '/')) AS r FROM lines)),
     t AS (SELECT *, trim(raw, {q(C.TRIM_CHARS)}) AS term FROM m),
     k AS (SELECT *, lower(term) AS key FROM t WHERE length(term) >= 2 AND upper(term) NOT IN ({', '.join(map(q, C.COMMON_WORDS))})
           AND CASE WHEN {s_has("term", "[-_/]")} OR {s_has("term", chr(92) + "d")} THEN {s_has("term", chr(92) + "p{L}")} ELSE upper(term) = term AND {s_has("term", chr(92) + "p{L}")} AND length(term) <= 12 END),
@@ -142,7 +145,7 @@ _MEMORY = f"""{LINES_SQL}, o AS (SELECT d.source AS job, regexp_extract(l.text,
 
 SQL = {
     "exact_dedupe": f"WITH {_SIG} SELECT item_id, rep_id, rep_id = item_id AS is_unique FROM rep",
-    "dedupe_fanout": f"WITH {_SIG} SELECT r.item_id, r.rep_id, upper(f.text) AS result FROM rep r JOIN items f ON f.item_id = r.rep_id",
+    "dedupe_fanout": f"WITH {_SIG} SELECT r.item_id, r.rep_id, left(f.text, 40) AS result FROM rep r JOIN items f ON f.item_id = r.rep_id",
     "cache_split": f"""WITH {LINES_SQL}, k AS (SELECT doc_id, {s_norm("text")} AS t FROM lines), c AS (SELECT DISTINCT t FROM k WHERE doc_id % 5 = 0)
         SELECT doc_id, count(c.t) AS hits, count(*) - count(c.t) AS misses FROM k LEFT JOIN c USING (t) GROUP BY 1""",
     "queue_split": f"WITH {_QUEUED} SELECT queue, count(*) AS n, sum(length(text))::BIGINT AS chars FROM queued GROUP BY 1",

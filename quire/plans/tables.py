@@ -66,6 +66,11 @@ def box(prefix: str = "") -> F.Column:
     return G.rect(*[F.col(f"{prefix}{c}") for c in ("x0", "y0", "x1", "y1")])
 
 
+def wall_ms(ts: F.Column) -> F.Column:
+    """Milliseconds of a time without zone, whatever the session's zone."""
+    return F.unix_millis(F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
+
+
 # --- SQL snippets --------------------------------------------------------------
 
 
