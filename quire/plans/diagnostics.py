@@ -97,7 +97,7 @@ QUERIES = {
 }
 
 _RUNS = """runs AS (
-    SELECT event_id, user_id, event_type AS stage, epoch_ms(ts) AS ts_ms, k, floor(value * 300)::BIGINT AS latency_ms, event_type <> 'error' AS success,
+    SELECT event_id, user_id, event_type AS stage, epoch_us(ts) // 1000 AS ts_ms, k, floor(value * 300)::BIGINT AS latency_ms, event_type <> 'error' AS success,
            CASE k % 7 WHEN 0 THEN 'ReadTimeout' WHEN 1 THEN 'ValueError' ELSE '' END AS error_class, CASE WHEN k % 3 = 0 THEN 500 + k % 5 END AS status_code, k % 4 + 1 AS attempt,
            CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'kept_origin' WHEN 'signup' THEN 'partially_translated' ELSE 'translated' END AS item_status,
            k % 2 = 0 AS has_text, CASE k % 6 WHEN 0 THEN 'fast_path_keep_origin' WHEN 1 THEN '' ELSE 'single_item' END AS route2
