@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -74,6 +74,58 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+# --- blocked Bloom filters, with DataFrame functions only ----------------------
+
+#: Cells in a block: what one bitmap of Spark's bitmap functions holds (4 KB).
+BLOCK = 32768
+PROBES = 2
+
+
+def _probe(h: Column, k: int) -> Column:
+    """The k-th cell of a hash in its block."""
+    return F.shiftrightunsigned(h, 15 * k).bitwiseAND(F.lit(BLOCK - 1)).cast("int")
+
+
+def _block(h: Column, blocks: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(h, 32), F.lit(blocks)).cast("int")
+
+
+def filter_blocks(n: int, cells_per_row: int = 16, max_blocks: int = 16384) -> int:
+    """Blocks for n keys, under a fixed bound: beyond it a filter passes more than it need, but never less."""
+    return min(max_blocks, n * cells_per_row // BLOCK + 1)
+
+
+def filter_cells(keys: DataFrame, blocks: int) -> DataFrame:
+    """The cells (__q_block, __q_cell) of each key's hash __q_h; one row per distinct cell of a key."""
+    h = F.col("__q_h")
+    return keys.select(_block(h, blocks).alias("__q_block"), F.explode(F.array_distinct(F.array(*[_probe(h, k) for k in range(PROBES)]))).alias("__q_cell"))
+
+
+def filter_bitmaps(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("__q_block").agg(F.bitmap_construct_agg(F.col("__q_cell").cast("long")).alias("__q_bits"))
+
+
+def filter_test(rows: DataFrame, bitmaps: DataFrame, blocks: int, out: str) -> DataFrame:
+    """rows (with __q_h) plus ``out``: false only where the key is certainly not in the filter.
+
+    Broadcast are at most ``max_blocks`` bitmaps of 4 KB: a bound that does not grow with the data.
+    """
+    tested = rows.withColumn("__q_block", _block(F.col("__q_h"), blocks)).join(F.broadcast(bitmaps), "__q_block", "left")
+    hit = F.lit(True)
+    for k in range(PROBES):
+        cell = _probe(F.col("__q_h"), k)
+        byte = F.conv(F.hex(F.substring("__q_bits", F.shiftright(cell, 3) + 1, F.lit(1))), 16, 10).cast("int")
+        hit &= byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), cell.bitwiseAND(F.lit(7)))) != 0
+    return tested.withColumn(out, F.coalesce(hit, F.lit(False))).drop("__q_block", "__q_bits")
+
+
+def among(rows: DataFrame, key: str, keys: DataFrame, n: int, out: str = "__q_in") -> DataFrame:
+    """rows plus ``out``: false only where ``key`` is certainly not in the one column of ``keys``.  Nothing but the keys' cells shuffles."""
+    blocks = filter_blocks(n)
+    cells = filter_cells(keys.select(F.xxhash64(F.col(keys.columns[0]).cast("long")).alias("__q_h")), blocks)
+    return filter_test(rows.withColumn("__q_h", F.xxhash64(F.col(key).cast("long"))), filter_bitmaps(cells), blocks, out).drop("__q_h")
+
+
 # --- Arrow text ------------------------------------------------------------
 
 
@@ -178,6 +230,3 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
-
-def int_col(df: DataFrame, name: str) -> F.Column:
-    return df[name].cast("long")

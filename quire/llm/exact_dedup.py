@@ -1,48 +1,24 @@
 """Exact dedup by two-pass Bloom filtering, with DataFrame functions only.
 
-Pass 1 turns every text into a 64-bit hash, sets ``PROBES`` cells of a blocked Bloom filter and keeps the cells that
+Pass 1 turns every text into a 64-bit hash, sets two cells of a blocked Bloom filter and keeps the cells that
 were set more than once.  Pass 2 tests each row against those cells: a row that misses one of them is certainly
 unique and passes straight through, without a shuffle.  Only the other rows are grouped, by SHA-256 of the text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cells in a block: what one bitmap of Spark's bitmap functions holds (4 KB).
-BLOCK = 32768
-PROBES = 2
+from quire.llm.common import filter_bitmaps, filter_blocks, filter_cells, filter_test
 
 
-def _probe(h: Column, k: int) -> Column:
-    """The k-th cell of a hash in its block."""
-    return F.shiftrightunsigned(h, 15 * k).bitwiseAND(F.lit(BLOCK - 1)).cast("int")
-
-
-def _bit(bitmap: Column, cell: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(cell, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), cell.bitwiseAND(F.lit(7)))) != 0
-
 
 def _marked(rows: DataFrame, cells_per_row: int, max_blocks: int) -> DataFrame:
     """rows (with __q_h) plus __q_again: false only where the text certainly occurs once."""
-    n = rows.select("__q_h").count()  # decides the filter's size, under a fixed bound
-    blocks = min(max_blocks, n * cells_per_row // BLOCK + 1)
-    block = F.pmod(F.shiftrightunsigned(F.col("__q_h"), 32), F.lit(blocks)).cast("int")
-    cells = (
-        rows.select(block.alias("__q_block"), F.explode(F.array_distinct(F.array(*[_probe(F.col("__q_h"), k) for k in range(PROBES)]))).alias("__q_cell"))
-        .groupBy("__q_block", "__q_cell")
-        .agg(F.count(F.lit(1)).alias("__q_n"))
-        .where("__q_n > 1")
-    )
-    bitmaps = cells.groupBy("__q_block").agg(F.bitmap_construct_agg(F.col("__q_cell").cast("long")).alias("__q_bits"))
-    # at most max_blocks bitmaps of 4 KB: a bound that does not grow with the data
-    tested = rows.withColumn("__q_block", block).join(F.broadcast(bitmaps), "__q_block", "left")
-    again = F.lit(True)
-    for k in range(PROBES):
-        again = again & _bit(F.col("__q_bits"), _probe(F.col("__q_h"), k))
-    return tested.withColumn("__q_again", F.coalesce(again, F.lit(False))).drop("__q_block", "__q_bits")
+    blocks = filter_blocks(rows.select("__q_h").count(), cells_per_row, max_blocks)
+    twice = filter_cells(rows, blocks).groupBy("__q_block", "__q_cell").agg(F.count(F.lit(1)).alias("__q_n")).where("__q_n > 1")
+    return filter_test(rows, filter_bitmaps(twice), blocks, "__q_again")
 
 
 def _marked_docs(docs: DataFrame, text_col: str, cells_per_row: int, max_blocks: int) -> DataFrame:

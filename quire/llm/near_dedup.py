@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import counter, mix, ranges, shingle_sets, signed, stage, text_buffers, unstage
+from quire.llm.common import among, counter, mix, ranges, shingle_sets, signed, stage, text_buffers, unstage
 
 #: 32 bands of 4: at a similarity of 0.8 a pair shares no band with probability (1 - 0.8^4)^32 < 5e-8.
 BANDS, ROWS = 32, 4
@@ -176,9 +176,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a < b) whose full shingle sets are similar enough; sets are made anew for documents in a pair only."""
+    """The pairs (a, b) whose full shingle sets are similar enough.
+
+    Sets are made anew, where the texts are read, for documents that may be in a pair; texts don't shuffle.
+    """
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = stage(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "id long, shingles binary"), "sets")
+    wanted = among(docs, "doc_id", ids, ids.count()).where("__q_in").select("doc_id", "text")
+    sets = stage(wanted.mapInArrow(_sets(width), "id long, shingles binary"), "sets")
     rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     links = stage(rows.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "links")
     unstage(sets)
@@ -222,7 +226,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = labelled.groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("a")
     # the center has been compared with all the others
     across = stage(labelled.join(mixed, "a", "left_semi").join(reps.select("doc_id", "sketch"), "doc_id"), "across")
-    bitmaps = source.join(across.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_bitmaps(width), "id long, bits array<long>").dropDuplicates(["id"])
+    ids = across.select("doc_id").distinct()
+    wanted = among(source, "doc_id", ids, ids.count()).where("__q_in").select("doc_id", "text")
+    bitmaps = wanted.mapInArrow(_bitmaps(width), "id long, bits array<long>").dropDuplicates(["id"])
     sides = stage(across.join(bitmaps, F.col("doc_id") == F.col("id")).drop("id"), "sides")
     unstage(across)
     x, y = sides.alias("x"), sides.alias("y")
@@ -256,5 +262,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The documents of ``docs`` that stay, with its columns: of each group the one with the smallest id.  A row with a null id stays."""
-    gone = near_duplicates(docs, id_col, text_col, width, percent).where("NOT kept").select(F.col("doc_id").alias("__q_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__q_gone"), "left_anti")
+    gone = stage(near_duplicates(docs, id_col, text_col, width, percent).where("NOT kept").select(F.col("doc_id").alias("__q_gone")).distinct(), "gone")
+    tested = among(docs, id_col, gone, gone.count())
+    passed = tested.where("NOT __q_in").drop("__q_in")
+    # only rows that may go are shuffled
+    rest = tested.where("__q_in").drop("__q_in").join(gone, F.col(id_col).cast("long") == F.col("__q_gone"), "left_anti")
+    return passed.unionByName(rest)
