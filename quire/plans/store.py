@@ -21,7 +21,10 @@ def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return _log_columns(table(spark, sf_dir, "events"))
+
+
+def _log_columns(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     stage = F.create_map(*[F.lit(x) for kv in STAGES.items() for x in kv])[F.col("event_type")]
     return e.select(
