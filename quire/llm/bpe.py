@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,10 +18,10 @@ from tokenizers import pre_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: the split of byte-level tokenizers.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the split of byte-level tokenizers.  Letters stand first, being most frequent; no other branch can start with one.
+PATTERN = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces kept with their ids by each worker, and the longest piece (in characters) worth keeping.
-CACHE, CACHED_CHARS = 200_000, 48
+CACHE, CACHED_CHARS = 400_000, 48
 _NEVER = 1 << 60
 
 
@@ -30,6 +32,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def _pack(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Newer(Exception):
     """A piece holds a character that only newer Unicode tables class as a letter or digit."""
 
@@ -73,9 +83,12 @@ class Bpe(dict):
         self.match = ahocorasick.Automaton()
         for i, t in texts.items():
             if len(t) == 1 or i in self.made_of:
-                self.match.add_word(t.decode("latin-1"), (i, len(t)))
+                self.match.add_word(t.decode("latin-1"), i)
         self.match.make_automaton()
         self.size = {i: len(t) for i, t in texts.items()}
+        # of each token the longest other token that it starts with, or -1
+        of = {t: i for i, t in texts.items() if len(t) == 1 or i in self.made_of}
+        self.shorter = {i: next((of[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in of), -1) for i, t in texts.items()}
         most = max(table, default=-1) + 1
         sizes = np.zeros(most, np.int64)
         for i, t in table.items():
@@ -120,46 +133,44 @@ class Bpe(dict):
         return known
 
     def encode_piece(self, piece: str) -> list[int]:
-        """The ids of one piece: longest matches first, stepping back to shorter ones where neighbours don't fit."""
+        """The ids of one piece: longest matches first, stepping back to shorter ones where neighbours don't fit.
+
+        Where nothing fits the last token, the place is dead: that token gives way to its next shorter prefix.
+        """
         text = piece.encode().decode("latin-1")
-        # the leftmost longest matches are the first path to try, and mostly the last
-        path = [token for _, (token, _) in self.match.iter_long(text)]
-        known, before = self._fits, -1
-        for token in path:
-            if before >= 0:
-                ok = known.get((before, token))
-                if not (self.fits(before, token) if ok is None else ok):
-                    break
-            before = token
-        else:
-            return path
-        n = len(text)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (token, size) in self.match.iter(text):
-            starts[end - size + 1].append((token, size))  # ends grow, so each list runs from short to long
-        dead = bytearray(n + 1)
+        if not text:
+            return []
+        n, sizes, shorter, known = len(text), self.size, self.shorter, self._fits
         out: list[int] = []
-        places: list[int] = []  # of each token: which match of its start it is
-        at, choice = 0, len(starts[0]) - 1 if n else 0
-        while at < n:
-            while choice >= 0:
-                token, size = starts[at][choice]
-                if not dead[at + size] and (not out or self.fits(out[-1], token)):
-                    break
-                choice -= 1
-            if choice >= 0:
+        dead: set[int] = set()
+        at, last, matches, follows = 0, -1, self.match.iter_long(text), True
+        token = next(matches)[1]
+        while True:
+            while token >= 0:
+                if at + sizes[token] not in dead:
+                    if last < 0:
+                        break
+                    ok = known.get((last, token))
+                    if ok or (ok is None and self.fits(last, token)):
+                        break
+                token, follows = shorter[token], False
+            if token >= 0:
                 out.append(token)
-                places.append(choice)
-                at += size
-                choice = len(starts[at]) - 1 if at < n else 0
+                at += sizes[token]
+                if at == n:
+                    return out
+                last = token
+                if not follows:  # the longest matches from here on are others
+                    matches, follows = self.match.iter_long(text, at), True
+                token = next(matches)[1]
             else:
                 if not out:
                     raise ValueError("text has bytes that the vocabulary lacks")
-                dead[at] = 1
-                choice = places.pop()
-                at -= self.size[out.pop()]
-                choice -= 1
-        return out
+                dead.add(at)
+                gone = out.pop()
+                at -= sizes[gone]
+                token, follows = shorter[gone], False
+                last = out[-1] if out else -1
 
     def __missing__(self, piece: str) -> bytes:
         packed = self.older.get(piece)
@@ -168,7 +179,7 @@ class Bpe(dict):
             return packed
         if not piece.isascii() and self.newer is not None and self.newer.search(piece):
             raise _Newer
-        packed = np.array(self.encode_piece(piece), "<u4").tobytes()
+        packed = _pack(self.encode_piece(piece))
         if len(piece) <= CACHED_CHARS:
             self._keep(piece, packed)
         return packed
@@ -184,14 +195,14 @@ class Bpe(dict):
         try:
             return b"".join(map(self.__getitem__, self.pieces.findall(text)))
         except _Newer:
-            return b"".join(np.array(self.encode_piece(x), "<u4").tobytes() for x in self.old_pieces.findall(text))
+            return b"".join(_pack(self.encode_piece(x)) for x in self.old_pieces.findall(text))
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
         if not any(a in text for a in self.added):
             return np.frombuffer(self._packed(text), "<u4")
         parts = self.split_added.split(text)
-        return np.frombuffer(b"".join(np.array([self.added[x]], "<u4").tobytes() if k % 2 else self._packed(x) for k, x in enumerate(parts)), "<u4")
+        return np.frombuffer(b"".join(_pack([self.added[x]]) if k % 2 else self._packed(x) for k, x in enumerate(parts)), "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 of ids: each token's bytes copied from one blob by its start and size; broken sequences become U+FFFD."""
