@@ -1 +1,15 @@
 """Registered queries and their DuckDB counterparts."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quire.plans import corpus, diagnostics, documents, layout, reading_order, sequential, store, streams, text_rules
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+for _module in (text_rules, documents, reading_order, corpus, layout, diagnostics, store, sequential, streams):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL

@@ -33,15 +33,16 @@ def _log_columns(e: DataFrame) -> DataFrame:
     )
 
 
-_NEW = [F.desc("updated_at"), F.col("job_id")]
+def _newest() -> list[F.Column]:
+    return [F.desc("updated_at"), F.col("job_id")]
 
 
 def job_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.list_jobs(_jobs(spark, sf_dir), _artifacts(spark, sf_dir), "job_id", _NEW, limit=20, offset=40, where=F.col("status") == "F")
+    return S.list_jobs(_jobs(spark, sf_dir), _artifacts(spark, sf_dir), "job_id", _newest(), limit=20, offset=40, where=F.col("status") == "F")
 
 
 def job_list_provider_after_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.list_jobs(_jobs(spark, sf_dir), _artifacts(spark, sf_dir), "job_id", _NEW, limit=100, provider=("provider", "r"))
+    return S.list_jobs(_jobs(spark, sf_dir), _artifacts(spark, sf_dir), "job_id", _newest(), limit=100, provider=("provider", "r"))
 
 
 def job_detail_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,6 @@ from quire.functions import text as T
 from quire.plans.tables import LINES_SQL, lines, q, s_any_contains, s_count, s_has, s_in, s_last_word, s_natural, s_norm
 
 KEYS = ["doc_id", "line_no"]
-c = F.col("text")
 
 # --- SQL forms of the predicates, over an SQL expression ---------------------------
 
@@ -61,9 +62,9 @@ def s_ends(t: str) -> str:
     return f"({t} <> '' AND (ends_with({t}, '-') OR (NOT {s_has(t, '[.!?:;]$')} AND {s_in(s_last_word(t), T.CONTINUATION_ENDS)})))"
 
 
-def _select(columns: dict[str, F.Column]):
+def _select(columns: Callable[[F.Column], dict[str, F.Column]]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return lines(spark, sf_dir).select(*KEYS, *[v.alias(k) for k, v in columns.items()])
+        return lines(spark, sf_dir).select(*KEYS, *[v.alias(k) for k, v in columns(F.col("text")).items()])
 
     return run
 
@@ -79,61 +80,61 @@ _weird = r"[^\s\p{L}\p{N}.,;:!?()\[\]{}'\"_/+*&%$#=@-]"
 _segments = f"list_filter(list_transform(regexp_split_to_array(replace({_plain}, ' and ', ', '), ',|;|\\band\\b'), lambda s: trim(s, ' *†‡§,;')), lambda s: s <> '')"
 _named = f"len(list_filter({_segments}, lambda s: len(regexp_extract_all(s, {q(T.AUTHOR_NAME)})) BETWEEN 2 AND 5))"
 
-_RULES: dict[str, tuple[dict[str, F.Column], dict[str, str]]] = {
+_RULES: dict[str, tuple[Callable[[F.Column], dict[str, F.Column]], dict[str, str]]] = {
     "reference_headings": (
-        {"normalized": T.normalize_reference_heading(c), "is_heading": T.is_reference_heading(c)},
+        lambda c: {"normalized": T.normalize_reference_heading(c), "is_heading": T.is_reference_heading(c)},
         {"normalized": _heading, "is_heading": s_in(_heading, T.REFERENCE_HEADINGS)},
     ),
     "reference_entries": (
-        {"is_entry": T.is_reference_entry(c), "is_continuation": T.is_reference_continuation(c)},
+        lambda c: {"is_entry": T.is_reference_entry(c), "is_continuation": T.is_reference_continuation(c)},
         {
             "is_entry": s_entry("t"),
             "is_continuation": f"(t <> '' AND ({s_has('t', r'^[a-z(\\\[\"' + chr(39) + r'`\)\],.;:]')} OR {s_has('t', T.DOI)} OR {s_has('t', T.JOURNAL)} OR {s_has('t', T.PAGE_RANGE)} OR ({s_has('t', T.YEAR)} AND ({s_count('t', ',')} >= 1 OR length(t) <= 240))))",
         },
     ),
     "metadata_fragments": (
-        {"is_url": T.is_url_fragment(T.normalize_text(c)), "is_email": T.is_email_fragment(T.normalize_text(c)), "is_copyright": T.is_short_copyright_tail(c), "is_metadata": T.is_hard_metadata(c)},
+        lambda c: {"is_url": T.is_url_fragment(T.normalize_text(c)), "is_email": T.is_email_fragment(T.normalize_text(c)), "is_copyright": T.is_short_copyright_tail(c), "is_metadata": T.is_hard_metadata(c)},
         {"is_url": s_url("t"), "is_email": s_email("t"), "is_copyright": s_copyright("t"), "is_metadata": s_metadata("t")},
     ),
-    "code_literals": ({"is_code": T.is_code_literal(c), "natural_words": T.natural_word_count(T.normalize_text(c)).cast("long")}, {"is_code": s_code("t"), "natural_words": f"{s_natural('t')}::BIGINT"}),
-    "english_prose": ({"is_prose": T.is_english_prose(c), "n_words": T.english_word_count(c).cast("long")}, {"is_prose": s_prose("text"), "n_words": f"{s_count('text', T.EN_WORD)}::BIGINT"}),
+    "code_literals": (lambda c: {"is_code": T.is_code_literal(c), "natural_words": T.natural_word_count(T.normalize_text(c)).cast("long")}, {"is_code": s_code("t"), "natural_words": f"{s_natural('t')}::BIGINT"}),
+    "english_prose": (lambda c: {"is_prose": T.is_english_prose(c), "n_words": T.english_word_count(c).cast("long")}, {"is_prose": s_prose("text"), "n_words": f"{s_count('text', T.EN_WORD)}::BIGINT"}),
     "cjk_dominance": (
-        {"zh_chars": T.zh_char_count(c).cast("long"), "is_dominant": T.is_cjk_dominant(c)},
+        lambda c: {"zh_chars": T.zh_char_count(c).cast("long"), "is_dominant": T.is_cjk_dominant(c)},
         {
             "zh_chars": f"{s_count('text', '[一-鿿]')}::BIGINT",
             "is_dominant": f"(length(t) >= 16 AND {s_count('t', '[一-鿿]')} >= 10 AND {s_count('t', '[一-鿿]')} >= 2 * {s_count('t', '[A-Za-z]')} AND {s_count('t', '[一-鿿]')} >= 2 * {s_count('t', T.EN_WORD)})",
         },
     ),
     "garbled_fragments": (
-        {"is_garbled": T.is_garbled(c), "is_short": T.is_short_fragment(c)},
+        lambda c: {"is_garbled": T.is_garbled(c), "is_short": T.is_short_fragment(c)},
         {
             "is_garbled": f"({_plain} = '' OR contains({_plain}, '�') OR {s_count(_plain, _weird)} / greatest(1, {s_count(_plain, r'\S')}) > 0.35)",
             "is_short": s_has("trim(text)", T.SHORT_FRAGMENT),
         },
     ),
     "math_balance": (
-        {"is_balanced": T.has_balanced_math(c), "n_placeholders": F.size(T.placeholder_sequence(c)).cast("long")},
+        lambda c: {"is_balanced": T.has_balanced_math(c), "n_placeholders": F.size(T.placeholder_sequence(c)).cast("long")},
         {"is_balanced": f"({s_count('text', r'\$')} - {s_count('text', r'\\\$')}) % 2 = 0", "n_placeholders": f"{s_count('text', T.PLACEHOLDER)}::BIGINT"},
     ),
     "protocol_shells": (
-        {"is_shell": T.is_protocol_shell(c)},
+        lambda c: {"is_shell": T.is_protocol_shell(c)},
         {
             "is_shell": f"(trim(text) <> '' AND ((length(trim(text)) <= {T.PROMPT_ECHO_CHARS} AND {s_has('trim(text)', T.PROMPT_ECHO)}) OR (starts_with(trim(text), '{{') AND {s_any_contains('text', ['\"translated_text\"', '\"translations\"', '“translated_text”', '“translations”'])})))"
         },
     ),
     "author_lists": (
-        {"is_authors": T.is_author_list(c)},
+        lambda c: {"is_authors": T.is_author_list(c)},
         {"is_authors": f"({_plain} <> '' AND length({_plain}) <= 240 AND NOT {s_any_contains(_plain, ['@', 'http://', 'https://'])} AND len({_segments}) >= 3 AND {_named} >= greatest(3, len({_segments}) - 1))"},
     ),
     "continuation_signals": (
-        {
+        lambda c: {
             "starts_on": T.starts_like_continuation(c), "ends_open": T.ends_like_continuation(c), "starts_heading": T.starts_like_heading_or_list(c),
             "suspicious": T.last_token_is_suspicious(T.normalize_text(c)), "last_word": T.last_word(T.normalize_text(c)),
         },
         {"starts_on": s_starts("t"), "ends_open": s_ends("t"), "starts_heading": s_has("t", T.HEADING_START), "suspicious": s_in(s_last_word("t"), T.SUSPICIOUS_ENDS), "last_word": s_last_word("t")},
     ),
     "text_previews": (
-        {"preview": T.preview_text(c), "chunk_words": F.concat_ws(",", F.transform(T.english_chunk_word_lengths(c), lambda n: n.cast("string")))},
+        lambda c: {"preview": T.preview_text(c), "chunk_words": F.concat_ws(",", F.transform(T.english_chunk_word_lengths(c), lambda n: n.cast("string")))},
         {
             "preview": "CASE WHEN length(t) <= 220 THEN t ELSE rtrim(left(t, 219)) || '…' END",
             "chunk_words": f"array_to_string(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), {q(T.EN_CHUNK)}), lambda r: len(regexp_extract_all(r, {q(T.EN_WORD)}))), lambda n: n > 0), ',')",
@@ -146,7 +147,7 @@ def block_policy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of all lines by language: the flagship query."""
     from quire.plans.tables import table
 
-    langs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    langs, c = table(spark, sf_dir, "documents").select("doc_id", "lang"), F.col("text")
     label = (
         F.when(T.normalize_text(c) == "", "empty").when(T.is_reference_heading(c), "reference_heading").when(T.is_hard_metadata(c), "metadata").when(T.is_reference_entry(c), "reference").when(T.is_code_literal(c), "code").when(T.is_english_prose(c), "prose").otherwise("other")
     )

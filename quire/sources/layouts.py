@@ -90,12 +90,9 @@ def _strings(*values: str) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-_NONE = F.lit(None).cast("string")
-
-
 def _finish(rows: DataFrame, **columns: Column) -> DataFrame:
     """Fills the columns a dialect does not give."""
-    given = {"policy": F.lit(None).cast("struct<translate: boolean, reason: string>"), "given_semantic": _NONE, "given_structure": _NONE, "given_layout": _NONE} | columns
+    given = {"policy": F.lit(None).cast("struct<translate: boolean, reason: string>")} | {f"given_{r}": F.lit(None).cast("string") for r in ("semantic", "structure", "layout")} | columns
     return rows.withColumns(given).withColumn("block_id", _block_id(F.col("page_index"), F.col("order")))
 
 
