@@ -48,7 +48,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held = language_id.held_out(F.col("doc_id"), 3, 1)
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held)
-    lexicon = toxicity.learn(docs.select("doc_id", "text").where(~held).join(labels, "doc_id"))
+    lexicon = toxicity.learn(docs, labels)
     return toxicity.score(docs, lexicon).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

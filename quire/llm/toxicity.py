@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import stage, unstage
+
 #: Letters of other scripts, digits and signs that stand for Latin letters.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "ս": "u", "ԝ": "w", "х": "x", "у": "y",
@@ -123,27 +125,29 @@ def _feature_rows(lexicon: Lexicon):
     return run
 
 
-def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", sample: int = SAMPLE, most_terms: int = 4000, stem: tuple[int, int] = (4, 7)) -> Lexicon:
-    """A lexicon from rows with a 0/1 label (null labels are left out).
+def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", sample: int = SAMPLE, most_terms: int = 4000, stem: tuple[int, int] = (4, 7)) -> Lexicon:
+    """A lexicon from texts and their 0/1 labels (other labels and null ids are left out).
 
-    Takes about ``sample`` texts of either label by hash of the id (all where there are fewer); counts in how many texts
-    of each label every folded word and word stem occurs; keeps terms that are rare in label-0 texts, weighted by
-    log odds; then fits the calibration on the same sample.  To the driver come at most ``most_terms`` terms and three
-    numbers a sampled text.  Without both labels the lexicon is empty.
+    Takes about ``sample`` labels of either kind by hash of the id (all where there are fewer): so few that they are
+    broadcast to the texts, which don't shuffle.  Counts in how many texts of each label every folded word and word stem
+    occurs; keeps terms that are rare in label-0 texts, weighted by log odds; then fits the calibration on the same sample.
+    To the driver come at most ``most_terms`` terms and three numbers a sampled text.  Without both labels the lexicon
+    is empty.
     """
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic")).where("toxic IN (0, 1)")
+    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("toxic IN (0, 1) AND id IS NOT NULL").distinct()
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Lexicon({}, bias=-3.0)
     share = F.when(F.col("toxic") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
     chance = F.shiftrightunsigned(F.xxhash64("id", F.lit("toxic")), 11).cast("double") / float(1 << 53)
-    picked = rows.where(chance < share).select("text", "toxic")
+    chosen = F.broadcast(rows.where(chance < share))
+    picked = stage(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("text", "toxic"), "labelled")
     n = {r["toxic"]: r["n"] for r in picked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return Lexicon({}, bias=-3.0)
     counted = picked.mapInArrow(_terms(*stem), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.ln((F.col("bad") + 0.5) / (n[1] + 1.0)) - F.ln((F.col("good") + 0.5) / (n[0] + 1.0))
-    least = max(5, round(0.003 * n[1]))
+    least = max(3, round(0.003 * n[1]))
     strong = counted.where(F.col("bad") >= least).withColumn("odds", odds).where("odds > 3")
     found = {r["term"]: (r["bad"], r["good"], r["odds"]) for r in strong.orderBy(F.desc("bad"), "term").limit(most_terms).collect()}
     weights: dict[str, float] = {}
@@ -158,6 +162,7 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
         weights[term] = min(weight, 8.0) / 4
     lexicon = Lexicon(weights)
     data = picked.mapInArrow(_feature_rows(lexicon), "total double, words long, toxic int").collect()
+    unstage(picked)
     return calibrate(lexicon, np.array([[r["total"], r["words"]] for r in data]), np.array([r["toxic"] for r in data]), sizes[1] / (sizes[0] + sizes[1]), n[1] / (n[0] + n[1]))
 
 
