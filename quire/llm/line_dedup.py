@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import counter, mix, stage, unstage
+from quire.llm.common import among, counter, mix, stage, unstage
 
 #: Lines in the rolling window; one place in CUT ends a chunk; least and most lines of a chunk.
 WINDOW, CUT, LEAST, MOST = 2, 2, 2, 16
@@ -90,17 +90,22 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The occurrence with the smallest (id, line) stays.  Repeats are found by a 128-bit hash and then compared byte for
     byte with that occurrence; one that differs stays.  Null text has no lines and stays null; rows with a null id keep all
     lines; rows repeating an id share their decisions.  What shuffles are chunk hashes, and the texts of documents with
-    a repeated chunk.  The occurrences of one chunk are never gathered: joins meet one row of the first occurrence.
+    a repeated chunk (all others are told apart by a Bloom filter where they are read).  The occurrences of one chunk are never gathered: joins meet one row of the first occurrence.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = stage(rows.mapInArrow(_table, "doc_id long, first long, n long, h1 long, h2 long").distinct(), "chunks")
     first = table.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "first", "n")).alias("f"), F.count(F.lit(1)).alias("size")).where("size > 1").select("h1", "h2", "f")
     again = stage(table.join(first, ["h1", "h2"]), "again")
     places = again.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "h1", "h2")).alias("places"))
-    texts = stage(rows.join(places, "doc_id").mapInArrow(_texts, "doc_id long, first long, h1 long, h2 long, chunk binary").dropDuplicates(["doc_id", "first"]), "texts")
+    ids = again.select("doc_id").distinct()
+    holders = among(rows, "doc_id", ids, ids.count()).where("__q_in").drop("__q_in")
+    texts = stage(holders.join(places, "doc_id").mapInArrow(_texts, "doc_id long, first long, h1 long, h2 long, chunk binary").dropDuplicates(["doc_id", "first"]), "texts")
     lead = texts.alias("t").join(first, ["h1", "h2"]).where("doc_id = f.doc_id AND first = f.first").select("h1", "h2", F.col("chunk").alias("lead"), F.col("f.doc_id").alias("d0"), F.col("f.first").alias("l0"), F.col("f.n").alias("n"))
     same = texts.join(lead, ["h1", "h2"]).where("chunk = lead AND (doc_id <> d0 OR first <> l0)")
     drop = stage(same.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("drop")), "drop")
     for t in (again, texts, table):
         unstage(t)
-    return rows.join(drop, "doc_id", "left").mapInArrow(_without, "doc_id long, n_lines long, n_removed long, text string")
+    tested = among(rows, "doc_id", drop, drop.count())
+    passed = tested.where("NOT __q_in").select("doc_id", "text", F.lit(None).cast(drop.schema["drop"].dataType).alias("drop"))
+    hit = tested.where("__q_in").select("doc_id", "text").join(drop, "doc_id", "left")
+    return passed.unionByName(hit).mapInArrow(_without, "doc_id long, n_lines long, n_removed long, text string")
