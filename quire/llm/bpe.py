@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the split of byte-level tokenizers.  Letters stand first, being most frequent; no other branch can start with one.
 PATTERN = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces kept with their ids by each worker, and the longest piece (in characters) worth keeping.
-CACHE, CACHED_CHARS = 400_000, 48
+CACHE, CACHED_CHARS = 250_000, 48
 _NEVER = 1 << 60
 
 

@@ -189,7 +189,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, hot_share: int = 2000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a set holds the distinct ``width``-word shingles (fewer words:
@@ -252,10 +252,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
         .join(final, F.col("rep") == F.col("node"), "left")
         .where("copies > 1 OR component IS NOT NULL")
-        .select("h1", "h2", F.col("n").alias("n_"), F.coalesce("component", "rep").alias("group"))
+        .select("h1", "h2", F.col("n").alias("n_"), F.coalesce("component", "rep").alias("group"), "copies")
     )
     whole = sigs.select("doc_id", "n", F.col("h1").alias("g1"), F.col("h2").alias("g2"))
-    found = whole.join(known, (F.col("g1") == F.col("h1")) & (F.col("g2") == F.col("h2")) & (F.col("n") == F.col("n_")) & F.col("doc_id").isNotNull(), "left")
+    same = (F.col("g1") == F.col("h1")) & (F.col("g2") == F.col("h2")) & (F.col("n") == F.col("n_")) & F.col("doc_id").isNotNull()
+    # at most hot_share classes have more than 1/hot_share of the rows: their copies are told where they are read
+    least = sigs.count() // hot_share + 1
+    hot = whole.join(F.broadcast(known.where(F.col("copies") > least)), same, "left")
+    cold = hot.where("group IS NULL").select(*whole.columns).join(known.where(F.col("copies") <= least), same, "left")
+    found = hot.where("group IS NOT NULL").unionByName(cold)
     group = F.coalesce("group", "doc_id")
     return found.select("doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(group == F.col("doc_id"), F.lit(True)).alias("kept"))
 
