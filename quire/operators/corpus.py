@@ -10,6 +10,10 @@ from quire.functions import text as T
 # --- fixed values ------------------------------------------------------------
 TECH_TERM = r"\b(?:[A-Z][a-z]+(?:-[A-Z][A-Za-z0-9]+)+|[A-Z]{2,}(?:[-_/][A-Za-z0-9]+)+|[A-Za-z]+[0-9][A-Za-z0-9]*(?:[-_/][A-Za-z0-9]+)*|[A-Z]{2,}[a-z]*\b)\b"
 COMMON_WORDS = ("AND", "ARE", "CAN", "FOR", "FROM", "HAS", "HAVE", "HERE", "INTO", "NOT", "THE", "THIS", "THAT", "THESE", "THOSE", "WERE", "WHEN", "WITH")
+TERM_PAIRS = (
+    r"([一-鿿][一-鿿A-Za-z0-9·\-]{1,24})（(?:或称|又称|简称)?([A-Za-z][A-Za-z0-9 ._+/\-]{1,48})）",
+    r"([一-鿿][一-鿿A-Za-z0-9·\-]{1,24})\((?:or |also known as )?([A-Za-z][A-Za-z0-9 ._+/\-]{1,48})\)",
+)
 TRIM_CHARS = ".,;:()[]{}<>\"'“”‘’"
 MAX_TERMS, CONTEXT_CHARS = 240, 160
 MEMORY_TERMS, PROMPT_TERMS, SOURCES = 160, 20, 8
@@ -153,11 +157,11 @@ def glossary_usage(rows: DataFrame, glossary: DataFrame, source: str, target: st
 
 
 def term_pairs(rows: DataFrame, text: str, item: str = "item_id") -> DataFrame:
-    """(item, key, value, score): "term（English）" pairs, in either kind of brackets, with the English side as key."""
-    pattern = r"([一-鿿]{2,24})\s*[（(]\s*([A-Za-z][A-Za-z0-9 ._/+-]{1,79})\s*[）)]"
-    t = F.coalesce(F.col(text), F.lit(""))
-    zipped = F.arrays_zip(F.regexp_extract_all(t, F.lit(pattern), F.lit(2)).alias("key"), F.regexp_extract_all(t, F.lit(pattern), F.lit(1)).alias("value"))
-    return rows.select(item, F.explode(zipped).alias("p")).select(item, F.trim("p.key").alias("key"), F.col("p.value").alias("value"), F.lit(1.0).alias("score")).distinct()
+    """(item, key, value, score): a CJK term with its English name in brackets after it, in full-width or ASCII brackets."""
+    t = T.normalize_text(F.col(text))
+    found = [F.arrays_zip(F.regexp_extract_all(t, F.lit(p), F.lit(2)).alias("key"), F.regexp_extract_all(t, F.lit(p), F.lit(1)).alias("value")) for p in TERM_PAIRS]
+    pairs = rows.select(item, F.explode(F.concat(*found)).alias("p")).select(item, F.btrim("p.key", F.lit(TRIM_CHARS + " ")).alias("key"), F.col("p.value").alias("value"), F.lit(1.0).alias("score"))
+    return pairs.where("length(key) >= 2").distinct()
 
 
 # --- memory ----------------------------------------------------------------------

@@ -90,7 +90,7 @@ def glossary_overridden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.overridden_count(spark.createDataFrame(GLOSSARY, _SCHEMA), spark.createDataFrame(OVERLAY, _SCHEMA))
 
 
-_PAIRS = ["模型（Model One）很好，能量 (energy)", "能量（energy）", "没有", "密度泛函理论 ( DFT )"]
+_PAIRS = ["模型（Model One）很好，能量(energy)", "能量（又称energy）", "没有", "密度泛函理论 ( DFT )", "理论(or DFT theory.)"]
 
 
 def term_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,8 +168,8 @@ SQL = {
         SELECT row_number() OVER (ORDER BY f) - 1 AS pos, source, target, level, match_mode, context FROM w WHERE (t, pos) = l""",
     "glossary_overridden": f"SELECT count(*) AS overridden FROM {_values(OVERLAY, 'o')} WHERE {_KEY} IN (SELECT {_KEY} FROM {_values(GLOSSARY, 'v')})",
     "term_pairs": f"""WITH {ITEMS_SQL}, t AS (SELECT item_id, text FROM items UNION ALL SELECT -k, t FROM (VALUES {', '.join(f"({k + 1}, {q(t)})" for k, t in enumerate(_PAIRS))}) p(k, t)),
-        m AS (SELECT item_id, unnest(regexp_extract_all(text, '[一-鿿]{{2,24}}\\s*[（(]\\s*[A-Za-z][A-Za-z0-9 ._/+-]{{1,79}}\\s*[）)]')) AS m FROM t)
-        SELECT DISTINCT item_id, trim(regexp_extract(m, '[（(]\\s*([A-Za-z][A-Za-z0-9 ._/+-]{{1,79}})\\s*[）)]', 1)) AS key, regexp_extract(m, '^[一-鿿]+') AS value, 1.0::DOUBLE AS score FROM m""",
+        m AS (SELECT item_id, unnest(list_concat(regexp_extract_all(text, {q(C.TERM_PAIRS[0])}), regexp_extract_all(text, {q(C.TERM_PAIRS[1])}))) AS m FROM t)
+        SELECT DISTINCT item_id, trim(regexp_extract(m, '[（(](?:或称|又称|简称|or |also known as )?([A-Za-z][A-Za-z0-9 ._+/-]*)[）)]$', 1), ' .') AS key, regexp_extract(m, '^[^（(]+') AS value, 1.0::DOUBLE AS score FROM m""",
     "memory_fold": f"WITH {_MEMORY} SELECT job, key, hits, value, sources FROM a JOIN s USING (job, key)",
     "memory_topk": f"""WITH {_MEMORY}, k AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY job ORDER BY hits DESC, key DESC) <= 40),
         r AS (SELECT job, key, hits, row_number() OVER (PARTITION BY job ORDER BY hits DESC, key) AS rank FROM k) SELECT * FROM r WHERE rank <= 20""",
