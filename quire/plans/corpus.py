@@ -83,7 +83,8 @@ def glossary_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def glossary_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.merge_glossaries(spark.createDataFrame(GLOSSARY, _SCHEMA), spark.createDataFrame(OVERLAY, _SCHEMA))
+    out = C.merge_glossaries(spark.createDataFrame(GLOSSARY, _SCHEMA), spark.createDataFrame(OVERLAY, _SCHEMA))
+    return out.withColumn("pos", F.col("pos").cast("long"))
 
 
 def glossary_overridden(spark: SparkSession, sf_dir: str) -> DataFrame:

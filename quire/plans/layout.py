@@ -104,7 +104,7 @@ _LAYOUT = f"""WITH {ITEMS_SQL}, flow AS (SELECT *, (x0 + x1) / 2 AS c FROM items
               FROM flow f LEFT JOIN best b USING (doc_id, page_idx) GROUP BY ALL),
     found AS (SELECT *, coalesce(n_flow >= 6 AND w > 0 AND gap >= w * 0.18 AND n_left >= 3 AND n_flow - n_left >= 3, false) AS is_double FROM stats),
     pages AS (SELECT doc_id, page_idx, max(x1) - min(x0) AS width FROM items GROUP BY ALL),
-    layouts AS (SELECT p.doc_id, p.page_idx, CASE WHEN is_double THEN 'double' ELSE 'single' END AS layout_mode, CASE WHEN is_double THEN mid ELSE 0.0 END AS split_x, coalesce(median_width, 0.0) AS median_width, width, coalesce(n_flow, 0) AS n_flow
+    layouts AS (SELECT p.doc_id, p.page_idx, CASE WHEN is_double THEN 'double' ELSE 'single' END AS layout_mode, CASE WHEN is_double THEN mid ELSE 0.0 END AS split_x, coalesce(median_width, 0.0)::DOUBLE AS median_width, width, coalesce(n_flow, 0) AS n_flow
                 FROM pages p LEFT JOIN found f USING (doc_id, page_idx))"""
 _REGIONS = f"""WITH {ITEMS_SQL}, regions AS (SELECT doc_id, page_idx, item_id, x0 + 30 AS x0, y0 - 10 AS y0, x1 + 90 AS x1, y1 + 30 AS y1 FROM items WHERE line_no % 2 = 0)"""
 _demand = """list_sum(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)*'), lambda w: greatest(1.0, length(w) * 0.55)))"""
@@ -132,8 +132,8 @@ SQL = {
         o AS (SELECT *, greatest(0.0, least(x1, nx1) - greatest(x0, nx0)) / greatest(1.0, least(x1 - x0, nx1 - nx0)) AS overlap, ny0 - y1 AS gap FROM n WHERE next_id IS NOT NULL)
         SELECT doc_id, page_idx, item_id, next_id, round(overlap, 6) AS overlap, gap FROM o WHERE overlap >= 0.6 AND gap <= 3.0""",
     "ocr_block_profile": f"WITH {ITEMS_SQL} SELECT doc_id, page_idx, count(*) AS block_count, count(*) FILTER ((x1 - x0) * (y1 - y0) > 0) AS valid_boxes, sum((x1 - x0) * (y1 - y0)) AS area, round(sum((x1 - x0) * (y1 - y0)) / (612.0 * 792.0), 4) AS area_ratio FROM items GROUP BY ALL",
-    "capacity_units": f"""WITH {ITEMS_SQL}, d AS (SELECT *, coalesce({_demand}, 0) + coalesce({_gapped}, 0) + len(regexp_extract_all(text, '[一-鿿]')) + {_other} AS demand, greatest(4.0, greatest(8.0, x1 - x0) / 9.2) AS per FROM items),
-        l AS (SELECT *, CASE WHEN demand <= 0 THEN 1 ELSE greatest(1, ceil(demand / greatest(per * 0.98, 1.0))) END AS n FROM d)
+    "capacity_units": f"""WITH {ITEMS_SQL}, d AS (SELECT *, coalesce({_demand}, 0) + coalesce({_gapped}, 0) + len(regexp_extract_all(text, '[一-鿿]')) + {_other} AS demand_, greatest(4.0, greatest(8.0, x1 - x0) / 9.2) AS per FROM items),
+        l AS (SELECT *, demand_::DOUBLE AS demand, CASE WHEN demand_ <= 0 THEN 1 ELSE greatest(1, ceil(demand_ / greatest(per * 0.98, 1.0))) END AS n FROM d)
         SELECT item_id, round(greatest(1, floor(greatest(8.0, y1 - y0) / 14.0)) * per * 0.98, 4) AS capacity, round(demand, 4) AS demand, n::BIGINT AS n_lines, round(n * 14.0, 4) AS height FROM l""",
     "rect_iou_pairs": f"""{_REGIONS}, p AS (SELECT a.doc_id, a.page_idx, a.item_id AS a_id, b.item_id AS b_id, greatest(0.0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0.0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS inter,
             (a.x1 - a.x0) * (a.y1 - a.y0) AS sa, (b.x1 - b.x0) * (b.y1 - b.y0) AS sb FROM items a JOIN regions b USING (doc_id, page_idx))

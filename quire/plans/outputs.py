@@ -161,8 +161,8 @@ SQL = {
         WHEN {s_norm("source")} = {s_norm("output")} AND {s_prose("source")} THEN 'untranslated' WHEN len(list_filter(po, lambda y: NOT list_contains(ps, y))) > 0 THEN 'unexpected_placeholder' WHEN list_sort(po) <> list_sort(ps) THEN 'placeholder_inventory' WHEN po <> ps THEN 'warn_order' END AS problem FROM k""",
     "english_outputs": f"""WITH {_TRANSLATED}, c AS (SELECT *, {s_count(_bare("output"), T.EN_WORD)} AS n, {s_count(_bare("output"), "[一-鿿]")} AS zh, {_spans} AS spans, {_authors} AS authors FROM k)
         SELECT item_id, layout_role <> 'title' AND trim(output) <> '' AND {s_prose("source")} AND NOT authors AND (spans > 0 OR (n >= 12 AND (zh = 0 OR n >= greatest(12, zh // 2)))) AS is_english FROM c""",
-    "answers_parsed": """SELECT * FROM (VALUES (0, '{"translated_text": "a", "n": 1}', 'a'), (1, '{"translated_text":"b"}', 'b'), (2, NULL, 'c'), (3, NULL, NULL), (4, NULL, NULL), (5, '{"translation": "d"}', 'd'), (6, NULL, 'e')) v(id, json, value)""",
-    "terms_allowed": "SELECT * FROM (VALUES (0, true), (1, true), (2, false), (3, false), (4, false), (5, false), (6, false), (7, false), (8, true), (9, false)) v(id, allowed)",
+    "answers_parsed": """SELECT * REPLACE (id::BIGINT AS id) FROM (VALUES (0, '{"translated_text": "a", "n": 1}', 'a'), (1, '{"translated_text":"b"}', 'b'), (2, NULL, 'c'), (3, NULL, NULL), (4, NULL, NULL), (5, '{"translation": "d"}', 'd'), (6, NULL, 'e')) v(id, json, value)""",
+    "terms_allowed": "SELECT * REPLACE (id::BIGINT AS id) FROM (VALUES (0, true), (1, true), (2, false), (3, false), (4, false), (5, false), (6, false), (7, false), (8, true), (9, false)) v(id, allowed)",
     "heavy_groups": f"""WITH {LINES_SQL}, g AS (SELECT doc_id, line_no // 4 AS g, count(*) AS members, sum(length(text)) AS chars, sum({s_count("text", "[.,]")}) // 2 AS seg FROM lines GROUP BY ALL)
         SELECT CASE WHEN seg > 12 THEN 'formula_heavy_group' WHEN seg > 8 THEN 'formula_windowed_group' WHEN chars > 1600 AND g % 3 <> 0 THEN 'long_continuation_group' WHEN members > 3 AND g % 3 <> 0 THEN 'large_continuation_group' ELSE 'whole' END AS reason, count(*) AS n FROM g GROUP BY 1""",
     "job_failures": f"""WITH j AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_lit, f)) + ')' for f in FAILED)}) v(status, error, log, code, stage)

@@ -35,7 +35,7 @@ ITEMS_SQL = f"""{LINES_SQL}, items AS (
     SELECT *, x0 + least(250.0, 40.0 + 2.0 * length(text)) AS x1, y0 + 12.0 * (1 + least(2, length(text) // 120)) AS y1 FROM (
         SELECT doc_id, line_no, text, line_no // 40 AS page_idx, doc_id * 1000000 + line_no AS item_id,
                CASE WHEN line_no = 0 AND length(text) < 60 THEN 'title' ELSE 'paragraph' END AS layout_role,
-               50.0 + 270.0 * ((line_no % 40) // 20) AS x0, 40.0 + 36.0 * (line_no % 20) AS y0
+               (50.0 + 270.0 * ((line_no % 40) // 20))::DOUBLE AS x0, (40.0 + 36.0 * (line_no % 20))::DOUBLE AS y0
         FROM lines))"""
 
 
