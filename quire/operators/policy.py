@@ -64,7 +64,7 @@ def page_summaries(rows: DataFrame, *page: str) -> DataFrame:
 def expand_ranges(spec: Column) -> Column:
     """Sorted distinct pages of "1~3,7": reversed ranges count too, anything else is dropped."""
     parts = F.split(F.coalesce(spec, F.lit("")), ",")
-    valid = F.filter(F.transform(parts, F.trim), lambda p: p.rlike(r"^\d+(\s*[~-]\s*\d+)?$"))
+    valid = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p.rlike(r"^\d+(\s*[~-]\s*\d+)?$"))
     bounds = F.transform(valid, lambda p: F.split(p, r"\s*[~-]\s*"))
     lists = F.transform(bounds, lambda b: F.sequence(F.least(b[0].cast("int"), F.element_at(b, -1).cast("int")), F.greatest(b[0].cast("int"), F.element_at(b, -1).cast("int"))))
     return F.array_sort(F.array_distinct(F.flatten(lists)))

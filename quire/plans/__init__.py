@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import corpus, diagnostics, documents, layout, outputs, reading_order, sequential, store, streams, text_rules
+from quire.plans import corpus, diagnostics, documents, hints, layout, outputs, reading_order, sequential, store, streams, text_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (text_rules, documents, reading_order, corpus, layout, diagnostics, store, outputs, sequential, streams):
+for _module in (text_rules, documents, reading_order, corpus, layout, diagnostics, store, outputs, hints, sequential, streams):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

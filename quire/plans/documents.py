@@ -130,7 +130,7 @@ def classification_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CSV = ["术语,译文,动作,备注,匹配", "Alpha,阿尔法,keep,n1,ci", "beta,贝塔,固定翻译,,regex", "ALPHA,第一,,last", ",,,", "gamma,伽马,other,n3,exact"]
-_SPECS = ["1~3,7", "5~2, 4", "x,,9", "", "3,3,1"]
+_SPECS = ["1~3,7", "5~2, 8", "x,,9", "", "3,3,1"]
 
 
 def glossary_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,6 +217,6 @@ SQL = {
     "classification_labels": f"""WITH {ITEMS_SQL}, a AS (SELECT i.*, {s_norm("text")} AS t, CASE WHEN quality = 0 THEN 'no_trans' WHEN toxic = 1 THEN 'skip_toxic' WHEN quality IS NULL THEN NULL ELSE 'translate' END AS answer FROM items i LEFT JOIN labels USING (doc_id))
         SELECT CASE WHEN line_no % 4 = 3 OR answer IS NULL OR answer = 'translate' THEN 'none' WHEN answer = 'skip_toxic' THEN answer WHEN line_no % 5 = 4 OR (layout_role <> 'title' AND NOT {s_code("t")}) OR length(text) >= 80 THEN 'none' ELSE 'skip_model_keep_origin' END AS label, count(*) AS n FROM a GROUP BY 1""",
     "glossary_csv": "SELECT * FROM (VALUES (0, 'ALPHA', '第一', 'last', 'preferred', 'exact', ''), (1, 'beta', '贝塔', '', 'canonical', 'regex', ''), (2, 'gamma', '伽马', 'n3', 'preferred', 'exact', '')) v(pos, source, target, note, level, match_mode, context)",
-    "page_ranges": "SELECT id::BIGINT AS id, pages FROM (VALUES (0, '1,2,3,7'), (1, '2,3,4,5'), (2, '9'), (3, ''), (4, '1,3')) v(id, pages)",
+    "page_ranges": "SELECT id::BIGINT AS id, pages FROM (VALUES (0, '1,2,3,7'), (1, '2,3,4,5,8'), (2, '9'), (3, ''), (4, '1,3')) v(id, pages)",
     "events_jsonl": "SELECT * REPLACE (seq::BIGINT AS seq, progress_current::BIGINT AS progress_current) FROM (VALUES (1, 't1', 'info', 'a', 'e1', 'e1', '', NULL, 3), (5, 't3', 'warn', NULL, 'named', 'named', '', 'p', NULL), (7, '', 'info', NULL, 'event', 'event', 'm', NULL, NULL)) v(seq, ts, level, stage, event, event_type, message, substage, progress_current)",
 }
