@@ -69,7 +69,30 @@ def model_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return translate(items(spark, sf_dir).select("item_id", "text"), "text").select("item_id", "translated", "final_status")
 
 
-QUERIES = {f.__name__: f for f in (protect_inline, restore_tokens, segment_windows, group_split, sentence_packs, copy_dominance, merge_rects, font_fit, model_hook)}
+def segment_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with two placeholders set into it, planned and put together again."""
+    text = F.concat(F.left("text", F.lit(30)), F.lit(" <f1-abc/> and <t1-def/> "), F.substring("text", 31, 100000))
+    rows = items(spark, sf_dir).withColumn("t", text)
+    return rows.select("item_id", S.effective_segments_udf("t").alias("segments"), S.rebuilt_udf("t").alias("rebuilt"))
+
+
+def group_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five lines make a group; each has one placeholder."""
+    rows = items(spark, sf_dir).where(~F.col("text").rlike("<[ft][0-9]")).groupBy("doc_id", F.floor(F.col("line_no") / 5).alias("g")).agg(F.array_sort(F.collect_list(F.struct("line_no", F.concat(F.col("text"), F.lit(" <f1-abc/>")).alias("t")))).alias("m"))
+    return rows.select("doc_id", "g", S.group_unit_udf(F.transform("m", lambda x: x["t"])).alias("source"))
+
+
+def vertical_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every box reaches down to 1.5 points above the next one."""
+    rows = items(spark, sf_dir).withColumn("r", F.array("x0", "y0", F.lit(300.0) + F.when(F.col("line_no") % 6 == 0, 300.0).otherwise(0.0), F.col("y0") + 34.5))
+    pages = rows.where("x0 < 100").groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    return pages.select("doc_id", "page_idx", F.size("rs").alias("before"), F.size(S.merge_vertical_udf("rs")).alias("after"))
+
+
+QUERIES = {f.__name__: f for f in (segment_plans, group_units, vertical_merges, protect_inline, restore_tokens, segment_windows, group_split, sentence_packs, copy_dominance, merge_rects, font_fit, model_hook)}
 SQL = {
+    "group_units": f"""WITH {ITEMS_SQL}, n AS (SELECT *, line_no // 5 AS g, row_number() OVER (PARTITION BY doc_id, line_no // 5 ORDER BY line_no) AS k FROM items WHERE NOT regexp_matches(text, '<[ft][0-9]'))
+        SELECT doc_id, g, trim(string_agg(trim(text || ' <f' || k || '-abc/>', chr(9) || chr(10) || chr(13) || ' '), ' ' ORDER BY line_no)) AS source FROM n GROUP BY ALL""",
+    "vertical_merges": f"""WITH {ITEMS_SQL}, r AS (SELECT *, count(*) OVER w AS k FROM items WHERE x0 < 100 WINDOW w AS (PARTITION BY doc_id, page_idx)) SELECT doc_id, page_idx, any_value(k)::INTEGER AS before, 1 AS after FROM r GROUP BY ALL""",
     "restore_tokens": f"WITH {ITEMS_SQL} SELECT item_id, text AS restored FROM items WHERE NOT regexp_matches(text, '[$_^\\\\]')",
 }
