@@ -31,8 +31,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the text decoded from them."""
-    path = vocabulary()
-    return bpe.digests(bpe.encode(docs, path), path)
+    return bpe.digests(docs, vocabulary())
 
 
 STAGES = [("language_id", known_language), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("decontamination", benchmark_leaks), ("bpe", tokens)]

@@ -18,10 +18,14 @@ from tokenizers import pre_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import small_batches
+
 #: Fixed value: the split of byte-level tokenizers.  Letters stand first, being most frequent; no other branch can start with one.
 PATTERN = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces kept with their ids by each worker, and the longest piece (in characters) worth keeping.
-CACHE, CACHED_CHARS = 250_000, 48
+CACHE, CACHED_CHARS = 150_000, 48
+#: Places that remember what was asked for once.
+DOOR = 1 << 21
 _NEVER = 1 << 60
 
 
@@ -99,6 +103,7 @@ class Bpe(dict):
         self._right: dict[int, list[tuple[int, int]]] = {}
         self._fits: dict[tuple[int, int], bool] = {}
         self.older: dict[str, bytes] = {}
+        self.door, self.doors = bytearray(DOOR), 0
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The parts of a token that touch its left (0) or right (1) edge, each with the rank at which it becomes part of more."""
@@ -127,7 +132,7 @@ class Bpe(dict):
                     rank = self.pair_rank.get((x, y))
                     if rank is not None and rank < x_until and rank <= y_until:
                         known = False
-            if len(self._fits) > 300_000:
+            if len(self._fits) > 260_000:
                 self._fits.clear()
             self._fits[a, b] = known
         return known
@@ -185,7 +190,14 @@ class Bpe(dict):
         return packed
 
     def _keep(self, piece: str, packed: bytes) -> None:
-        """Two generations: pieces that are asked for again outlive the change."""
+        """Keeps pieces that are asked for a second time, in two generations: those asked for again outlive the change."""
+        place = hash(piece) & (DOOR - 1)
+        if not self.door[place]:
+            self.door[place] = 1
+            self.doors += 1
+            if self.doors > DOOR // 2:
+                self.door, self.doors = bytearray(DOOR), 0
+            return
         if len(self) >= CACHE:
             self.older = dict(self)
             self.clear()
@@ -249,7 +261,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     Null text counts as empty and gives no ids.  Strings of added tokens in a text become those tokens.  No shuffle.
     ``vocabulary``: a tokenizers JSON file of a byte-level BPE at a path that every executor has.
     """
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encode(vocabulary), "doc_id long, ids binary")
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encode(vocabulary), "doc_id long, ids binary")
 
 
 def _decode(path: str):
@@ -272,17 +284,17 @@ def _digests(path: str):
         bpe = load(path)
         for batch in batches:
             n, a, b = [], [], []
-            for packed in batch.column(1):
-                raw = packed.as_buffer().to_pybytes()
-                ids = np.frombuffer(raw, "<u4")
+            for text in batch.column(1):
+                ids = bpe.encode(text.as_py() or "")
                 n.append(len(ids))
-                a.append(hashlib.sha256(raw).hexdigest())
+                a.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
-def digests(tokens: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the rows of ``encode``."""
-    return tokens.mapInArrow(_digests(vocabulary), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every whole text encoded, and its ids decoded again, in one pass of one worker."""
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_digests(vocabulary), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -129,11 +129,21 @@ def among(rows: DataFrame, key: str, keys: DataFrame, n: int, out: str = "__q_in
 # --- Arrow text ------------------------------------------------------------
 
 
+def small_batches(rows: DataFrame, most: int = 1000) -> DataFrame:
+    """``rows``, of which Python workers get at most ``most`` whole texts at a time unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if rows.sparkSession.conf.get(key) == "10000":  # Spark's default, which suits short rows
+        rows.sparkSession.conf.set(key, most)
+    return rows
+
+
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; null counts as empty."""
-    col = pc.fill_null(col.cast(pa.large_string()), "")
+    """(bytes, offsets) of a string column; null counts as empty.  The bytes are not copied unless there are nulls."""
+    if col.null_count:
+        col = pc.fill_null(col, "")
     _, off, data = col.buffers()
-    offsets = np.frombuffer(off, dtype=np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(col.type) else np.int32
+    offsets = np.frombuffer(off, dtype=kind)[col.offset : col.offset + len(col) + 1].astype(np.int64) if len(col) else np.zeros(1, np.int64)
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 

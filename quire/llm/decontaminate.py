@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import small_batches
+
 #: Edits allowed per character of an item.
 RATE = 0.08
 #: Bytes of item text that one pass over the documents holds; larger benchmarks take more passes.
@@ -145,7 +147,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     anywhere in the whole text; a budget of 0 asks for whole words.  Null or empty texts and items match nothing.
     Rows that repeat an id are searched each.  Documents are read once per block of items and not shuffled.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for block in item_blocks(items, block_bytes=block_bytes):
         made = rows.mapInArrow(_find(block, rate), "doc_id long, item_id long, distance long, budget long, start long, end long")
@@ -163,5 +165,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
                 keep = [not matcher(x.as_py()) for x in batch.column(batch.schema.get_field_index(text_col))]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.common import small_batches
+
 #: Length of a profile, and of the part of a document's own ranking that is compared with it.
 TOP = 400
 #: A training sample takes so many labelled texts of a language, in expectation, by hash of the id.
@@ -126,7 +128,7 @@ def _predict(profiles: dict[str, list[int]], top: int):
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", top: int = TOP) -> DataFrame:
     """(doc_id, lang_pred, score in [0, 1]) from whole texts; ``und`` and 0 for null text, text without letters or no profiles."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_predict(profiles, top), "doc_id long, lang_pred string, score double")
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_predict(profiles, top), "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", top: int = TOP) -> DataFrame:
@@ -138,7 +140,7 @@ def keep_known(docs: DataFrame, profiles: dict[str, list[int]], text_col: str =
             keep = [judge(x.as_py())[0] != UNKNOWN for x in batch.column(batch.schema.get_field_index(text_col))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: Column, mod: int, rest: int) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import among, counter, mix, stage, unstage
+from quire.llm.common import among, counter, mix, small_batches, stage, unstage
 
 #: Lines in the rolling window; one place in CUT ends a chunk; least and most lines of a chunk.
 WINDOW, CUT, LEAST, MOST = 2, 2, 2, 16
@@ -92,7 +92,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lines; rows repeating an id share their decisions.  What shuffles are chunk hashes, and the texts of documents with
     a repeated chunk (all others are told apart by a Bloom filter where they are read).  The occurrences of one chunk are never gathered: joins meet one row of the first occurrence.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = stage(rows.mapInArrow(_table, "doc_id long, first long, n long, h1 long, h2 long").distinct(), "chunks")
     first = table.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "first", "n")).alias("f"), F.count(F.lit(1)).alias("size")).where("size > 1").select("h1", "h2", "f")
     again = stage(table.join(first, ["h1", "h2"]), "again")

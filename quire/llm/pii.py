@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import small_batches, stage
+
 #: Collisions that may be sent with the task; more are joined to the documents that hold them.
 MOST_EXCEPTIONS = 50_000
 _FEMALE = r"Mrs|Ms|Miss|Madam|Frau|Mme|Mlle|Sra|Señora|Госпожа"
@@ -202,8 +204,6 @@ def collisions(values: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
 
     Of values with the same surrogate the smallest keeps it; the others try again, against all surrogates in use.
     """
-    from quire.llm.common import stage
-
     now = values.select("kind", "value", "made", F.lit(0).alias("attempt"))
     for _ in range(rounds):
         first = now.groupBy("kind", "made").agg(F.min(F.struct("attempt", "value")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("kind").alias("k1"), F.col("made").alias("m1"), F.col("f.value").alias("v1"))
@@ -249,9 +249,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     documents; digits keep their format (valid cards stay valid by Luhn), names their script and gender.  Distinct entities keep distinct
     surrogates: the first ones are checked over the whole corpus and colliding ones made anew.  Null text stays null.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    from quire.llm.common import stage
-
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     seen = stage(rows.mapInArrow(_found(key), "doc_id long, kind string, value string, made string").distinct(), "entities")
     odd = stage(collisions(seen.select("kind", "value", "made").distinct(), key), "exceptions")
     columns = "doc_id long, n_entities long, text string"

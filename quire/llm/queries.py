@@ -29,8 +29,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary()
-    return bpe.digests(bpe.encode(read(spark, sf_dir, "documents"), path), path)
+    return bpe.digests(read(spark, sf_dir, "documents"), vocabulary())
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import stage, unstage
+from quire.llm.common import small_batches, stage, unstage
 
 #: Letters of other scripts, digits and signs that stand for Latin letters.
 HOMOGLYPHS = {
@@ -193,4 +193,4 @@ def _score(lexicon: Lexicon):
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score in [0, 1]) of whole texts; null text counts as empty.  No shuffle."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_score(lexicon), "doc_id long, score double")
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_score(lexicon), "doc_id long, score double")

@@ -67,7 +67,7 @@ def test_bpe_edge_cases(spark, odd, none):
     back = {r["doc_id"]: r["text"] for r in bpe.decode(coded, PATH).collect()}
     texts = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
     assert back == texts
-    assert {r["doc_id"]: r["n_tokens"] for r in bpe.digests(coded, PATH).collect()}[3] == 0
+    assert {r["doc_id"]: r["n_tokens"] for r in bpe.digests(odd, PATH).collect()}[3] == 0
     assert bpe.encode(none, PATH).count() == 0
 
 
