@@ -65,6 +65,10 @@ AUTHOR_NAME = r"\b(?:[A-Z]\.\s*)?[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ'`´.-]{1,
 # -----------------------------------------------------------------------------
 
 
+#: A token with an operator or underscore (as in an indexed symbol), in capitals, or with both a letter and a digit (as in a float).
+CODEISH = r"(?<!\S)(?:(?=\S*[(){}\[\]=*<>+/,;:_])|(?=[A-Z][A-Z0-9_.-]{3,}(?!\S))|(?=\S*[A-Za-z])(?=\S*\d))\S+"
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -196,12 +200,7 @@ def is_code_literal(c: Column) -> Column:
     t = normalize_text(c)
     tokens = F.split(t, " ")
     n = F.size(tokens)
-    codeish = F.size(
-        F.filter(
-            tokens,
-            lambda x: x.rlike(INDEXED_SYMBOL) | x.rlike(FORTRAN_FLOAT) | x.rlike(CODE_OPERATOR) | x.rlike(ALL_CAPS_CODE) | x.contains("_") | (x.rlike("[A-Za-z]") & x.rlike(r"\d")),
-        )
-    )
+    codeish = _count(t, CODEISH)
     upper = _count(t, r"\p{Lu}") / F.greatest(F.lit(1), alpha_count(t))
     dense = (natural_word_count(t) <= 4) | ((upper >= 0.55) & ~t.rlike(PROSE_CUE)) | (_count(t, CODE_OPERATOR) >= F.greatest(F.lit(6), F.floor(F.length(t) / 18)))
     shaped = (F.length(t) >= 24) & ~t.rlike(r"[一-鿿]") & n.between(2, 64)
