@@ -23,9 +23,7 @@ from quire.llm.common import small_batches
 #: Fixed value: the split of byte-level tokenizers.  Letters stand first, being most frequent; no other branch can start with one.
 PATTERN = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces kept with their ids by each worker, and the longest piece (in characters) worth keeping.
-CACHE, CACHED_CHARS = 150_000, 48
-#: Places that remember what was asked for once.
-DOOR = 1 << 21
+CACHE, CACHED_CHARS = 220_000, 48
 _NEVER = 1 << 60
 
 
@@ -103,7 +101,6 @@ class Bpe(dict):
         self._right: dict[int, list[tuple[int, int]]] = {}
         self._fits: dict[tuple[int, int], bool] = {}
         self.older: dict[str, bytes] = {}
-        self.door, self.doors = bytearray(DOOR), 0
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The parts of a token that touch its left (0) or right (1) edge, each with the rank at which it becomes part of more."""
@@ -190,14 +187,7 @@ class Bpe(dict):
         return packed
 
     def _keep(self, piece: str, packed: bytes) -> None:
-        """Keeps pieces that are asked for a second time, in two generations: those asked for again outlive the change."""
-        place = hash(piece) & (DOOR - 1)
-        if not self.door[place]:
-            self.door[place] = 1
-            self.doors += 1
-            if self.doors > DOOR // 2:
-                self.door, self.doors = bytearray(DOOR), 0
-            return
+        """Two generations: pieces that are asked for again outlive the change."""
         if len(self) >= CACHE:
             self.older = dict(self)
             self.clear()
