@@ -20,7 +20,8 @@ _NAME = r"[^\W\d_a-zа-яß-ÿ][^\W\d_]+"
 _FIND = re.compile(
     rf"""
     (?P<email>(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+)
-  | (?P<secret>\bAKIA[A-Z0-9]{{16}}\b|\b(?:sk|pk|rk)[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{{16,}}\b|\bgh[pousr]_[A-Za-z0-9]{{20,}}\b|(?<=password=)\S+|(?<=passwd=)\S+|(?<=secret=)\S+|(?<=token=)\S+|(?<=api_key=)\S+|(?<=apikey=)\S+)
+  | (?P<secret>\bAKIA[A-Z0-9]{{16}}\b|\b(?:sk|pk|rk)[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{{16,}}\b|\bgh[pousr]_[A-Za-z0-9]{{20,}}\b)
+  | (?P<named>\b(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s{{0,3}}[:=]\s{{0,3}}["']?)(?P<value>[^\s"',;]{{6,}})
   | (?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))
   | (?P<ssn>(?<![\d-])\d{{3}}-\d{{2}}-\d{{4}}(?![\d-]))
   | (?P<card>(?<![\d-])\d(?:[ -]?\d){{12,18}}(?![\d-]))
@@ -31,7 +32,7 @@ _FIND = re.compile(
     re.VERBOSE,
 )
 #: A text without any of these holds no entity.
-_MAY = re.compile(r"@|\d|AKIA|password=|passwd=|secret=|token=|api_?key=|\b(?:sk|pk|rk|gh[pousr])[-_]|\b(?:" + _FEMALE + "|" + _MALE + r"|Dr|Prof)\b\.? ")
+_MAY = re.compile(r"@|\d|AKIA|(?i:passw|pwd|secret|token|key)|\b(?:sk|pk|rk|gh[pousr])[-_]|\b(?:" + _FEMALE + "|" + _MALE + r"|Dr|Prof)\b\.? ")
 
 
 def luhn(digits: str) -> bool:
@@ -151,6 +152,9 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     out, names = [], {}
     for m in _FIND.finditer(text):
         kind, value = m.lastgroup, m[0]
+        if kind == "value":  # of a named secret
+            out.append((m.start(kind), m.end(kind), "secret", m[kind]))
+            continue
         if kind == "person":
             title, *words = value.split(" ")
             title = title.rstrip(".")
