@@ -1,4 +1,4 @@
-"""Line dedup over content-defined chunks of lines."""
+"""Line dedup over all windows of two lines, and single long lines."""
 
 from __future__ import annotations
 
@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import among, counter, mix, small_batches, stage, unstage
 
-#: Lines in the rolling window; one place in CUT ends a chunk; least and most lines of a chunk.
+#: Lines of a window.  Every repeated passage of two lines or more is the union of its windows, wherever it stands.
+PAIR = 2
+#: A line of so many words, or so many bytes (scripts without blanks), is a passage by itself.
+LONG_WORDS, LONG_BYTES = 50, 300
+#: Of chunks(), which the operator no longer uses. Lines in the rolling window; one place in CUT ends a chunk; least and most lines of a chunk.
 WINDOW, CUT, LEAST, MOST = 2, 2, 2, 16
 _SALTS = counter(WINDOW, 71)
 
@@ -43,32 +47,37 @@ def chunks(hashes: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def windows(lines: list[bytes]) -> list[tuple[int, int]]:
+    """(first line, number of lines) of all that counts as repeated where it occurs again: neighbouring lines, and long ones."""
+    pairs = [(k, PAIR) for k in range(len(lines) - PAIR + 1)]
+    return pairs + [(k, 1) for k, x in enumerate(lines) if len(x) >= LONG_BYTES or len(x.split()) >= LONG_WORDS]
+
+
 def _table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "first", "n", "h1", "h2"]
     for batch in batches:
         rows: list[tuple[int, int, int, int, int]] = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            lines = (text.as_py() or "").encode().split(b"\n")
-            if doc is None or len(lines) < LEAST:
+            if doc is None or not text.is_valid:
                 continue
-            for first, n in chunks(line_hashes(lines)):
-                if n >= LEAST:
-                    d = hashlib.blake2b(b"\n".join(lines[first : first + n]), digest_size=16).digest()
-                    rows.append((doc, first, n, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
+            lines = text.as_py().encode().split(b"\n")
+            for first, n in windows(lines):
+                d = hashlib.blake2b(b"\n".join(lines[first : first + n]), digest_size=16).digest()
+                rows.append((doc, first, n, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
         if rows:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, places) to the bytes of the chunks at these places."""
+    """(doc_id, text, places) to the bytes of the windows at these places."""
     for batch in batches:
         out = []
         for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             lines = (text.as_py() or "").encode().split(b"\n")
-            out += [(doc, p["first"], p["h1"], p["h2"], b"\n".join(lines[p["first"] : p["first"] + p["n"]])) for p in places]
+            out += [(doc, p["first"], p["n"], p["h1"], p["h2"], b"\n".join(lines[p["first"] : p["first"] + p["n"]])) for p in places]
         if out:
             cols = list(zip(*out, strict=True))
-            yield pa.record_batch([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.binary())], names=["doc_id", "first", "h1", "h2", "chunk"])
+            yield pa.record_batch([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary())], names=["doc_id", "first", "n", "h1", "h2", "chunk"])
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,24 +94,31 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_lines, n_removed, text): each text without multi-line chunks that occur before it, here or elsewhere.
-
-    The occurrence with the smallest (id, line) stays.  Repeats are found by a 128-bit hash and then compared byte for
-    byte with that occurrence; one that differs stays.  Null text has no lines and stays null; rows with a null id keep all
-    lines; rows repeating an id share their decisions.  What shuffles are chunk hashes, and the texts of documents with
-    a repeated chunk (all others are told apart by a Bloom filter where they are read).  The occurrences of one chunk are never gathered: joins meet one row of the first occurrence.
+    """(doc_id, n_lines, n_removed, text): each text without passages that occur before it, here or elsewhere.
+
+    A passage is two or more lines in a row, or a long one (see windows()); by going over every window of two lines, all of
+    its lines go, wherever it begins and whatever stands around it.  The occurrence of a window with the smallest (id, line)
+    counts as the first; it may lose a line only to a passage that occurs before it.  So every line stays somewhere.
+    Repeats are found by a 128-bit hash and then compared byte for byte with the first occurrence; one that differs stays.
+    Null text has no lines and stays null; rows with a null id keep all lines; rows repeating an id share their decisions.
+    What shuffles are window hashes, and the texts of documents with a repeated window (all others are told apart by a
+    Bloom filter where they are read).  The occurrences of one window are never gathered: joins meet one row of the first
+    occurrence.
     """
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    table = stage(rows.mapInArrow(_table, "doc_id long, first long, n long, h1 long, h2 long").distinct(), "chunks")
+    table = stage(rows.mapInArrow(_table, "doc_id long, first long, n long, h1 long, h2 long").distinct(), "windows")
     first = table.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "first", "n")).alias("f"), F.count(F.lit(1)).alias("size")).where("size > 1").select("h1", "h2", "f")
     again = stage(table.join(first, ["h1", "h2"]), "again")
     places = again.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "h1", "h2")).alias("places"))
     ids = again.select("doc_id").distinct()
     holders = among(rows, "doc_id", ids, ids.count()).where("__q_in").drop("__q_in")
-    texts = stage(holders.join(places, "doc_id").mapInArrow(_texts, "doc_id long, first long, h1 long, h2 long, chunk binary").dropDuplicates(["doc_id", "first"]), "texts")
-    lead = texts.alias("t").join(first, ["h1", "h2"]).where("doc_id = f.doc_id AND first = f.first").select("h1", "h2", F.col("chunk").alias("lead"), F.col("f.doc_id").alias("d0"), F.col("f.first").alias("l0"), F.col("f.n").alias("n"))
+    texts = stage(holders.join(places, "doc_id").mapInArrow(_texts, "doc_id long, first long, n long, h1 long, h2 long, chunk binary").dropDuplicates(["doc_id", "first", "n"]), "texts")
+    lead = texts.alias("t").join(first, ["h1", "h2"]).where("doc_id = f.doc_id AND first = f.first").select("h1", "h2", F.col("chunk").alias("lead"), F.col("f.doc_id").alias("d0"), F.col("f.first").alias("l0"))
     same = texts.join(lead, ["h1", "h2"]).where("chunk = lead AND (doc_id <> d0 OR first <> l0)")
-    drop = stage(same.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("drop")), "drop")
+    # a line said three times in a row: the second window overlaps the first, whose lines stay
+    start = F.when(F.col("doc_id") == F.col("d0"), F.greatest("first", F.col("l0") + F.col("n"))).otherwise(F.col("first"))
+    gone = same.select("doc_id", start.alias("first"), (F.col("first") + F.col("n") - start).alias("n"))
+    drop = stage(gone.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("drop")), "drop")
     for t in (again, texts, table):
         unstage(t)
     tested = among(rows, "doc_id", drop, drop.count())
