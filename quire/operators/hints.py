@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators.outputs import command_prefix
+from quire.operators.outputs import command_prefix, let
 
 # --- fixed values ------------------------------------------------------------
 FIELD_LABEL = r"(?:^|\s*[•\-]\s+)([A-Za-z][A-Za-z0-9 _./-]{1,40})\s*:"
@@ -52,15 +52,19 @@ def is_structured_block(text: Column) -> Column:
 def soft_hints(lines: Column, text: Column, bodylike: Column) -> Column:
     """Names of what a block looks like, in order.  ``lines``: its text by line."""
     clean = F.filter(F.transform(lines, T.normalize_text), lambda x: x != "")
-    command = F.transform(clean, lambda x: command_prefix(x) != "")
-    prose = F.exists(clean, lambda x: (T.natural_word_count(x) >= 6) & (T.alpha_count(x) >= 24))
-    tail = F.array_join(F.slice(clean, F.lit(2), F.greatest(F.lit(0), F.size(clean) - 1)), " ")
+    command = lambda clean: F.transform(clean, lambda x: command_prefix(x) != "")
     starts = command_prefix(text) != ""
-    names = [
-        ("body_text_block", bodylike), ("long_english_prose", T.natural_word_count(T.normalize_text(text)) >= 8), ("command_prefix_then_prose_tail", (F.size(clean) >= 2) & F.get(command, F.lit(0)) & (T.natural_word_count(tail) >= 6)),
-        ("mixed_literal_and_prose_block", F.exists(command, lambda x: x) & prose), ("single_line_command_prefix_with_prose_tail", starts), ("starts_with_command_prefix", starts),
-    ]
-    return F.when(T.normalize_text(text) == "", F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), n) for n, c in names])))
+
+    def names(norm: Column, clean: Column, command: Column, starts: Column) -> Column:
+        prose = F.exists(clean, lambda x: (T.natural_word_count(x) >= 6) & (T.alpha_count(x) >= 24))
+        tail = F.array_join(F.slice(clean, F.lit(2), F.greatest(F.lit(0), F.size(clean) - 1)), " ")
+        found = [
+            ("body_text_block", bodylike), ("long_english_prose", T.natural_word_count(norm) >= 8), ("command_prefix_then_prose_tail", (F.size(clean) >= 2) & F.get(command, F.lit(0)) & (T.natural_word_count(tail) >= 6)),
+            ("mixed_literal_and_prose_block", F.exists(command, lambda x: x) & prose), ("single_line_command_prefix_with_prose_tail", starts), ("starts_with_command_prefix", starts),
+        ]
+        return F.when(norm == "", F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), n) for n, c in found])))
+
+    return let(T.normalize_text(text), lambda t: let(clean, lambda c: let(command(c), lambda k: let(starts, lambda s: names(t, c, k, s)))))
 
 
 def apply_hints(rows: DataFrame, hints: DataFrame, item: str = "item_id") -> DataFrame:

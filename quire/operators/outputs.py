@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,26 +41,37 @@ def _any(c: Column, needles: tuple[str, ...]) -> Column:
 # --- commands ----------------------------------------------------------------------
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row; a plain expression in a lambda would be computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def command_prefix(text: Column) -> Column:
     """The longest run of command-like tokens at the start of a text whose rest is prose of six words or more; empty where there is none."""
-    tokens = F.split(T.normalize_text(text), " ")
+    return let(F.split(T.normalize_text(text), " "), _command_prefix)
+
+
+def _command_prefix(tokens: Column) -> Column:
     head = F.get(tokens, F.lit(0))
     heady = head.rlike(HEAD) & ((F.lower(head) == head) | head.rlike(r"[\d.-]"))
     before = lambda i: F.get(tokens, i - 1)
     value = lambda t, i: t.isin(*COMMAND_OPERATORS) | t.rlike(ARGUMENT) | t.rlike(FLAG) | t.rlike(NUMBER) | t.rlike(FILE) | t.rlike(r"[/\\_=]") | before(i).isin(*COMMAND_OPERATORS) | before(i).rlike(FLAG)
     first_no = F.array_position(F.transform(tokens, lambda t, i: (i > 0) & ~value(t, i)), F.lit(True))
-    used = F.when(first_no == 0, F.size(tokens)).otherwise(first_no - 1).cast("int")
-    prefix = F.slice(tokens, F.lit(1), used)
-    tail = F.slice(prefix, F.lit(2), F.greatest(F.lit(0), used - 1))
+    used = let(first_no, lambda k: F.when(k == 0, F.size(tokens)).otherwise(k - 1).cast("int"))
     some = lambda arr, p: F.exists(arr, lambda t: t.rlike(p))
     points = lambda c, n: F.when(c, n).otherwise(0)
-    evidence = (
-        points(some(tail, FLAG), 2) + points(some(tail, FILE), 2) + points(some(tail, ARGUMENT), 2) + points(F.exists(prefix, lambda t: t.isin(*COMMAND_OPERATORS)), 2) + points(F.size(F.filter(tail, lambda t: t.rlike(NUMBER))) >= 2, 1)
-        + points(some(tail, r"[/\\=]"), 1) + points(head.rlike(r"[\d.-]"), 1)
-    )
-    rest = F.array_join(F.slice(tokens, used + 1, F.size(tokens)), " ")
-    ok = (F.size(tokens) >= 3) & heady & (used >= 3) & (evidence >= 2) & (T.natural_word_count(rest) >= 6)
-    return F.when(ok, F.array_join(prefix, " ")).otherwise("")
+
+    def checked(used: Column) -> Column:
+        prefix = F.slice(tokens, F.lit(1), used)
+        tail = F.slice(tokens, F.lit(2), F.greatest(F.lit(0), used - 1))
+        evidence = (
+            points(some(tail, FLAG), 2) + points(some(tail, FILE), 2) + points(some(tail, ARGUMENT), 2) + points(F.exists(prefix, lambda t: t.isin(*COMMAND_OPERATORS)), 2) + points(F.size(F.filter(tail, lambda t: t.rlike(NUMBER))) >= 2, 1)
+            + points(some(tail, r"[/\\=]"), 1) + points(head.rlike(r"[\d.-]"), 1)
+        )
+        rest = F.array_join(F.slice(tokens, used + 1, F.size(tokens)), " ")
+        return F.when((used >= 3) & (evidence >= 2) & (T.natural_word_count(rest) >= 6), F.array_join(prefix, " ")).otherwise("")
+
+    return F.when((F.size(tokens) >= 3) & heady, let(used, checked)).otherwise("")
 
 
 # --- outputs -----------------------------------------------------------------------

@@ -32,7 +32,7 @@ def soft_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-k - 10, f"{t}\nthe rest of this block is a line of plain English prose") for k, t in enumerate(COMMANDS)], "doc_id long, text string")
     from quire.plans.tables import table
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 3).alias("text")).unionByName(own)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(own)
     return docs.select("doc_id", F.array_join(H.soft_hints(F.split("text", "\n"), F.col("text"), F.col("doc_id") % 2 == 0), ",").alias("hints"))
 
 
