@@ -20,11 +20,23 @@ def protect_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", "p.protected", F.size("p.tokens").alias("n_tokens"), F.array_join(F.transform("p.tokens", lambda t: t["token_tag"]), ",").alias("tags"))
 
 
-def restore_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Preserved terms restore to the text itself."""
+#: Characters without which a line holds no formula.
+FORMULA_SIGNS = r"[$_^\\]"
+
+
+def _restored(rows: DataFrame) -> DataFrame:
     keep = [t for t in TERMS if t[2] == "preserve"]
-    rows = items(spark, sf_dir).where(~F.col("text").rlike(r"[$_^\\]")).select("item_id", "text", S.protect_udf(keep)("text").alias("p"))
-    return rows.select("item_id", S.restore_udf("p.protected", "p.tokens").alias("restored"))
+    return rows.select("item_id", S.protect_udf(keep)("text").alias("p")).select("item_id", S.restore_udf("p.protected", "p.tokens").alias("restored"))
+
+
+def restore_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preserved terms restore to the text itself, in lines without formulas; restore_formulas has the others."""
+    return _restored(items(spark, sf_dir).where(~F.col("text").rlike(FORMULA_SIGNS)))
+
+
+def restore_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that may hold a formula: formulas come back as inline math, so the text may not be what it was."""
+    return _restored(items(spark, sf_dir).where(F.col("text").rlike(FORMULA_SIGNS)))
 
 
 def segment_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +101,7 @@ def vertical_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("doc_id", "page_idx", F.size("rs").alias("before"), F.size(S.merge_vertical_udf("rs")).alias("after"))
 
 
-QUERIES = {f.__name__: f for f in (segment_plans, group_units, vertical_merges, protect_inline, restore_tokens, segment_windows, group_split, sentence_packs, copy_dominance, merge_rects, font_fit, model_hook)}
+QUERIES = {f.__name__: f for f in (segment_plans, group_units, vertical_merges, protect_inline, restore_tokens, restore_formulas, segment_windows, group_split, sentence_packs, copy_dominance, merge_rects, font_fit, model_hook)}
 SQL = {
     "group_units": f"""WITH {ITEMS_SQL}, n AS (SELECT *, line_no // 5 AS g, row_number() OVER (PARTITION BY doc_id, line_no // 5 ORDER BY line_no) AS k FROM items WHERE NOT regexp_matches(text, '<[ft][0-9]'))
         SELECT doc_id, g, trim(string_agg(trim(text || ' <f' || k || '-abc/>', chr(9) || chr(10) || chr(13) || ' '), ' ' ORDER BY line_no)) AS source FROM n GROUP BY ALL""",
