@@ -83,7 +83,7 @@ def model_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segment_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with two placeholders set into it, planned and put together again."""
-    text = F.concat(F.left("text", F.lit(30)), F.lit(" <f1-abc/> and <t1-def/> "), F.substring("text", 31, 100000))
+    text = F.concat(F.left("text", F.lit(30)), F.lit(" <f1-abc/> and <t1-def/> "), F.expr("substring(text, 31)"))
     rows = items(spark, sf_dir).withColumn("t", text)
     return rows.select("item_id", S.effective_segments_udf("t").alias("segments"), S.rebuilt_udf("t").alias("rebuilt"))
 

@@ -28,3 +28,9 @@ def test_every_line_is_restored_by_one_of_two_queries(spark, tables):
     rows = [{r["item_id"]: r["restored"] for r in entry.queries()[n](spark, folder).where("item_id >= 0").collect()} for n in ("restore_tokens", "restore_formulas")]
     assert rows[0] == {0: "plain SCF line", 1000000: "cost is 5", 2000000: "no sign"}
     assert rows[1] == {1: "the energy $x^2$ and $E_k$ of SCF", 2: "a $\\alpha_{i}$ b", 1000001: "half $a_1$"}
+
+
+def test_segment_plans_keep_the_tail_of_a_long_line(spark, tables):
+    text = "word " * 25000 + "the very end"
+    row = entry.queries()["segment_plans"](spark, tables(text)).where("item_id = 0").collect()[0]
+    assert row["rebuilt"].endswith("the very end") and row["rebuilt"].count("word") == 25000
