@@ -18,7 +18,7 @@ from tokenizers import pre_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches
+from quire.llm.common import sliced
 
 #: Fixed value: the split of byte-level tokenizers.  Letters stand first, being most frequent; no other branch can start with one.
 PATTERN = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -232,7 +232,7 @@ def load(path: str) -> Bpe:
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
+        for batch in sliced(batches):
             texts, ids, n_rows, weight = batch.column(1), [], 0, 0
             for row in range(len(texts)):
                 made = bpe.encode(texts[row].as_py() or "").tobytes()
@@ -251,13 +251,13 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     Null text counts as empty and gives no ids.  Strings of added tokens in a text become those tokens.  No shuffle.
     ``vocabulary``: a tokenizers JSON file of a byte-level BPE at a path that every executor has.
     """
-    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encode(vocabulary), "doc_id long, ids binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encode(vocabulary), "doc_id long, ids binary")
 
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [bpe.decode(np.frombuffer(x.as_py() or b"", "<u4")).decode() for x in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
@@ -272,7 +272,7 @@ def decode(tokens: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
+        for batch in sliced(batches):
             n, a, b = [], [], []
             for text in batch.column(1):
                 ids = bpe.encode(text.as_py() or "")
@@ -286,5 +286,5 @@ def _digests(path: str):
 
 def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): every whole text encoded, and its ids decoded again, in one pass of one worker."""
-    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_digests(vocabulary), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quire.llm.common import small_batches
+from quire.llm.common import sliced
 
 #: Marks of the template.  A turn is OPEN role MIDDLE text CLOSE.
 OPEN, MIDDLE, CLOSE = "<|turn|>", "<|text|>", "<|end|>"
@@ -108,7 +108,7 @@ def format_chats(turns: DataFrame, vocabulary: str, id_col: str = "conv_id", tur
     The marks are added tokens, so no token crosses the edge of a turn's text.
     """
     row = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    grouped = small_batches(turns).groupBy(F.col(id_col).cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
+    grouped = turns.groupBy(F.col(id_col).cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
     return grouped.mapInArrow(_format(vocabulary, tuple(loss_roles)), _COLUMNS)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,21 @@ _GOLDEN = 0x9E3779B97F4A7C15
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor sees: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """Folder that every executor sees: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (tests) gets a temporary folder; a cluster raises, since executors don't share one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local()
+
+
+@lru_cache(maxsize=1)
+def _local() -> str:
+    return tempfile.mkdtemp(prefix="quire-")
 
 
 _roots: dict[str, str] = {}
@@ -126,15 +136,35 @@ def among(rows: DataFrame, key: str, keys: DataFrame, n: int, out: str = "__q_in
     return filter_test(rows.withColumn("__q_h", F.xxhash64(F.col(key).cast("long"))), filter_bitmaps(cells), blocks, out).drop("__q_h")
 
 
+# --- joins with hot keys ---------------------------------------------------------
+
+#: A key with more than 1 / HOT_SHARE of all rows is hot; there are at most HOT_SHARE such keys.
+HOT_SHARE = 2000
+
+
+def join_sized(rows: DataFrame, keyed: DataFrame, on: Sequence[str], size: str, total: int, how: str = "inner", hot_share: int = HOT_SHARE) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row per key and in ``size`` the number of rows of that key.
+
+    Keys with more than ``total`` / ``hot_share`` rows (``hot_share`` of them at most) are joined from a broadcast, so no
+    task gets all rows of such a key; the rest meets by a shuffle.  ``rows`` is read twice: pass a staged table.
+    """
+    least, names = total // hot_share + 1, [c for c in keyed.columns if c not in on]
+    marked = rows.join(F.broadcast(keyed.where(F.col(size) > least).withColumn("__q_hot", F.lit(True))), list(on), "left")
+    cold = marked.where("__q_hot IS NULL").drop("__q_hot", *names).join(keyed.where(F.col(size) <= least), list(on), how)
+    return marked.where("__q_hot").drop("__q_hot").unionByName(cold)
+
+
 # --- Arrow text ------------------------------------------------------------
 
 
-def small_batches(rows: DataFrame, most: int = 1000) -> DataFrame:
-    """``rows``, of which Python workers get at most ``most`` whole texts at a time unless the session says otherwise."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if rows.sparkSession.conf.get(key) == "10000":  # Spark's default, which suits short rows
-        rows.sparkSession.conf.set(key, most)
-    return rows
+def sliced(batches: Iterator[pa.RecordBatch], most: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``most`` rows, so that what a worker makes of whole texts at a time stays small.
+
+    Spark bounds the incoming ones by rows and bytes (spark.sql.execution.arrow.maxBytesPerBatch); slices copy nothing.
+    """
+    for batch in batches:
+        for a in range(0, batch.num_rows, most):
+            yield batch.slice(a, most)
 
 
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches
+from quire.llm.common import sliced
 
 #: Edits allowed per character of an item.
 RATE = 0.08
@@ -131,7 +131,7 @@ def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text
 def _find(block: list[tuple[int, str]], rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(block, rate)
-        for batch in batches:
+        for batch in sliced(batches):
             found = [(k, *m) for k, x in enumerate(batch.column(1)) for m in matcher(x.as_py())]
             if found:
                 cols = list(zip(*found, strict=True))
@@ -147,7 +147,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     anywhere in the whole text; a budget of 0 asks for whole words.  Null or empty texts and items match nothing.
     Rows that repeat an id are searched each.  Documents are read once per block of items and not shuffled.
     """
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for block in item_blocks(items, block_bytes=block_bytes):
         made = rows.mapInArrow(_find(block, rate), "doc_id long, item_id long, distance long, budget long, start long, end long")
@@ -161,9 +161,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, rate)
-            for batch in batches:
+            for batch in sliced(batches):
                 keep = [not matcher(x.as_py()) for x in batch.column(batch.schema.get_field_index(text_col))]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = small_batches(docs).mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches
+from quire.llm.common import sliced
 
 #: Length of a profile, and of the part of a document's own ranking that is compared with it.
 TOP = 400
@@ -56,7 +56,7 @@ def ranking(keys: np.ndarray, counts: np.ndarray, top: int = TOP) -> np.ndarray:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) rows to (lang, key, n) counts."""
-    for batch in batches:
+    for batch in sliced(batches):
         parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             keys, counts = ngrams(text.as_py() or "")
@@ -119,7 +119,7 @@ class Judge:
 def _predict(profiles: dict[str, list[int]], top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(profiles, top)
-        for batch in batches:
+        for batch in sliced(batches):
             found = [judge(x.as_py()) for x in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -128,7 +128,7 @@ def _predict(profiles: dict[str, list[int]], top: int):
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", top: int = TOP) -> DataFrame:
     """(doc_id, lang_pred, score in [0, 1]) from whole texts; ``und`` and 0 for null text, text without letters or no profiles."""
-    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_predict(profiles, top), "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_predict(profiles, top), "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", top: int = TOP) -> DataFrame:
@@ -136,11 +136,11 @@ def keep_known(docs: DataFrame, profiles: dict[str, list[int]], text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(profiles, top)
-        for batch in batches:
+        for batch in sliced(batches):
             keep = [judge(x.as_py())[0] != UNKNOWN for x in batch.column(batch.schema.get_field_index(text_col))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: Column, mod: int, rest: int) -> Column:

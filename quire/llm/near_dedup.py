@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import among, counter, mix, ranges, shingle_sets, signed, small_batches, stage, text_buffers, unstage
+from quire.llm.common import among, counter, mix, ranges, shingle_sets, signed, sliced, stage, text_buffers, unstage
 
 #: 32 bands of 4: at a similarity of 0.8 a pair shares no band with probability (1 - 0.8^4)^32 < 5e-8.
 BANDS, ROWS = 32, 4
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     different components go on to compare classes across those components (bits of the signatures first, then full
     sets), so no link between different components is lost, and most buckets cost pairs in proportion to their size.
     """
-    source = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sigs = stage(source.mapInArrow(_signatures(width, bands, rows), _SIGNED), "signatures")
     classes = sigs.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     reps = sigs.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches, stage
+from quire.llm.common import sliced, stage
 
 #: Collisions that may be sent with the task; more are joined to the documents that hold them.
 MOST_EXCEPTIONS = 50_000
@@ -177,7 +177,7 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
 
 def _found(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [(d, k, _norm(k, v), surrogate(k, _norm(k, v), key)) for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for _, _, k, v in entities(x.as_py())]
             if rows:
                 c = list(zip(*rows, strict=True))
@@ -193,7 +193,7 @@ def _norm(kind: str, value: str) -> str:
 
 def _next(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = batch.to_pylist()
             for r in rows:
                 r["attempt"] += 1
@@ -237,7 +237,7 @@ def replace(text: str | None, key: bytes, attempts: dict[tuple[str, str], int])
 
 def _replace(key: bytes, exceptions: dict[tuple[str, str], int] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             own = batch.column(2).to_pylist() if exceptions is None else [None] * batch.num_rows
             made = [replace(x.as_py(), key, exceptions if exceptions is not None else {(e["kind"], e["value"]): e["attempt"] for e in o or ()}) for x, o in zip(batch.column(1), own, strict=True)]
             yield pa.record_batch([batch.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([t for t, _ in made], pa.string())], names=["doc_id", "n_entities", "text"])
@@ -253,7 +253,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     documents; digits keep their format (valid cards stay valid by Luhn), names their script and gender.  Distinct entities keep distinct
     surrogates: the first ones are checked over the whole corpus and colliding ones made anew.  Null text stays null.
     """
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     seen = stage(rows.mapInArrow(_found(key), "doc_id long, kind string, value string, made string").distinct(), "entities")
     odd = stage(collisions(seen.select("kind", "value", "made").distinct(), key), "exceptions")
     columns = "doc_id long, n_entities long, text string"

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches, stage, unstage
+from quire.llm.common import sliced, stage, unstage
 
 #: Letters of other scripts, digits and signs that stand for Latin letters.
 HOMOGLYPHS = {
@@ -102,7 +102,7 @@ def _terms(low: int, high: int):
     """(text, toxic) rows to (term, bad, good): in how many texts a word or stem occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             count: dict[str, list[int]] = {}
             for text, bad in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 words = {w for w in _WORD.findall(fold(text.as_py() or "")) if low <= len(w) <= 40}
@@ -118,7 +118,7 @@ def _terms(low: int, high: int):
 def _feature_rows(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(lexicon)
-        for batch in batches:
+        for batch in sliced(batches):
             made = [score.features(x.as_py() or "") for x in batch.column(0)]
             yield pa.record_batch([pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.int64()), batch.column(1)], names=["total", "words", "toxic"])
 
@@ -185,7 +185,7 @@ def calibrate(lexicon: Lexicon, x: np.ndarray, y: np.ndarray, share: float, samp
 def _score(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(lexicon)
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.record_batch([batch.column(0), pa.array([score(x.as_py()) for x in batch.column(1)], pa.float64())], names=["doc_id", "score"])
 
     return run
@@ -193,4 +193,4 @@ def _score(lexicon: Lexicon):
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score in [0, 1]) of whole texts; null text counts as empty.  No shuffle."""
-    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_score(lexicon), "doc_id long, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_score(lexicon), "doc_id long, score double")
