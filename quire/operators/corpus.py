@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ MAX_TERMS, CONTEXT_CHARS = 240, 160
 MEMORY_TERMS, PROMPT_TERMS, SOURCES = 160, 20, 8
 BATCH_FLOOR, BATCH_MIN_CHARS, BATCH_MAX_CHARS, BATCH_PLACEHOLDERS = 6, 16, 1200, 8
 # -----------------------------------------------------------------------------
+#: Java walks a repeated group by recursion: a term has at most 200 parts.
+_TECH_TERM = T.edged(TECH_TERM).replace(")+|", "){1,200}|").replace(")*|", "){0,200}|")
 
 
 # --- dedupe ----------------------------------------------------------------------
@@ -86,7 +90,7 @@ def preserve_terms(rows: DataFrame, text: str, order: list[str], existing: DataF
 
     Occurrences count on the map side before they meet.  ``existing``: (source) of a curated glossary, left out.
     """
-    found = rows.select(*order, F.posexplode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TECH_TERM), F.lit(0))).alias("__at", "raw"))
+    found = rows.select(*order, F.posexplode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TECH_TERM), F.lit(0))).alias("__at", "raw"))
     terms = found.withColumn("term", F.btrim("raw", F.lit(TRIM_CHARS))).where(_worth_preserving(F.col("term"))).withColumn("key", F.lower("term"))
     counted = terms.groupBy("key").agg(F.count(F.lit(1)).alias("hits"), F.min(F.struct(*order, "__at", "term")).alias("f")).select("key", F.col("f.term").alias("term"), "hits").where(F.col("hits") >= min_hits)
     if existing is not None:
@@ -115,31 +119,39 @@ def overridden_count(base: DataFrame, overlay: DataFrame) -> DataFrame:
     return overlay.select(glossary_key(F.col("source")).alias("k")).join(keys, "k", "left_semi").agg(F.count(F.lit(1)).alias("overridden"))
 
 
-def _quote(c: Column) -> Column:
-    return F.regexp_replace(c, r"([^A-Za-z0-9_\s])", r"\\$1")
-
-
-def glossary_pattern(source: Column, mode: Column) -> Column:
-    """The regular expression of an entry: literal with word edges, caseless, or the source itself."""
-    literal = F.concat(F.lit(r"(?<![A-Za-z0-9_])"), _quote(source), F.lit(r"(?![A-Za-z0-9_])"))
-    return F.when(mode == "regex", source).when(mode == "case_insensitive", F.concat(F.lit("(?i)"), literal)).otherwise(literal)
-
-
-def match_glossary(rows: DataFrame, glossary: DataFrame, text: str, item: str = "item_id", most_entries: int = 5000) -> DataFrame:
+def match_glossary(rows: DataFrame, glossary: DataFrame, text: str, item: str = "item_id", most_entries: int = 200) -> DataFrame:
     """(item, source, target, level): entries that occur in a text, within 160 characters of their context where they have one.
 
-    The glossary is broadcast, its size being checked first; a larger one is an error.
+    A glossary has at most ``most_entries`` entries (a larger one is an error), so they come to the driver and go into the
+    plan as literals: every pattern is compiled once, texts are read once, nothing is joined.  Before the pattern of a
+    plain entry a text is searched for its letters, and contexts are looked for in texts with a hit only.
     """
-    if glossary.limit(most_entries + 1).count() > most_entries:
+    entries = glossary.limit(most_entries + 1).collect()
+    if len(entries) > most_entries:
         raise ValueError(f"a glossary has at most {most_entries} entries")
-    g = glossary.withColumn("__p", glossary_pattern(F.col("source"), F.col("match_mode")))
-    # where an entry has a context, it must stand within 160 characters of some occurrence
-    near = F.concat(F.lit("(?s)(?:.{0,160}"), F.col("__p"), F.lit(".{0,160})"))
-    spans = F.call_function("regexp_extract_all", F.col(text), near, F.lit(0))
-    with_context = F.exists(spans, lambda s: F.contains(F.lower(s), F.lower("context")))
-    hit = F.call_function("regexp_like", F.col(text), F.col("__p")) & (F.coalesce(F.trim("context"), F.lit("")).eqNullSafe("") | with_context)
-    found = rows.join(F.broadcast(g), hit)
-    return found.groupBy(item, F.lower("source").alias("__s"), F.lower("target").alias("__t"), "level", F.lower(F.coalesce("context", F.lit(""))).alias("__c")).agg(F.first("source").alias("source"), F.first("target").alias("target")).select(item, "source", "target", "level")
+    if not entries:
+        return rows.select(item, F.lit("").alias("source"), F.lit("").alias("target"), F.lit("").alias("level")).limit(0)
+    t, low = F.col(text), F.lower(text)
+    merged: dict[tuple[str, str, str, str], tuple] = {}
+    for e in entries:
+        context = (e["context"] or "").lower()
+        first = merged.setdefault((e["source"].lower(), (e["target"] or "").lower(), e["level"], context), (e["source"], e["target"], e["level"], []))
+        first[3].append(_entry_hit(t, low, e["source"], e["match_mode"], context))
+    found = F.array(*[F.when(T._any(hits), F.struct(F.lit(s).alias("source"), F.lit(g).alias("target"), F.lit(v).alias("level"))) for s, g, v, hits in merged.values()])
+    return rows.select(item, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("e")).select(item, "e.source", "e.target", "e.level")
+
+
+def _entry_hit(t: Column, low: Column, source: str, mode: str, context: str) -> Column:
+    """Does an entry occur?  With a context, it must stand within 160 characters of some occurrence."""
+    pattern = source if mode == "regex" else ("(?i)" if mode == "case_insensitive" else "") + r"(?<![A-Za-z0-9_])" + re.sub(r"([^A-Za-z0-9_\s])", r"\\\1", source) + r"(?![A-Za-z0-9_])"
+    hit = t.rlike(pattern)
+    if context.strip():
+        spans = F.regexp_extract_all(t, F.lit(f"(?s)(?:.{{0,160}}{pattern}.{{0,160}})"), F.lit(0))
+        hit = F.when(low.contains(context) & hit, F.exists(spans, lambda x: F.lower(x).contains(context))).otherwise(False)
+    if mode == "regex":
+        return hit
+    near = low.contains(source.lower()) if mode == "case_insensitive" and source.isascii() else t.contains(source) if mode != "case_insensitive" else F.lit(True)
+    return F.when(near, hit).otherwise(False)
 
 
 def glossary_usage(rows: DataFrame, glossary: DataFrame, source: str, target: str) -> DataFrame:

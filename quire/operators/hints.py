@@ -79,9 +79,9 @@ def apply_hints(rows: DataFrame, hints: DataFrame, item: str = "item_id") -> Dat
 def skips_reference_text(text: Column) -> Column:
     """Reference text is left alone, unless it is prose of 12 words or more that does not look like an entry."""
     t = F.trim(F.coalesce(text, F.lit("")))
-    entry = t.rlike(REFERENCE) | t.rlike(NUMBERED_REFERENCE) | F.lower(t).rlike("^(references|bibliography)") | t.contains(" et al.") | t.rlike(r"\b\d{4}\b")
+    entry = t.rlike(REFERENCE) | t.rlike(NUMBERED_REFERENCE) | F.lower(t).rlike("^(references|bibliography)") | t.contains(" et al.") | t.rlike(T.edged(r"\b\d{4}\b"))
     ends = t.rlike("[.。!?;；:]$") & (T.natural_word_count(t) >= 12)
-    prose = F.when(t.rlike(NUMBERED_SUMMARY), t.rlike(SUMMARY_CUES)).otherwise(ends)
+    prose = F.when(t.rlike(NUMBERED_SUMMARY), t.rlike(T.edged(SUMMARY_CUES))).otherwise(ends)
     return ~((t != "") & ~entry & (T.english_word_count(t) >= 12) & prose)
 
 

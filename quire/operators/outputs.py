@@ -103,7 +103,7 @@ def first_problem(source: Column, output: Column) -> Column:
 
 def json_text(content: Column) -> Column:
     """The JSON object in an answer: fences dropped, typographic quotes and colons as ASCII, from the first { to the last }; null where there is none."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(content, F.lit(""))), r"^```[^\n]*\n", ""), r"\n```\s*$", "")
+    bare = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(content, F.lit(""))), r"^```[^\n]*\n", ""), r"\n```\s*+$", "")
     loose = F.translate(bare, "“”„‟‘’‚‛：", '"""""""":')
     return F.nullif(F.regexp_extract(loose, r"(?s)\{.*\}", 0), F.lit(""))
 
@@ -111,7 +111,7 @@ def json_text(content: Column) -> Column:
 def string_field(content: Column, *names: str) -> Column:
     """The first of these fields that an answer has, in its JSON or as a ``name: value`` line."""
     obj = json_text(content)
-    tries = [F.get_json_object(obj, f"$.{n}") for n in names] + [F.nullif(F.trim(F.regexp_extract(F.coalesce(content, F.lit("")), rf"(?im)^\s*{n}\s*[:：]\s*(.+)$", 1)), F.lit("")) for n in names]
+    tries = [F.get_json_object(obj, f"$.{n}") for n in names] + [F.nullif(F.trim(F.regexp_extract(F.coalesce(content, F.lit("")), rf"(?im)^[^\S\n]*{n}\s*[:：]\s*(.+)$", 1)), F.lit("")) for n in names]
     return F.coalesce(*tries)
 
 

@@ -43,9 +43,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table of less than this for each core, in fewer splits than cores, is dealt out anew.
+SMALL = 8 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores.  Only for small tables in few splits (a file of one row group can't be split); others stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return rows.repartition(cores) if int(str(size)) < SMALL * cores and rows.rdd.getNumPartitions() < cores else rows
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no, text): the lines of all documents and of the fixture."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     own = spark.createDataFrame([(-1, k, t) for k, t in enumerate(FIXTURE)], "doc_id long, line_no int, text string")
     return docs.unionByName(own).withColumn("line_no", F.col("line_no").cast("long"))
 
@@ -82,7 +93,14 @@ def s_norm(c: str) -> str:
     return f"trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g'))"
 
 
+def s_words(c: str) -> str:
+    """With every letter and digit outside ASCII as an underscore: DuckDB's word edge knows no others."""
+    return rf"regexp_replace({c}, '[^\x00-\x7F\pP\pS\pZ\pM\pC]', '_', 'g')"
+
+
 def s_has(c: str, pattern: str) -> str:
+    if r"\b" in pattern:
+        c = s_words(c)
     return f"regexp_matches({c}, {q(pattern)})"
 
 

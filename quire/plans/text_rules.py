@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.plans.tables import LINES_SQL, lines, q, s_any_contains, s_count, s_has, s_in, s_last_word, s_natural, s_norm
+from quire.plans.tables import LINES_SQL, lines, q, s_any_contains, s_count, s_has, s_in, s_last_word, s_natural, s_norm, s_words
 
 KEYS = ["doc_id", "line_no"]
 
@@ -78,7 +78,9 @@ _heading = f"trim(regexp_replace(regexp_replace({_low}, '[^a-z ]+', ' ', 'g'), '
 _plain = f"trim(regexp_replace(coalesce(text, ''), {q(T.PLACEHOLDER)}, ' ', 'g'))"
 _weird = r"[^\s\p{L}\p{N}.,;:!?()\[\]{}'\"_/+*&%$#=@-]"
 _segments = f"list_filter(list_transform(regexp_split_to_array(replace({_plain}, ' and ', ', '), ',|;|\\band\\b'), lambda s: trim(s, ' *†‡§,;')), lambda s: s <> '')"
-_named = f"len(list_filter({_segments}, lambda s: len(regexp_extract_all(s, {q(T.AUTHOR_NAME)})) BETWEEN 2 AND 5))"
+#: The letters of names outside ASCII as letters inside, so that DuckDB's word edges hold.
+_plainly = lambda s: s_words(f"regexp_replace(regexp_replace({s}, '[À-ÖØ-Þ]', 'A', 'g'), '[ß-öø-ÿ]', 'a', 'g')")
+_named = f"len(list_filter({_segments}, lambda s: len(regexp_extract_all({_plainly('s')}, {q(T.AUTHOR_NAME)})) BETWEEN 2 AND 5))"
 
 _RULES: dict[str, tuple[Callable[[F.Column], dict[str, F.Column]], dict[str, str]]] = {
     "reference_headings": (
@@ -148,11 +150,11 @@ def block_policy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.plans.tables import table
 
     langs, c = table(spark, sf_dir, "documents").select("doc_id", "lang"), F.col("text")
-    # normalised once; an array lookup in place of CASE lets common parts of the rules be evaluated once too
+    # normalised once, code rules evaluated once
     t = F.col("t")
-    rules = {"empty": t == "", "reference_heading": T.is_reference_heading(t), "metadata": T.is_hard_metadata(t), "reference": T.is_reference_entry(t), "code": T.is_code_literal(t), "prose": T.is_english_prose(c), "other": F.lit(True)}
-    label = F.element_at(F.array(*map(F.lit, rules)), F.array_position(F.array(*rules.values()), F.lit(True)).cast("int"))
-    labelled = lines(spark, sf_dir).withColumn("t", T.normalize_text(c)).withColumn("label", label)
+    rules = {"empty": t == "", "reference_heading": T.is_reference_heading(t, clean=True), "metadata": T.is_hard_metadata(t, clean=True), "reference": T.is_reference_entry(t, clean=True), "code": F.col("code"), "prose": T.is_english_prose(t, code=F.col("code"))}
+    label = F.coalesce(*[F.when(v, k) for k, v in rules.items()], F.lit("other"))
+    labelled = lines(spark, sf_dir).withColumn("t", T.normalize_text(c)).withColumn("code", T.is_code_literal(t, clean=True)).withColumn("label", label)
     # counts by document first, so that what meets the languages is small
     counts = labelled.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
     return counts.join(langs, "doc_id", "left").groupBy(F.coalesce("lang", F.lit("none")).alias("lang"), "label").agg(F.sum("n").alias("n_lines"), F.sum("chars").alias("n_chars"))

@@ -174,7 +174,7 @@ def _content_list(rows: DataFrame) -> DataFrame:
     """A list of pages of blocks; text is all strings of a block's content."""
     pages = rows.select("document_id", F.posexplode(F.from_json("payload", CONTENT_LIST)).alias("page_index", "p"))
     b = pages.select("document_id", "page_index", F.posexplode("p").alias("order", "b"))
-    spans = F.regexp_extract_all(F.array_join(F.map_values("b.content"), " "), F.lit(r'"content"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    spans = F.regexp_extract_all(F.array_join(F.map_values("b.content"), " "), F.lit(r'"content"\s*:\s*"((?:[^"\\]|\\.)*+)"'), F.lit(1))
     plain = F.array_join(F.map_values("b.content"), " ")
     text = F.when(F.size(spans) > 0, F.array_join(spans, " ")).otherwise(plain)
     kind = None
