@@ -105,7 +105,7 @@ def json_text(content: Column) -> Column:
     """The JSON object in an answer: fences dropped, typographic quotes and colons as ASCII, from the first { to the last }; null where there is none."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(content, F.lit(""))), r"^```[^\n]*\n", ""), r"\n```\s*+$", "")
     loose = F.translate(bare, "“”„‟‘’‚‛：", '"""""""":')
-    return F.nullif(F.regexp_extract(loose, r"(?s)\{.*\}", 0), F.lit(""))
+    return F.nullif(F.regexp_extract(loose, r"(?s)^[^{]*+(\{.*\})", 1), F.lit(""))
 
 
 def string_field(content: Column, *names: str) -> Column:
