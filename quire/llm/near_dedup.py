@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import among, counter, mix, ranges, shingle_sets, signed, sliced, stage, text_buffers, unstage
+from quire.llm.common import among, counter, join_sized, mix, ranges, shingle_sets, signed, sliced, stage, text_buffers, unstage
 
-#: 32 bands of 4: at a similarity of 0.8 a pair shares no band with probability (1 - 0.8^4)^32 < 5e-8.
-BANDS, ROWS = 32, 4
-#: Two bits of every register are compared before full sets are: registers that differ, differ in 1 of them on average, so of
-#: 256 bits a pair of similarity 0.8 differs in 26 on average (standard deviation 5.8); 5 deviations more pass.
-SKETCH_BITS = 55
-#: Bits of a set's bitmap.
-BITMAP = 2048
+#: A pair at the threshold shares no band with at most this probability, whatever the threshold.
+MISS = 5e-8
+#: Registers of a signature, and the most that low thresholds may take.
+REGISTERS, MOST_REGISTERS = 128, 512
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
-_STEP = counter(512, 53)
+_STEP = counter(MOST_REGISTERS, 53)
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): the widest bands that miss a pair of similarity ``percent`` / 100 with a probability of MISS at most.
+
+    At 80 % these are 32 bands of 4, for 128 registers.  Low thresholds take more registers in bands of 1; those that
+    would need over MOST_REGISTERS (below 4 %) are an error.
+    """
+    if percent >= 100:
+        return 8, 16  # equal sets have equal signatures
+    for rows in range(16, 0, -1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** rows))) if percent > 0 else MOST_REGISTERS + 1
+        if bands * rows <= (REGISTERS if rows > 1 else MOST_REGISTERS):
+            return bands, rows
+    raise ValueError(f"no banding of {MOST_REGISTERS} registers finds pairs at {percent} %")
 
 
 def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
@@ -53,7 +66,7 @@ def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     return reg.reshape(-1, m)
 
 
-_SIGNED = "doc_id long, n long, h1 long, h2 long, sketch array<long>, bands array<long>"
+_SIGNED = "doc_id long, n long, h1 long, h2 long, bands array<long>"
 
 
 def _signatures(width: int, bands: int, rows: int):
@@ -62,7 +75,7 @@ def _signatures(width: int, bands: int, rows: int):
     per_band = counter(bands, 67)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             data, offsets = text_buffers(batch.column(1))
             for a, b in ranges(offsets):
                 sets = shingle_sets(data, offsets[a : b + 1], width)
@@ -71,12 +84,10 @@ def _signatures(width: int, bands: int, rows: int):
                 s = [np.array([x.sum(dtype=np.uint64), mix(x).sum(dtype=np.uint64)], np.uint64) for x in sets]
                 h = np.array(s, np.uint64).reshape(-1, 2)
                 band = mix((mix(sig).reshape(-1, bands, rows) * salt).sum(2, dtype=np.uint64) + per_band)
-                two = mix(sig) & np.uint64(3)
-                words = (two.reshape(len(sets), -1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(2, dtype=np.uint64)
-                lists = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), pa.array(signed(np.ascontiguousarray(v).reshape(-1))))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, bands, dtype=np.int32)), pa.array(signed(np.ascontiguousarray(band).reshape(-1))))
                 yield pa.record_batch(
-                    [batch.column(0)[a:b], pa.array(n), pa.array(signed(np.ascontiguousarray(h[:, 0]))), pa.array(signed(np.ascontiguousarray(h[:, 1]))), lists(words), lists(band)],
-                    names=["doc_id", "n", "h1", "h2", "sketch", "bands"],
+                    [batch.column(0)[a:b], pa.array(n), pa.array(signed(np.ascontiguousarray(h[:, 0]))), pa.array(signed(np.ascontiguousarray(h[:, 1]))), lists],
+                    names=["doc_id", "n", "h1", "h2", "bands"],
                 )
 
     return run
@@ -84,7 +95,7 @@ def _signatures(width: int, bands: int, rows: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             data, offsets = text_buffers(batch.column(1))
             for a, b in ranges(offsets):
                 made = [s.tobytes() for s in shingle_sets(data, offsets[a : b + 1], width)]
@@ -93,22 +104,17 @@ def _sets(width: int):
     return run
 
 
-def _bitmaps(width: int):
-    """(id, bits): a bitmap with a bit set for each hash of the shingle set.
-
-    Bits in which two bitmaps differ are at most the shingles in which the sets do, so they bound the similarity from above.
-    """
+def _shingles(width: int):
+    """(id, shingles array<long>): the sorted distinct shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             data, offsets = text_buffers(batch.column(1))
             for a, b in ranges(offsets):
-                made = np.zeros((b - a, BITMAP), np.uint8)
-                for row, s in zip(made, shingle_sets(data, offsets[a : b + 1], width), strict=True):
-                    row[(s >> np.uint64(40)) % np.uint64(BITMAP)] = 1
-                words = np.packbits(made, axis=1).view(np.int64).reshape(-1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, BITMAP // 64, dtype=np.int32)), pa.array(words))
-                yield pa.record_batch([batch.column(0)[a:b], lists], names=["id", "bits"])
+                sets = shingle_sets(data, offsets[a : b + 1], width)
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                yield pa.record_batch([batch.column(0)[a:b], pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(flat)))], names=["id", "shingles"])
 
     return run
 
@@ -189,7 +195,38 @@ def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, hot_share: int = 2000) -> DataFrame:
+def _across(near: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) among the rows (a, doc_id, n, comp) of ``near`` that share ``a`` and differ in comp: by prefix filter.
+
+    Inside a group the shingles of a set are ranked from rare to frequent.  Sets x and y, x the smaller, with
+    100 * intersection >= p * union share one of the first n_x - ceil(2p n_x / (100 + p)) + 1 shingles of x and the first
+    n_y - ceil(p n_y / 100) + 1 of y; that is exact.  Shingles of a template that a whole group has rank last, so its
+    documents meet only where they are alike beyond it.  Work grows with the sets' sizes, not with pairs in a group.
+    """
+    ids = near.select("doc_id").distinct()
+    wanted = among(source, "doc_id", ids, ids.count()).where("__q_in").select("doc_id", "text")
+    sets = stage(wanted.mapInArrow(_shingles(width), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
+    tokens = stage(near.join(sets, F.col("doc_id") == F.col("id")).select("a", "doc_id", "n", "comp", F.explode("shingles").alias("t")), "tokens")
+    unstage(sets)
+    often = stage(tokens.groupBy("a", "t").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("a", "t", "df"), "often")
+    # a shingle that only one component has can't be shared across components, but it takes a place in the prefix
+    counted = join_sized(tokens, often, ["a", "t"], "df", tokens.count(), how="left")
+    ranked = counted.withColumn("k", F.row_number().over(Window.partitionBy("a", "doc_id").orderBy(F.coalesce("df", F.lit(0)), "t")))
+    long = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    prefix = stage(ranked.where((F.col("k") <= long) & F.col("df").isNotNull()).select("a", "t", "doc_id", "n", "comp", "k"), "prefix")
+    unstage(tokens)
+    x, y = prefix.alias("x"), prefix.alias("y")
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc_id") < F.col("y.doc_id")))
+    short = F.col("x.k") <= F.col("x.n") - F.ceil(F.col("x.n") * (2 * percent) / (100 + percent)) + 1
+    fits = F.col("x.n") * 100 >= F.col("y.n") * percent
+    # what stands before a common shingle in both is lost to the intersection
+    room = F.least(F.col("x.n") - F.col("x.k"), F.col("y.n") - F.col("y.k")) + F.least("x.k", "y.k") >= need
+    met = (F.col("x.a") == F.col("y.a")) & (F.col("x.t") == F.col("y.t"))
+    return x.join(y, met & smaller & short & fits & room & (F.col("x.comp") != F.col("y.comp"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a set holds the distinct ``width``-word shingles (fewer words:
@@ -198,69 +235,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id count as one document and are all returned.  An empty table gives an empty result.
 
     Documents with equal sets form a class, represented by its smallest id, so copies never pair with each other.  Each
-    band bucket first links all its classes to the one that meets most others; only buckets that then still hold
-    different components go on to compare classes across those components (bits of the signatures first, then full
-    sets), so no link between different components is lost, and most buckets cost pairs in proportion to their size.
+    band bucket links all its classes to the one that meets most others; only groups that then still hold different
+    components go on to compare classes across those components (_across).  A pair at the threshold is lost only where
+    it shares no band, with a probability of MISS at most (banding()); more similar pairs less often, and a lost pair
+    only counts where no other links join its documents.
     """
+    bands, rows = banding(percent)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sigs = stage(source.mapInArrow(_signatures(width, bands, rows), _SIGNED), "signatures")
-    classes = sigs.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
+    some = "n > 0 AND doc_id IS NOT NULL"
+    classes = sigs.where(some).groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = stage(classes, "classes")
     reps = sigs.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     members = stage(reps.select("doc_id", "n", F.explode("bands").alias("band")), "members")
     sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = stage(members.join(sizes, "band"), "shared")
+    shared = stage(join_sized(members, sizes, ["band"], "size", members.count()), "shared")
     unstage(members)
     # the class that meets the most others is nearest to what a bucket's classes were copied from
     met = shared.groupBy("doc_id").agg(F.sum("size").alias("met"))
     center = F.max(F.struct(F.col("met"), (-F.col("doc_id")).alias("id"), F.col("n").alias("na"))).alias("c")
-    buckets = stage(shared.join(met, "doc_id").groupBy("band").agg(center).select("band", (-F.col("c.id")).alias("a"), F.col("c.na").alias("na")), "buckets")
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    near = stage(shared.join(buckets, "band").where(F.col("doc_id") != F.col("a")).select("a", "na", "doc_id", "n").distinct(), "near")
+    buckets = shared.join(met, "doc_id").groupBy("band").agg(center, F.count(F.lit(1)).alias("members")).select("band", (-F.col("c.id")).alias("a"), F.col("c.na").alias("na"), "members")
+    buckets = stage(buckets, "buckets")
+    near = stage(join_sized(shared, buckets, ["band"], "members", shared.count()).where(F.col("doc_id") != F.col("a")).select("a", "na", "doc_id", "n").distinct(), "near")
     for t in (shared, buckets):
         unstage(t)
-    star = near.where(fits(F.col("n"), F.col("na"))).select("a", F.col("doc_id").alias("b"))
+    star = near.where(F.least("n", "na") * 100 >= F.greatest("n", "na") * percent).select("a", F.col("doc_id").alias("b"))
     first = _linked(stage(star, "pairs"), source, width, percent)
     grouped = components(first)
-    comp = F.coalesce("component", "doc_id").alias("comp")
-    labelled = near.select("a", "doc_id", "n").join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("a", "doc_id", "n", comp)
-    mixed = labelled.groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("a")
+    labelled = stage(near.select("a", "doc_id", "n").join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("a", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")), "labelled")
+    mixed = labelled.groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("a", "members")
     # the center has been compared with all the others
-    across = stage(labelled.join(mixed, "a", "left_semi").join(reps.select("doc_id", "sketch"), "doc_id"), "across")
-    ids = across.select("doc_id").distinct()
-    wanted = among(source, "doc_id", ids, ids.count()).where("__q_in").select("doc_id", "text")
-    bitmaps = wanted.mapInArrow(_bitmaps(width), "id long, bits array<long>").dropDuplicates(["id"])
-    sides = stage(across.join(bitmaps, F.col("doc_id") == F.col("id")).drop("id"), "sides")
-    unstage(across)
-    x, y = sides.alias("x"), sides.alias("y")
-    differ = lambda c, k: sum((F.bit_count(F.col(f"x.{c}")[i].bitwiseXOR(F.col(f"y.{c}")[i])) for i in range(k)), F.lit(0))
-    apart = (F.col("x.a") == F.col("y.a")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp"))
-    close = fits(F.col("x.n"), F.col("y.n")) & (differ("sketch", bands * rows // 32) <= SKETCH_BITS * bands * rows // 128)
-    # sets of sizes x, y with 100 * intersection >= p * union differ in (100 - p) / (100 + p) * (x + y) shingles at most
-    close &= differ("bits", BITMAP // 64) * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
-    rest = stage(x.join(y, apart & close).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "pairs")
+    rest = stage(_across(join_sized(labelled, mixed, ["a"], "members", labelled.count()).drop("members"), source, width, percent), "pairs")
     second = _linked(rest, source, width, percent)
-    if second.isEmpty():
-        final = grouped
-    else:
-        final = components(first.unionByName(second))
-    for t in (near, sides):
+    final = grouped if second.isEmpty() else components(first.unionByName(second))
+    for t in (near, labelled):
         unstage(t)
     # the classes that have copies or links; every other document is its own component
-    known = (
-        sigs.where("n > 0 AND doc_id IS NOT NULL")
-        .groupBy("h1", "h2", "n")
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-        .join(final, F.col("rep") == F.col("node"), "left")
-        .where("copies > 1 OR component IS NOT NULL")
-        .select("h1", "h2", F.col("n").alias("n_"), F.coalesce("component", "rep").alias("group"), "copies")
-    )
-    whole = sigs.select("doc_id", "n", F.col("h1").alias("g1"), F.col("h2").alias("g2"))
-    same = (F.col("g1") == F.col("h1")) & (F.col("g2") == F.col("h2")) & (F.col("n") == F.col("n_")) & F.col("doc_id").isNotNull()
-    # at most hot_share classes have more than 1/hot_share of the rows: their copies are told where they are read
-    least = sigs.count() // hot_share + 1
-    hot = whole.join(F.broadcast(known.where(F.col("copies") > least)), same, "left")
-    cold = hot.where("group IS NULL").select(*whole.columns).join(known.where(F.col("copies") <= least), same, "left")
-    found = hot.where("group IS NOT NULL").unionByName(cold)
+    known = classes.join(final, F.col("rep") == F.col("node"), "left").where("copies > 1 OR component IS NOT NULL").select("h1", "h2", "n", F.coalesce("component", "rep").alias("group"), "copies")
+    plain = sigs.select("doc_id", "n", "h1", "h2")
+    found = join_sized(plain.where(some), known, ["h1", "h2", "n"], "copies", sigs.count(), how="left").drop("copies").select("doc_id", "n", "group")
+    found = found.unionByName(plain.where(f"NOT ({some}) OR doc_id IS NULL").select("doc_id", "n", F.lit(None).cast("long").alias("group")))
     group = F.coalesce("group", "doc_id")
     return found.select("doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(group == F.col("doc_id"), F.lit(True)).alias("kept"))
 

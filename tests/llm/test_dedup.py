@@ -180,3 +180,36 @@ def test_lines_edge_cases(spark, odd, none):
     assert len(rows) == odd.count()
     assert {r["doc_id"]: r["text"] for r in rows}[3] is None
     assert line_dedup.drop_repeated_chunks(none).count() == 0
+
+
+def test_banding_follows_the_threshold():
+    assert near_dedup.banding(80) == (32, 4)
+    for percent in (5, 30, 50, 80, 95, 100):
+        bands, rows = near_dedup.banding(percent)
+        assert bands * rows <= 512 and (1 - (percent / 100) ** rows) ** bands <= near_dedup.MISS * 1.0001
+
+
+def test_near_copies_at_other_thresholds(spark):
+    rng = np.random.default_rng(11)
+    docs = []
+    for k in range(60):
+        base = [f"b{k}-{j}" for j in range(60)]
+        docs.append((4 * k, " ".join(base)))
+        for c in range(1, 4):  # the first 60 - cut words, then others
+            cut = int(rng.integers(1, 28))
+            docs.append((4 * k + c, " ".join(base[: 60 - cut] + [f"o{k}-{c}-{j}" for j in range(cut)])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for percent in (50, 95):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, width=3, percent=percent).collect()}
+        assert got == brute_components(docs, 3, percent)
+
+
+def test_a_shared_template_gives_no_pairs(spark):
+    """All documents share 300 words and differ in 200: none is a near copy, and the work must not grow with pairs."""
+    template = " ".join(f"t{j}" for j in range(300))
+    docs = [(k, template + " " + " ".join(f"o{k}-{j}" for j in range(200 if k % 50 else 20))) for k in range(1500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    near = spark.createDataFrame([(0, i, len(t.split()) - 3, i) for i, t in docs if i % 50], "a long, doc_id long, n long, comp long")
+    assert near_dedup._across(near, df, 4, 80).count() == 0
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, width=4).collect()}
+    assert got == {i: 0 if i % 50 == 0 else i for i, _ in docs}
