@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import sliced
+from quire.llm.common import sliced, stage
 
 #: Edits allowed per character of an item.
 RATE = 0.08
@@ -95,14 +95,15 @@ class Matcher:
             if exact is not None:
                 best = (0, exact, exact + len(item))
             elif budget:
-                until = -(1 << 60)
+                # windows that overlap are one, so no part of the text is gone over twice
+                spans: list[list[int]] = []
                 for begin in sorted(begins):
-                    if begin <= until:
-                        continue
-                    # starts that lie close together share one window
-                    last = max((x for x in begins if begin <= x <= begin + budget), default=begin)
-                    until = last
-                    a, b = max(0, begin - budget), last + len(item) + budget
+                    a, b = max(0, begin - budget), begin + len(item) + budget
+                    if spans and a <= spans[-1][1]:
+                        spans[-1][1] = b
+                    else:
+                        spans.append([a, b])
+                for a, b in spans:
                     distance, end = best_match(masks, len(item), text[a:b])
                     if distance <= budget and (best is None or distance < best[0]):
                         best = (distance, max(0, a + end - len(item)), a + end)
@@ -116,16 +117,16 @@ class Matcher:
         return (a <= 0 or text[a - 1] == " ") and (b >= len(text) or text[b] == " ")
 
 
-def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list[list[tuple[int, str]]]:
-    """The benchmark in blocks of bounded size.  The driver holds it once: it is a stated query set, not the corpus."""
-    blocks, size = [[]], 0
+def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark in blocks of bounded size; the driver holds one at a time.  The last may be empty."""
+    block, size = [], 0
     for r in items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct().orderBy("i", "t").toLocalIterator():
-        if size + len(r["t"]) > block_bytes and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["i"], r["t"]))
+        if size + len(r["t"]) > block_bytes and block:
+            yield block
+            block, size = [], 0
+        block.append((r["i"], r["t"]))
         size += len(r["t"])
-    return blocks
+    yield block
 
 
 def _find(block: list[tuple[int, str]], rate: float):
@@ -148,15 +149,19 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     Rows that repeat an id are searched each.  Documents are read once per block of items and not shuffled.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = None
+    out = last = None
     for block in item_blocks(items, block_bytes=block_bytes):
         made = rows.mapInArrow(_find(block, rate), "doc_id long, item_id long, distance long, budget long, start long, end long")
-        out = made if out is None else out.unionByName(made)
-    return out
+        if last is not None:  # more than one block: what a block finds is written before the next one is read
+            kept = stage(last, "leaks")
+            out = kept if out is None else out.unionByName(kept)
+        last = made
+    return last if out is None else out.unionByName(last)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with its columns.  No shuffle."""
+    first = True
     for block in item_blocks(items, block_bytes=block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
@@ -165,5 +170,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
                 keep = [not matcher(x.as_py()) for x in batch.column(batch.schema.get_field_index(text_col))]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        # all blocks but the last are written at once, so that the plan holds one block
+        docs = (docs if first else stage(docs, "clean")).mapInArrow(run, docs.schema)
+        first = False
     return docs

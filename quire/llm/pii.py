@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import sliced, stage
+from quire.llm.common import among, sliced, stage
 
-#: Collisions that may be sent with the task; more are joined to the documents that hold them.
-MOST_EXCEPTIONS = 50_000
 _FEMALE = r"Mrs|Ms|Miss|Madam|Frau|Mme|Mlle|Sra|Señora|Госпожа"
 _MALE = r"Mr|Sir|Herr|Sr|Señor|Monsieur|Господин"
 _NAME = r"[^\W\d_a-zа-яß-ÿ][^\W\d_]+"
@@ -31,8 +31,17 @@ _FIND = re.compile(
     """,
     re.VERBOSE,
 )
+#: Given names that make a following capitalised word a last name, without a title; of many languages, by gender.
+GIVEN = {
+    "f": "Alice Amelia Amy Ana Andrea Angela Anna Anne Barbara Betty Carmen Carol Catherine Charlotte Clara Claire Deborah Elena Elisabeth Elizabeth Emily Emma Eva Fatima Grace Hannah Helen Ingrid Isabel Jane Jennifer Jessica Julia Karen Katharina Laura Linda Lisa Lucia Margaret Maria Marie Mary Natalia Nicole Olga Olivia Patricia Paula Rachel Rebecca Rosa Ruth Sandra Sarah Sofia Sophie Susan Teresa Ursula Victoria".split(),
+    "m": "Adam Ahmed Albert Alexander Andrew Anthony Antonio Benjamin Brian Carlos Charles Christopher Daniel David Diego Dmitri Edward Eric Felix Francisco Frank Franz George Hans Henry Ivan Jack Jacob James Jan Javier Jean Joe John Jorge Joseph Juan Karl Kevin Klaus Luis Manuel Marco Mark Martin Matthew Michael Miguel Mohamed Nicholas Oliver Pablo Patrick Paul Pedro Peter Philip Pierre Richard Robert Sergei Simon Stefan Steven Thomas Walter William".split(),
+}
+_GENDER = {n: g for g, names in GIVEN.items() for n in names}
+_UNTITLED = re.compile(rf"\b({'|'.join(sorted(_GENDER))}) ({_NAME})")
+#: What before four numbers with dots makes them a version, not an address.
+_VERSION = re.compile(r"(?i)(?:\bv|\bver|version|release|build|revision|section|§)[.:#]?\s?$")
 #: A text without any of these holds no entity.
-_MAY = re.compile(r"@|\d|AKIA|(?i:passw|pwd|secret|token|key)|\b(?:sk|pk|rk|gh[pousr])[-_]|\b(?:" + _FEMALE + "|" + _MALE + r"|Dr|Prof)\b\.? ")
+_MAY = re.compile(r"@|\d|AKIA|(?i:passw|pwd|secret|token|key)|\b(?:sk|pk|rk|gh[pousr])[-_]|\b(?:" + "|".join([_FEMALE, _MALE, "Dr", "Prof", *sorted(_GENDER)]) + r")\b\.? ")
 
 
 def luhn(digits: str) -> bool:
@@ -61,9 +70,40 @@ def permute_digits(digits: str, key: bytes, tweak: str) -> str:
     return a + b
 
 
+def _digits(text: str) -> str:
+    """The decimal digits of a text, of whatever script, as ASCII."""
+    return "".join(str(unicodedata.decimal(c)) for c in text if c.isdecimal())
+
+
+def _as(digit: str | int, like: str) -> str:
+    """A digit in the script of another."""
+    return chr(ord(like) - unicodedata.decimal(like) + int(digit))
+
+
 def _into(template: str, digits: str) -> str:
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in template)
+    return "".join(_as(next(it), c) if c.isdecimal() else c for c in template)
+
+
+#: (first, last) code points of scripts that have no case here; a letter is replaced by one of the same range.
+SCRIPTS = ((0x5D0, 0x5EA), (0x620, 0x64A), (0x905, 0x939), (0xE01, 0xE30), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0x10D0, 0x10F0), (0x561, 0x586))
+
+
+def _letter(c: str, x: int) -> str:
+    """A letter of the script and case of ``c``: Latin, Cyrillic, Greek or one of SCRIPTS; others stay."""
+    code = ord(c.lower()) if len(c.lower()) == 1 else ord(c)
+    for a, b in SCRIPTS:
+        if a <= code <= b:
+            return next(y for k in range(b - a + 1) if (y := chr(a + (x + k) % (b - a + 1))).isalpha())
+    if 0x430 <= code <= 0x45F:
+        made = chr(0x430 + x % 32)
+    elif 0x3AC <= code <= 0x3CE:
+        made = "αβγδεζηθικλμνξοπρστυφχψω"[x % 24]
+    elif code < 0x250:
+        made = chr(97 + x % 26)
+    else:
+        return c
+    return made.upper() if c.isupper() else made
 
 
 def _same_shape(text: str, key: bytes, tweak: str, hexed: bool = False) -> str:
@@ -75,12 +115,10 @@ def _same_shape(text: str, key: bytes, tweak: str, hexed: bool = False) -> str:
         h, x = h // 256, h % 256
         if hexed and c in "0123456789abcdef":
             out.append("0123456789abcdef"[x % 16])
-        elif c.isdigit():
-            out.append(str(x % 10))
-        elif c.isupper():
-            out.append(chr(65 + x % 26))
+        elif c.isdecimal():
+            out.append(_as(x % 10, c))
         elif c.isalpha():
-            out.append(chr(97 + x % 26))
+            out.append(_letter(c, x if ord(c) < 0x600 else _hash(key, tweak, k, c, text)))
         else:
             out.append(c)
     return "".join(out)
@@ -94,11 +132,16 @@ _SYLLABLES = {
 
 
 def _name(word: str, gender: str, key: bytes, tweak: str) -> str:
-    """A made-up name of the word's script, ending as the gender does, capitalised as the word is."""
-    first = ord(word[0].lower())
-    script = "cyrillic" if 0x400 <= first < 0x530 else "greek" if 0x370 <= first < 0x400 else "latin"
+    """A made-up name of the word's script, ending as the gender does, capitalised as the word is.
+
+    Scripts other than Latin, Cyrillic and Greek get letters of their own, without regard to gender.
+    """
+    first = ord(word[0].lower()[0])
+    script = "cyrillic" if 0x400 <= first < 0x530 else "greek" if 0x370 <= first < 0x400 else "latin" if first < 0x250 else ""
+    if not script:
+        return _same_shape(word, key, tweak)
     consonants, vowels, ends = _SYLLABLES[script]
-    h, out = _hash(key, tweak, gender, word.lower()), ""
+    h, out = _hash(key, tweak, word.lower()), ""
     for _ in range(4):
         h, x = divmod(h, len(consonants))
         h, y = divmod(h, len(vowels))
@@ -108,8 +151,8 @@ def _name(word: str, gender: str, key: bytes, tweak: str) -> str:
 
 
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
-    """The replacement of one value.  ``kind``: of an entity, or name:f, name:m or name: for one word of a name."""
-    tweak = f"{kind}/{attempt}"
+    """The replacement of one value.  ``kind``: of an entity, or name:f, name:m or name: for one word of a name (the gender only ends it)."""
+    tweak = f"{kind.split(':')[0]}/{attempt}"
     if kind.startswith("name:"):
         return _name(value, kind[5:], key, tweak)
     if kind == "email":
@@ -124,24 +167,32 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
             a, b = b, a ^ (_hash(key, tweak, i, b) & 0xFFFF)
         return f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
     if kind == "card":
-        digits = "".join(c for c in value if c.isdigit())
+        digits = _digits(value)
         body = digits[0] + permute_digits(digits[1:-1], key, tweak)
         shift = next(k for k in range(10) if luhn(digits[:-1] + str((int(digits[-1]) + k) % 10)))
         check = next(k for k in range(10) if luhn(f"{body}{k}"))
         return _into(value, f"{body}{(check - shift) % 10}")  # as far from valid as the original
     if kind == "phone":
-        digits = "".join(c for c in value if c.isdigit())
+        digits = _digits(value)
         head = len(re.match(r"\+(\d{1,3})(?=[ .(-])|", value)[1] or "") if value[0] == "+" else 0
         return _into(value, digits[:head] + permute_digits(digits[head:], key, tweak))
     if kind == "ssn":
-        return _into(value, permute_digits(value.replace("-", ""), key, tweak))
+        return _into(value, permute_digits(_digits(value), key, tweak))
     if kind == "iban":
-        return value[:2] + _same_shape(value[2:], key, tweak)
+        made = value[:4] + _same_shape(value[4:], key, tweak)
+        check = int(_digits(value[2:4])) + _mod97(value) - _mod97(made)  # as far from valid as the original
+        return value[:2] + _into(value[2:4], f"{check % 97:02d}") + made[4:]
     prefix = re.match(r"AKIA|(?:sk|pk|rk)[-_](?:(?:live|test|proj)[-_])?|gh[pousr]_|", value)[0]
     rest = value[len(prefix) :]
     return prefix + _same_shape(rest, key, tweak, hexed=re.fullmatch(r"[0-9a-f]+", rest) is not None)
 
 
+def _mod97(iban: str) -> int:
+    """The remainder that is 1 for a valid account number."""
+    plain = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, value) of what is to be replaced, ascending; a person gives one entry per word of the name.
 
@@ -149,41 +200,61 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """
     if not text or not _MAY.search(text):
         return []
-    out, names = [], {}
+    out: list[tuple[int, int, str, str]] = []
+    names: dict[str, str] = {}
+
+    def person(at: int, words: list[str], gender: str) -> None:
+        for k, w in enumerate(words):
+            kind = "name:" + (gender if len(words) > 1 and k == 0 else "")  # a last name has no gender
+            out.append((at, at + len(w), kind, w))
+            if names.get(w, "name:") == "name:":
+                names[w] = kind
+            at += len(w) + 1
+
     for m in _FIND.finditer(text):
         kind, value = m.lastgroup, m[0]
         if kind == "value":  # of a named secret
             out.append((m.start(kind), m.end(kind), "secret", m[kind]))
-            continue
-        if kind == "person":
+        elif kind == "person":
             title, *words = value.split(" ")
-            title = title.rstrip(".")
-            gender = "f" if re.fullmatch(_FEMALE, title) else "m" if re.fullmatch(_MALE, title) else ""
-            at = m.start() + len(value.split(" ")[0]) + 1
-            for k, w in enumerate(words):
-                kind = "name:" + (gender if len(words) > 1 and k == 0 else "")  # a last name has no gender
-                out.append((at, at + len(w), kind, w))
-                names.setdefault(w, kind)
-                at += len(w) + 1
-        else:
+            gender = "f" if re.fullmatch(_FEMALE, title.rstrip(".")) else "m" if re.fullmatch(_MALE, title.rstrip(".")) else ""
+            person(m.start() + len(title) + 1, words, gender or _GENDER.get(words[0], ""))
+        elif kind != "ip" or not _VERSION.search(text, max(0, m.start() - 12), m.start()):
             out.append((m.start(), m.end(), kind, value))
+    taken = _Taken(out)
+    for m in _UNTITLED.finditer(text):
+        if taken.free(m.start(), m.end()):
+            person(m.start(), [m[1], m[2]], _GENDER[m[1]])
     if names:
-        taken = [(a, b) for a, b, _, _ in out]
-        for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")\b", text):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
+        taken = _Taken(out)
+        for m in _WORD.finditer(text):
+            if m[0] in names and taken.free(m.start(), m.end()):
                 out.append((m.start(), m.end(), names[m[0]], m[0]))
-    return sorted(out)
+    # in one text a word has one gender
+    return sorted((a, b, names[v] if k.startswith("name:") else k, v) for a, b, k, v in out)
 
 
-def _found(key: bytes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            rows = [(d, k, _norm(k, v), surrogate(k, _norm(k, v), key)) for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for _, _, k, v in entities(x.as_py())]
-            if rows:
-                c = list(zip(*rows, strict=True))
-                yield pa.record_batch([pa.array(c[0], pa.int64()), *[pa.array(x, pa.string()) for x in c[1:]]], names=["doc_id", "kind", "value", "made"])
+_WORD = re.compile(r"\w+")
 
-    return run
+
+class _Taken:
+    """Disjoint spans, searched by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int, str, str]]) -> None:
+        self.spans = sorted((a, b) for a, b, _, _ in spans)
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_left(self.spans, (b, 0))
+        return k == 0 or self.spans[k - 1][1] <= a
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, text) to (row, kind, value, gender): name words are of one kind."""
+    for batch in sliced(batches):
+        found = sorted({(row, k.split(":")[0], _norm(k, v), k[5:] if k.startswith("name:") else "") for row, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for _, _, k, v in entities(x.as_py())})
+        if found:
+            c = list(zip(*found, strict=True))
+            yield pa.record_batch([pa.array(c[0], pa.int64()), *[pa.array(x, pa.string()) for x in c[1:]]], names=["row", "kind", "value", "gender"])
 
 
 def _norm(kind: str, value: str) -> str:
@@ -191,74 +262,95 @@ def _norm(kind: str, value: str) -> str:
     return value.lower() if kind == "email" or kind.startswith("name:") else value
 
 
-def _next(key: bytes):
+def _made(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in batches:
             rows = batch.to_pylist()
             for r in rows:
-                r["attempt"] += 1
-                r["made"] = surrogate(r["kind"], r["value"], key, r["attempt"])
-            yield pa.RecordBatch.from_pylist(rows, batch.schema)
+                r["made"] = surrogate(f"name:{r['gender']}" if r["kind"] == "name" else r["kind"], r["value"], key, r["attempt"])
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("kind", pa.string()), ("value", pa.string()), ("gender", pa.string()), ("attempt", pa.int32()), ("made", pa.string())]))
 
     return run
 
 
-def collisions(values: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
-    """(kind, value, attempt): values (kind, value, made; distinct) whose first surrogate is another value's, or a real value.
+_MADE = "kind string, value string, gender string, attempt int, made string"
 
-    Of values with the same surrogate the smallest keeps it; the others try again, against all surrogates in use.
+
+def settled(values: DataFrame, key: bytes, rounds: int = 100) -> DataFrame:
+    """(kind, value, gender, attempt): for each distinct value the attempt whose surrogate nobody else has, of any kind, and is no real value.
+
+    Of values with the same surrogate the one of the earliest attempt, then the smallest, keeps it; the others try again,
+    against all surrogates in use.  Surrogates are compared without case.  Values that still collide after ``rounds``
+    rounds are an error.
     """
-    now = values.select("kind", "value", "made", F.lit(0).alias("attempt"))
+    now = stage(values.withColumn("attempt", F.lit(0)).mapInArrow(_made(key), _MADE), "surrogates")
+    real = stage(values.select(F.lower("value").alias("v")).distinct(), "values")
     for _ in range(rounds):
-        first = now.groupBy("kind", "made").agg(F.min(F.struct("attempt", "value")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("kind").alias("k1"), F.col("made").alias("m1"), F.col("f.value").alias("v1"))
-        shared = now.join(first, (F.col("kind") == F.col("k1")) & (F.col("made") == F.col("m1")) & (F.col("value") != F.col("v1")), "left_semi")
-        real = now.join(values.select(F.col("kind").alias("k2"), F.col("value").alias("v2")), (F.col("kind") == F.col("k2")) & (F.lower("made") == F.lower("v2")), "left_semi")
-        bad = stage(shared.unionByName(real).distinct(), "collide")
+        mine, low = F.struct("attempt", "kind", "value"), F.lower("made")
+        first = now.groupBy(low.alias("m")).agg(F.min(mine).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("m", "f")
+        bad = now.join(first, low == F.col("m")).where(mine != F.col("f")).select(*now.columns)
+        bad = stage(bad.unionByName(now.join(real, low == F.col("v"), "left_semi")).distinct(), "collide")
         if bad.isEmpty():
-            break
-        now = stage(now.join(bad.select("kind", "value"), ["kind", "value"], "left_anti").unionByName(bad.mapInArrow(_next(key), "kind string, value string, made string, attempt int")), "surrogates")
-    return now.where("attempt > 0").select("kind", "value", "attempt")
+            return now.drop("made")
+        tried = bad.drop("made").withColumn("attempt", F.col("attempt") + 1).mapInArrow(_made(key), _MADE)
+        now = stage(now.join(bad.select("kind", "value"), ["kind", "value"], "left_anti").unionByName(tried), "surrogates")
+    raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 
-def replace(text: str | None, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str | None, int]:
+def replace(text: str | None, key: bytes, other: dict[tuple[str, str], tuple[str, int]]) -> tuple[str | None, int]:
+    """The text with its entities replaced, and their number.  ``other``: (gender, attempt) of (kind, value) where they aren't the text's own and 0."""
     found = entities(text)
     if not found:
         return text, 0
     out, at = [], 0
     for a, b, kind, value in found:
-        base = _norm(kind, value)
-        made = surrogate(kind, base, key, attempts.get((kind, base), 0))
-        if kind.startswith("name:"):
+        base, name = _norm(kind, value), kind.startswith("name:")
+        gender, attempt = other.get((kind.split(":")[0], base), (kind[5:], 0))
+        made = surrogate(f"name:{gender}" if name else kind, base, key, attempt)
+        if name:
             made = made.upper() if value.isupper() and len(value) > 1 else made.capitalize()
         out += [text[at:a], made]
         at = b
     return "".join(out) + text[at:], len(found)
 
 
-def _replace(key: bytes, exceptions: dict[tuple[str, str], int] | None):
+def _replace(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            own = batch.column(2).to_pylist() if exceptions is None else [None] * batch.num_rows
-            made = [replace(x.as_py(), key, exceptions if exceptions is not None else {(e["kind"], e["value"]): e["attempt"] for e in o or ()}) for x, o in zip(batch.column(1), own, strict=True)]
+            own = [{(e["kind"], e["value"]): (e["gender"], e["attempt"]) for e in o or ()} for o in batch.column(2).to_pylist()]
+            made = [replace(x.as_py(), key, o) for x, o in zip(batch.column(1), own, strict=True)]
             yield pa.record_batch([batch.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([t for t, _ in made], pa.string())], names=["doc_id", "n_entities", "text"])
 
     return run
 
 
-def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", most_exceptions: int = MOST_EXCEPTIONS) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_entities, text): whole texts with every found entity replaced.
 
-    Finds e-mail and IPv4 addresses, phone, card, social security and account numbers, secrets, and
-    titled names.  A surrogate depends on key, kind and value alone, so an entity has the same one in all
-    documents; digits keep their format (valid cards stay valid by Luhn), names their script and gender.  Distinct entities keep distinct
-    surrogates: the first ones are checked over the whole corpus and colliding ones made anew.  Null text stays null.
+    Finds e-mail and IPv4 addresses (not versions), phone, card, social security and account numbers, secrets, names after
+    a title, given names of GIVEN before a capitalised word, and words of such names where they recur in the same text.
+    Names are found in Latin, Cyrillic and Greek script only.  An entity's surrogate depends on the key, its value and
+    what the whole corpus says of it, so it is the same in all documents: a name word is one entity whatever it stands
+    for, of the gender that most documents give it.  Digits keep format and script (card and account numbers stay as valid as
+    they were), names their script, gender and case.  Distinct entities have distinct surrogates, checked over the whole corpus
+    and all kinds (settled()).  Rows are known by id and text, so null and repeated ids are served; null text stays null.
+
+    Most texts need nothing but themselves; texts with an entity that has another gender elsewhere, or a second attempt,
+    are told by a Bloom filter where they are read, and only they shuffle.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    seen = stage(rows.mapInArrow(_found(key), "doc_id long, kind string, value string, made string").distinct(), "entities")
-    odd = stage(collisions(seen.select("kind", "value", "made").distinct(), key), "exceptions")
-    columns = "doc_id long, n_entities long, text string"
-    few = odd.limit(most_exceptions + 1).collect()
-    if len(few) <= most_exceptions:
-        return rows.mapInArrow(_replace(key, {(r["kind"], r["value"]): r["attempt"] for r in few}), columns)
-    own = seen.join(odd, ["kind", "value"]).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("own"))
-    return rows.join(own, "doc_id", "left").mapInArrow(_replace(key, None), columns)
+    id_, text = F.col(id_col).cast("long"), F.col(text_col)
+    rows = docs.select(id_.alias("doc_id"), text.alias("text"), F.xxhash64(id_, text).alias("row"))
+    seen = stage(rows.select("row", "text").mapInArrow(_found, "row long, kind string, value string, gender string"), "entities")
+    votes = F.count(F.when(F.col("gender") == "f", 1)), F.count(F.when(F.col("gender") == "m", 1))
+    gender = F.when((votes[0] == 0) & (votes[1] == 0), "").when(votes[0] >= votes[1], "f").otherwise("m")
+    values = stage(seen.groupBy("kind", "value").agg(gender.alias("gender")), "values")
+    known = settled(values, key).select("kind", "value", F.col("gender").alias("g"), "attempt")
+    # the names that are odd somewhere are few; a name that all documents know alike meets nothing
+    mixed = seen.groupBy("kind", "value").agg(F.min("gender").alias("lo"), F.max("gender").alias("hi")).join(known, ["kind", "value"]).where("attempt > 0 OR lo <> hi").select("kind", "value", "g", "attempt")
+    odd = stage(mixed, "odd")
+    own = seen.join(odd, ["kind", "value"]).where("attempt > 0 OR gender <> g").groupBy("row").agg(F.collect_set(F.struct("kind", "value", F.col("g").alias("gender"), "attempt")).alias("own"))
+    own = stage(own, "own")
+    tested = among(rows, "row", own.select("row"), own.count())
+    passed = tested.where("NOT __q_in").select("doc_id", "text", F.lit(None).cast(own.schema["own"].dataType).alias("own"))
+    hit = tested.where("__q_in").join(own, "row", "left").select("doc_id", "text", "own")
+    return passed.unionByName(hit).mapInArrow(_replace(key), "doc_id long, n_entities long, text string")
