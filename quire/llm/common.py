@@ -147,13 +147,16 @@ HOT_SHARE = 2000
 def join_sized(rows: DataFrame, keyed: DataFrame, on: Sequence[str], size: str, total: int, how: str = "inner", hot_share: int = HOT_SHARE) -> DataFrame:
     """``rows`` joined with ``keyed``, which has one row per key and in ``size`` the number of rows of that key.
 
-    Keys with more than ``total`` / ``hot_share`` rows (``hot_share`` of them at most) are joined from a broadcast, so no
-    task gets all rows of such a key; the rest meets by a shuffle.  ``rows`` is read twice: pass a staged table.
+    Keys with more than ``total`` / ``hot_share`` rows are joined from a broadcast, so no task gets all rows of such a key; the
+    rest meets by a shuffle.  There are ``hot_share`` of them at most; the hashes of these few tell both sides apart, so a key
+    that only shares such a hash is broadcast with them and nothing is lost.  Both tables are read twice: pass staged ones.
     """
-    least, names = total // hot_share + 1, [c for c in keyed.columns if c not in on]
-    marked = rows.join(F.broadcast(keyed.where(F.col(size) > least).withColumn("__q_hot", F.lit(True))), list(on), "left")
-    cold = marked.where("__q_hot IS NULL").drop("__q_hot", *names).join(keyed.where(F.col(size) <= least), list(on), how)
-    return marked.where("__q_hot").drop("__q_hot").unionByName(cold)
+    key = F.xxhash64(*on)
+    hot = [r[0] for r in keyed.where(F.col(size) > total // hot_share + 1).select(key).distinct().collect()]
+    if not hot:
+        return rows.join(keyed, list(on), how)
+    mine = key.isin(*hot)
+    return rows.where(mine).join(F.broadcast(keyed.where(mine)), list(on), how).unionByName(rows.where(~mine).join(keyed.where(~mine), list(on), how))
 
 
 # --- Arrow text ------------------------------------------------------------

@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stage(classes, "classes")
     reps = sigs.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     members = stage(reps.select("doc_id", "n", F.explode("bands").alias("band")), "members")
-    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = stage(members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     shared = stage(join_sized(members, sizes, ["band"], "size", members.count()), "shared")
     unstage(members)
     # the class that meets the most others is nearest to what a bucket's classes were copied from
@@ -264,6 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = components(first)
     labelled = stage(near.select("a", "doc_id", "n").join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("a", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")), "labelled")
     mixed = labelled.groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("a", "members")
+    mixed = stage(mixed, "mixed")
     # the center has been compared with all the others
     rest = stage(_across(join_sized(labelled, mixed, ["a"], "members", labelled.count()).drop("members"), source, width, percent), "pairs")
     second = _linked(rest, source, width, percent)
@@ -272,6 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         unstage(t)
     # the classes that have copies or links; every other document is its own component
     known = classes.join(final, F.col("rep") == F.col("node"), "left").where("copies > 1 OR component IS NOT NULL").select("h1", "h2", "n", F.coalesce("component", "rep").alias("group"), "copies")
+    known = stage(known, "known")
     plain = sigs.select("doc_id", "n", "h1", "h2")
     found = join_sized(plain.where(some), known, ["h1", "h2", "n"], "copies", sigs.count(), how="left").drop("copies").select("doc_id", "n", "group")
     found = found.unionByName(plain.where(f"NOT ({some}) OR doc_id IS NULL").select("doc_id", "n", F.lit(None).cast("long").alias("group")))
