@@ -104,8 +104,15 @@ def _sets(width: int):
     return run
 
 
+#: Bits of a set's bitmap.
+BITMAP = 1024
+
+
 def _shingles(width: int):
-    """(id, shingles array<long>): the sorted distinct shingle hashes."""
+    """(id, shingles array<long>, bits array<long>): the sorted distinct shingle hashes, and a bitmap with a bit set for each.
+
+    Two bitmaps differ in no more bits than the sets do in shingles, so they bound the similarity from above.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -114,7 +121,11 @@ def _shingles(width: int):
                 sets = shingle_sets(data, offsets[a : b + 1], width)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                yield pa.record_batch([batch.column(0)[a:b], pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(flat)))], names=["id", "shingles"])
+                marks = np.zeros((b - a, BITMAP), np.uint8)
+                marks[np.repeat(np.arange(b - a), np.diff(ends)), (flat >> np.uint64(40)).astype(np.int64) % BITMAP] = 1
+                bits = np.packbits(marks, axis=1).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32)), pa.array(bits.reshape(-1)))
+                yield pa.record_batch([batch.column(0)[a:b], pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(flat))), lists], names=["id", "shingles", "bits"])
 
     return run
 
@@ -195,35 +206,62 @@ def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return links
 
 
+def _labelled(rows: DataFrame, grouped: DataFrame) -> DataFrame:
+    """rows (doc_id, ...) plus comp: the component found so far."""
+    return rows.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+
+
+def _again(shared: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may join components: in each band bucket of ``shared`` (band, doc_id, n) one class of the bucket's largest component with each class outside it.
+
+    The one is drawn anew in each bucket, so a class is compared with as many different ones as it has bands: most copies
+    that the first center missed find their component here, for pairs in proportion to the buckets' sizes.
+    """
+    rows = stage(_labelled(shared.select("band", "doc_id", "n"), grouped), "in_band")
+    drawn = F.min(F.struct(F.xxhash64("band", "doc_id").alias("h"), F.col("doc_id").alias("a"), F.col("n").alias("na"))).alias("one")
+    each = rows.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"), drawn)
+    top = each.groupBy("band").agg(F.max(F.struct("k", "comp", "one")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("k").alias("members")).where("comps > 1")
+    top = stage(top.select("band", F.col("top.comp").alias("most"), F.col("top.one.a").alias("a"), F.col("top.one.na").alias("na"), "members"), "tops")
+    met = join_sized(rows, top, ["band"], "members", rows.count()).where("comp <> most").where(F.least("n", "na") * 100 >= F.greatest("n", "na") * percent)
+    pairs = stage(met.select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
+    unstage(rows)
+    return pairs
+
+
 def _across(near: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
     """Candidate pairs (a, b) among the rows (a, doc_id, n, comp) of ``near`` that share ``a`` and differ in comp: by prefix filter.
 
     Inside a group the shingles of a set are ranked from rare to frequent.  Sets x and y, x the smaller, with
     100 * intersection >= p * union share one of the first n_x - ceil(2p n_x / (100 + p)) + 1 shingles of x and the first
     n_y - ceil(p n_y / 100) + 1 of y; that is exact.  Shingles of a template that a whole group has rank last, so its
-    documents meet only where they are alike beyond it.  Work grows with the sets' sizes, not with pairs in a group.
+    documents meet only where they are alike beyond it.  Of those that meet, pairs go on that their places in the ranking
+    and their bitmaps allow to be alike, both exact bounds.
     """
     ids = near.select("doc_id").distinct()
     wanted = among(source, "doc_id", ids, ids.count()).where("__q_in").select("doc_id", "text")
-    sets = stage(wanted.mapInArrow(_shingles(width), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
-    tokens = stage(near.join(sets, F.col("doc_id") == F.col("id")).select("a", "doc_id", "n", "comp", F.explode("shingles").alias("t")), "tokens")
-    unstage(sets)
+    sets = stage(wanted.mapInArrow(_shingles(width), "id long, shingles array<long>, bits array<long>").dropDuplicates(["id"]), "shingles")
+    tokens = stage(near.join(sets.drop("bits"), F.col("doc_id") == F.col("id")).select("a", "doc_id", "n", "comp", F.explode("shingles").alias("t")), "tokens")
     often = stage(tokens.groupBy("a", "t").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("a", "t", "df"), "often")
     # a shingle that only one component has can't be shared across components, but it takes a place in the prefix
     counted = join_sized(tokens, often, ["a", "t"], "df", tokens.count(), how="left")
     ranked = counted.withColumn("k", F.row_number().over(Window.partitionBy("a", "doc_id").orderBy(F.coalesce("df", F.lit(0)), "t")))
     long = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = stage(ranked.where((F.col("k") <= long) & F.col("df").isNotNull()).select("a", "t", "doc_id", "n", "comp", "k"), "prefix")
-    unstage(tokens)
+    first = ranked.where((F.col("k") <= long) & F.col("df").isNotNull()).select("a", "t", "doc_id", "n", "comp", "k")
+    prefix = stage(first.join(sets.select("id", "bits"), F.col("doc_id") == F.col("id")).drop("id"), "prefix")
+    for t in (sets, tokens):
+        unstage(t)
     x, y = prefix.alias("x"), prefix.alias("y")
     need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc_id") < F.col("y.doc_id")))
     short = F.col("x.k") <= F.col("x.n") - F.ceil(F.col("x.n") * (2 * percent) / (100 + percent)) + 1
     fits = F.col("x.n") * 100 >= F.col("y.n") * percent
-    # what stands before a common shingle in both is lost to the intersection
-    room = F.least(F.col("x.n") - F.col("x.k"), F.col("y.n") - F.col("y.k")) + F.least("x.k", "y.k") >= need
+    # at the first common shingle of an alike pair all the others still follow; a pair may be met there only
+    room = F.least(F.col("x.n") - F.col("x.k"), F.col("y.n") - F.col("y.k")) + 1 >= need
+    # alike sets differ in (100 - p) / (100 + p) * (x + y) shingles at most
+    differ = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(BITMAP // 64)), F.lit(0))
+    alike = differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
     met = (F.col("x.a") == F.col("y.a")) & (F.col("x.t") == F.col("y.t"))
-    return x.join(y, met & smaller & short & fits & room & (F.col("x.comp") != F.col("y.comp"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    return x.join(y, met & smaller & short & fits & room & (F.col("x.comp") != F.col("y.comp")) & alike).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -235,8 +273,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id count as one document and are all returned.  An empty table gives an empty result.
 
     Documents with equal sets form a class, represented by its smallest id, so copies never pair with each other.  Each
-    band bucket links all its classes to the one that meets most others; only groups that then still hold different
-    components go on to compare classes across those components (_across).  A pair at the threshold is lost only where
+    band bucket links all its classes to the one that meets most others, then those of other components to one of its
+    largest component (_again); only groups that still hold different components go on to compare classes across those
+    components (_across).  A pair at the threshold is lost only where
     it shares no band, with a probability of MISS at most (banding()); more similar pairs less often, and a lost pair
     only counts where no other links join its documents.
     """
@@ -257,18 +296,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = shared.join(met, "doc_id").groupBy("band").agg(center, F.count(F.lit(1)).alias("members")).select("band", (-F.col("c.id")).alias("a"), F.col("c.na").alias("na"), "members")
     buckets = stage(buckets, "buckets")
     near = stage(join_sized(shared, buckets, ["band"], "members", shared.count()).where(F.col("doc_id") != F.col("a")).select("a", "na", "doc_id", "n").distinct(), "near")
-    for t in (shared, buckets):
-        unstage(t)
+    unstage(buckets)
     star = near.where(F.least("n", "na") * 100 >= F.greatest("n", "na") * percent).select("a", F.col("doc_id").alias("b"))
-    first = _linked(stage(star, "pairs"), source, width, percent)
-    grouped = components(first)
-    labelled = stage(near.select("a", "doc_id", "n").join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("a", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")), "labelled")
+    links = _linked(stage(star, "pairs"), source, width, percent)
+    final = components(links)
+    pairs = _again(shared, final, percent)
+    if not pairs.isEmpty():
+        links = links.unionByName(_linked(pairs, source, width, percent))
+        final = components(links)
+    unstage(shared)
+    labelled = stage(_labelled(near.select("a", "doc_id", "n"), final), "labelled")
     mixed = labelled.groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("a", "members")
     mixed = stage(mixed, "mixed")
     # the center has been compared with all the others
     rest = stage(_across(join_sized(labelled, mixed, ["a"], "members", labelled.count()).drop("members"), source, width, percent), "pairs")
-    second = _linked(rest, source, width, percent)
-    final = grouped if second.isEmpty() else components(first.unionByName(second))
+    if not rest.isEmpty():
+        final = components(links.unionByName(_linked(rest, source, width, percent)))
     for t in (near, labelled):
         unstage(t)
     # the classes that have copies or links; every other document is its own component
