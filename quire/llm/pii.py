@@ -40,8 +40,22 @@ _GENDER = {n: g for g, names in GIVEN.items() for n in names}
 _UNTITLED = re.compile(rf"\b({'|'.join(sorted(_GENDER))}) ({_NAME})")
 #: What before four numbers with dots makes them a version, not an address.
 _VERSION = re.compile(r"(?i)(?:\bv|\bver|version|release|build|revision|section|§)[.:#]?\s?$")
-#: A text without any of these holds no entity.
-_MAY = re.compile(r"@|\d|AKIA|(?i:passw|pwd|secret|token|key)|\b(?:sk|pk|rk|gh[pousr])[-_]|\b(?:" + "|".join([_FEMALE, _MALE, "Dr", "Prof", *sorted(_GENDER)]) + r")\b\.? ")
+_TITLES = frozenset(f"{_FEMALE}|{_MALE}|Dr|Prof".split("|"))
+_CAPITAL = re.compile(r"[A-ZГ][^\W\d_]*(?=\.? )")
+_DIGIT = re.compile(r"\d")
+_KEYED = re.compile(r"[spr]k[-_]|gh[pousr]_")
+_CALLED = re.compile(r"(?i:passw|pwd|secret|token|key)")
+
+
+def may_hold(text: str) -> bool:
+    """False only for a text without any entity, by what each kind can't do without; most texts need no other pattern."""
+    if "@" in text or "AKIA" in text or _DIGIT.search(text):
+        return True
+    if ("-" in text or "_" in text) and _KEYED.search(text):
+        return True
+    if (":" in text or "=" in text) and _CALLED.search(text):
+        return True
+    return any(w in _TITLES or w in _GENDER for w in _CAPITAL.findall(text))
 
 
 def luhn(digits: str) -> bool:
@@ -198,7 +212,7 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
 
     Words of a name that recur alone in the same text are found too.
     """
-    if not text or not _MAY.search(text):
+    if not text or not may_hold(text):
         return []
     out: list[tuple[int, int, str, str]] = []
     names: dict[str, str] = {}
