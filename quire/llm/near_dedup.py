@@ -94,16 +94,22 @@ def _signatures(width: int, bands: int, rows: int):
 
 
 def _sets(width: int):
+    """(id, shingles array<long>): the distinct shingle hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             data, offsets = text_buffers(batch.column(1))
             for a, b in ranges(offsets):
-                made = [s.tobytes() for s in shingle_sets(data, offsets[a : b + 1], width)]
-                yield pa.record_batch([batch.column(0)[a:b], pa.array(made, pa.binary())], names=["id", "shingles"])
+                yield pa.record_batch([batch.column(0)[a:b], _lists(shingle_sets(data, offsets[a : b + 1], width))], names=["id", "shingles"])
 
     return run
 
 
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(sets))))
+
+
 #: Bits of a set's bitmap.
 BITMAP = 1024
 
@@ -119,30 +125,12 @@ def _shingles(width: int):
             data, offsets = text_buffers(batch.column(1))
             for a, b in ranges(offsets):
                 sets = shingle_sets(data, offsets[a : b + 1], width)
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                flat = np.concatenate(sets)
                 marks = np.zeros((b - a, BITMAP), np.uint8)
-                marks[np.repeat(np.arange(b - a), np.diff(ends)), (flat >> np.uint64(40)).astype(np.int64) % BITMAP] = 1
+                marks[np.repeat(np.arange(b - a), [len(s) for s in sets]), (flat >> np.uint64(40)).astype(np.int64) % BITMAP] = 1
                 bits = np.packbits(marks, axis=1).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32)), pa.array(bits.reshape(-1)))
-                yield pa.record_batch([batch.column(0)[a:b], pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(flat))), lists], names=["id", "shingles", "bits"])
-
-    return run
-
-
-def _verify(percent: int):
-    """Keeps the pairs with 100 * intersection >= percent * union."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([a, b])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * same >= percent * (len(both) - same))
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                yield pa.record_batch([batch.column(0)[a:b], _lists(sets), lists], names=["id", "shingles", "bits"])
 
     return run
 
@@ -193,15 +181,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough.
+    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
 
-    Sets are made anew, where the texts are read, for documents that may be in a pair; texts don't shuffle.
+    Sets are made anew, where the texts are read, for documents that may be in a pair; texts don't shuffle.  Pairs of sets
+    are compared row by row in the JVM: as Arrow batches, they would take memory there and in the workers.
     """
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     wanted = among(docs, "doc_id", ids, ids.count()).where("__q_in").select("doc_id", "text")
-    sets = stage(wanted.mapInArrow(_sets(width), "id long, shingles binary"), "sets")
+    sets = stage(wanted.mapInArrow(_sets(width), "id long, shingles array<long>"), "sets")
     rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    links = stage(rows.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "links")
+    sized = rows.select("a", "b", (F.size("x") + F.size("y")).cast("long").alias("sum"), F.size(F.array_intersect("x", "y")).cast("long").alias("same"))
+    links = stage(sized.where(F.col("same") * (100 + percent) >= F.col("sum") * percent).select("a", "b"), "links")
     unstage(sets)
     return links
 
