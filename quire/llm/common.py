@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager, nullcontext
 from functools import lru_cache
 
 import numpy as np
@@ -65,11 +67,47 @@ def _root(spark: SparkSession) -> str:
     return _roots[app]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` as Parquet in the shared folder and reads it back, so a lost executor costs no recomputation."""
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_batch_lock = threading.Lock()
+_batch_writers: list[str] = []
+
+
+@contextmanager
+def _batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Batches for Python workers hold at most ``most`` rows inside; afterwards the session has its own setting again.
+
+    Writes that overlap in several threads share the small batches; the last one to end puts the setting back.
+    """
+    with _batch_lock:
+        own = _batch_writers[0] if _batch_writers else spark.conf.get(_BATCH)
+        _batch_writers.append(own)
+        if int(own) <= 0 or int(own) > most:
+            spark.conf.set(_BATCH, most)
+    try:
+        yield
+    finally:
+        with _batch_lock:
+            _batch_writers.pop()
+            if not _batch_writers:
+                spark.conf.set(_BATCH, own)
+
+
+#: Rows of whole texts that a Python worker gets at a time.
+BATCH_ROWS = 1000
+
+
+def stage(df: DataFrame, name: str, batch_rows: int | None = BATCH_ROWS) -> DataFrame:
+    """Cuts lineage: writes ``df`` as Parquet in the shared folder and reads it back, so a lost executor costs no recomputation.
+
+    While it writes, Python workers get ``batch_rows`` rows at a time (None: as many as the session says): a split's whole
+    texts in one batch would take several times their size in an executor.  A table that is staged already is returned as it is.
+    """
+    if getattr(df, "_quire_path", None):
+        return df
     spark = df.sparkSession
     path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _batches(spark, batch_rows) if batch_rows else nullcontext():
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quire_path = path
     return out
@@ -162,7 +200,7 @@ def join_sized(rows: DataFrame, keyed: DataFrame, on: Sequence[str], size: str,
 # --- Arrow text ------------------------------------------------------------
 
 
-def sliced(batches: Iterator[pa.RecordBatch], most: int = 1000) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], most: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``most`` rows, so that what a worker makes of whole texts at a time stays small.
 
     Spark bounds the incoming ones by rows and bytes (spark.sql.execution.arrow.maxBytesPerBatch); slices copy nothing.

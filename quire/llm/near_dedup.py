@@ -163,7 +163,7 @@ def components(links: DataFrame) -> DataFrame:
     skew-splittable joins: nothing is collected but a count and a checksum.
     """
     forest = links.where("a <> b").mapInArrow(_forest, "a long, b long")
-    edges = stage(forest.distinct(), "edges")
+    edges = stage(forest.distinct(), "edges", batch_rows=None)
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
