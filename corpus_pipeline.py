@@ -1,4 +1,8 @@
-"""A training-data pipeline over ``documents``: language, exact copies, near copies, benchmark passages, tokens."""
+"""A training-data pipeline over ``documents``: language, exact copies, near copies, benchmark passages, tokens.
+
+Stages that hand whole texts to Python workers write their result themselves, in small batches (``stage``); ``run`` writes
+that of the others, so every result is written once.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,7 @@ from quire.llm.queries import vocabulary
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language (no letters); profiles come from all labelled documents."""
-    return language_id.keep_known(docs, language_id.learn(docs))
+    return stage(language_id.keep_known(docs, language_id.learn(docs)), "known")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,12 +30,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item within its error budget."""
-    return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+    return stage(decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark")), "clean")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the text decoded from them."""
-    return bpe.digests(docs, vocabulary())
+    return stage(bpe.digests(docs, vocabulary()), "tokens")
 
 
 STAGES = [("language_id", known_language), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("decontamination", benchmark_leaks), ("bpe", tokens)]
