@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, pii, sharding, toxicity
+from quire.llm import bpe, chat, decontaminate, exact_dedup, language_id, line_dedup, mixing, near_dedup, pii, sharding, toxicity
 from quire.llm.common import read
 
 
@@ -91,6 +91,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"), shards=8)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(read(spark, sf_dir, "documents"), keep_text=False).taken().drop("source")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,10 +102,51 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_bpe, op3_language_id, op4_exact_dedup, op5_toxicity, op6_line_dedup, op7_pii, op8_near_dedup, op9_chat, op10_sharding, pipeline)
+    f.__name__: f for f in (op1_decontamination, op2_bpe, op3_language_id, op4_exact_dedup, op5_toxicity, op6_line_dedup, op7_pii, op8_near_dedup, op9_chat, op10_sharding, op11_mixing, pipeline)
 }
 
+
+def _sc(v: str, key: str) -> str:
+    """``mixing.scattered`` in SQL."""
+    u = f"((({v}) & 2147483647) * 48271 + ((({v}) >> 31) % 2147483647) * 69621 + (({key}) % 2147483647) * 40692) % 2147483647"
+    return f"((({u}) * ({u}) + 12345) % 2147483647)"
+
+
+#: The mix by sources: full passes take each word once, the last pass the first blocks of its permutation.
+MIXING_SQL = rf"""
+    WITH RECURSIVE sized AS (
+        SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, CASE WHEN source IS NULL THEN 'z' ELSE 's' || source END AS src, {_sc("doc_id", "5")} % 256 AS b FROM documents
+    ), sources AS (
+        SELECT *, source_size * 3 AS cap, source_size * 3 / w AS cap_w FROM (
+            SELECT src, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY src) - 1 AS no, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY src) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM sized GROUP BY src)
+    ), levels AS (
+        SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap_w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+               / sum(w) OVER (ORDER BY cap_w, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM sources
+    ), goals AS (
+        SELECT *, round(target)::BIGINT AS t, source_size // 256 AS f FROM (SELECT *, least(cap::DOUBLE, w * max(lev) OVER ()) AS target FROM levels)
+    ), rest AS (
+        SELECT *, CASE WHEN source_size > 0 THEN t // source_size ELSE 0 END AS passes FROM goals
+    ), last_slots AS (
+        SELECT src, no, f, source_size, passes, t - passes * source_size AS r, no * 1009 + passes * 97 + 11 AS key, unnest(range((t - passes * source_size + 255) // 256)) AS i FROM rest
+    ), perm AS (
+        SELECT src, i, f AS n, key, i AS x, 0 AS r FROM last_slots WHERE i < f
+        UNION ALL
+        SELECT src, i, n, key, CASE WHEN {_sc("greatest(x, other)", "key + r + 2")} % 2 = 1 THEN other ELSE x END, r + 1
+        FROM (SELECT *, ((k - x) % n + n) % n AS other FROM (SELECT *, ({_sc("r", "key")} * 2147483647 + {_sc("r", "key + 1")}) % n AS k FROM perm WHERE r < 24))
+    ), cut AS (
+        SELECT s.src, coalesce(p.x, s.f) * 256 AS first, least(CASE WHEN s.i < s.f THEN 256 ELSE s.source_size - s.f * 256 END, s.r - s.i * 256) AS words
+        FROM last_slots s LEFT JOIN perm p ON p.src = s.src AND p.i = s.i AND p.r = 24
+    ), placed AS (
+        SELECT *, sum(size) OVER (PARTITION BY src ORDER BY b, doc_id) - size AS start FROM sized
+    ), more AS (
+        SELECT p.doc_id, sum(least(p.start + p.size, c.first + c.words) - greatest(p.start, c.first)) AS words
+        FROM placed p JOIN cut c ON p.src = c.src AND p.start < c.first + c.words AND c.first < p.start + p.size GROUP BY p.doc_id
+    )
+    SELECT p.doc_id, p.size, g.source_size, g.target, (g.passes * p.size + coalesce(m.words, 0))::BIGINT AS taken
+    FROM placed p JOIN rest g ON g.src = p.src LEFT JOIN more m ON m.doc_id = p.doc_id"""
+
 ORACLE_SQL = {
+    "op11_mixing": MIXING_SQL,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW same AS (PARTITION BY t)""",
