@@ -9,7 +9,7 @@ them, and blocks join by number.  Every step is arithmetic on ids and sizes, so
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,11 +26,15 @@ ROUNDS, CELLS = 24, 4096
 BROADCAST_SOURCES = 100_000
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; written out twice, it would be computed twice."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def scattered(v: Column, key: Column | int) -> Column:
     """A pseudorandom number from 0 to 2^31 - 2, by arithmetic that any SQL engine can do.  ``v`` may be any long, ``key`` is not negative."""
     k = F.lit(key) if isinstance(key, int) else key
-    u = (v.bitwiseAND(F.lit(_P)) * 48271 + F.pmod(F.shiftright(v, 31), F.lit(_P)) * 69621 + k % _P * 40692) % _P
-    return (u * u + 12345) % _P
+    return _let((v.bitwiseAND(F.lit(_P)) * 48271 + F.pmod(F.shiftright(v, 31), F.lit(_P)) * 69621 + k % _P * 40692) % _P, lambda u: (u * u + 12345) % _P)
 
 
 def permuted(x: Column, n: Column, key: Column) -> Column:
@@ -38,8 +42,11 @@ def permuted(x: Column, n: Column, key: Column) -> Column:
 
     def step(acc: Column, r: Column) -> Column:
         k = (scattered(r, key) * _P + scattered(r, key + 1)) % n
-        other = F.pmod(k - acc, n)
-        return F.when(scattered(F.greatest(acc, other), key + r + 2) % 2 == 1, other).otherwise(acc)
+
+        def choose(other: Column) -> Column:
+            return _let(F.greatest(acc, other), lambda m: F.when(scattered(m, key + r + 2) % 2 == 1, other).otherwise(acc))
+
+        return _let(F.pmod(k - acc, n), choose)
 
     return F.aggregate(F.array(*[F.lit(r).cast("long") for r in range(ROUNDS)]), x.cast("long"), step)
 
@@ -126,7 +133,8 @@ def slots(found: DataFrame, drawn: DataFrame, block_words: int, seed: int) -> Da
     """
     along = Window.partitionBy("__q_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     rows = drawn.join(found.select("__q_no", "__q_slots"), "__q_no").withColumn("__q_j", F.coalesce(F.sum("n").over(along), F.lit(0)))
-    rows = rows.withColumn("__q_kept", F.least(F.col("n"), F.greatest(F.col("__q_slots") - F.col("__q_j"), F.lit(0))))
+    # dealt out again by shard: a source's numbers may meet in a task, its slots may not
+    rows = rows.repartition("shard", "__q_no").withColumn("__q_kept", F.least(F.col("n"), F.greatest(F.col("__q_slots") - F.col("__q_j"), F.lit(0))))
     by_no = Window.orderBy("__q_no").rowsBetween(Window.unboundedPreceding, -1)
     total = found.join(drawn.groupBy("__q_no").agg(F.sum("n").alias("__q_d")), "__q_no", "left").withColumn("__q_d", F.coalesce("__q_d", F.lit(0)))
     over, lack = F.greatest(F.col("__q_d") - F.col("__q_slots"), F.lit(0)), F.greatest(F.col("__q_slots") - F.col("__q_d"), F.lit(0))
