@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, decontaminate, exact_dedup, language_id, line_dedup, mixing, near_dedup, pii, sharding, toxicity
+from quire.llm import bpe, chat, decontaminate, exact_dedup, language_id, line_dedup, merkle, mixing, near_dedup, pii, sharding, toxicity
 from quire.llm.common import read
 
 
@@ -95,6 +95,12 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(read(spark, sf_dir, "documents"), keep_text=False).taken().drop("source")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.Manifest(read(spark, sf_dir, "documents"), changed={"text": tampered}).proofs().withColumnRenamed("id", "doc_id").drop("source")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_bpe, op3_language_id, op4_exact_dedup, op5_toxicity, op6_line_dedup, op7_pii, op8_near_dedup, op9_chat, op10_sharding, op11_mixing, pipeline)
+    f.__name__: f for f in (op1_decontamination, op2_bpe, op3_language_id, op4_exact_dedup, op5_toxicity, op6_line_dedup, op7_pii, op8_near_dedup, op9_chat, op10_sharding, op11_mixing, op12_merkle, pipeline)
 }
 
 
@@ -145,7 +151,47 @@ MIXING_SQL = rf"""
     SELECT p.doc_id, p.size, g.source_size, g.target, (g.passes * p.size + coalesce(m.words, 0))::BIGINT AS taken
     FROM placed p JOIN rest g ON g.src = p.src LEFT JOIN more m ON m.doc_id = p.doc_id"""
 
+
+#: Trees level by level; the fold of a proof is a recursion over the levels of a row's path.
+MERKLE_SQL = """
+    WITH RECURSIVE docs AS (
+        SELECT *, chr(10) AS nl, coalesce(octet_length(source::BLOB) || ':' || source, '-') AS s, coalesce(octet_length(lang::BLOB) || ':' || lang, '-') AS l,
+               coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') AS n, coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '-') AS d,
+               CASE WHEN list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) & 1 = 1 THEN replace(text, chr(10), '') ELSE text END AS tampered
+        FROM documents
+    ), leaves AS (
+        SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS size,
+               sha256(d || s || l || n || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(d || s || l || n || coalesce(strlen(tampered) || ':' || tampered, '-')) AS bad FROM docs
+    ), sub AS (
+        SELECT source, 0 AS level, i, size, leaf AS h FROM leaves
+        UNION ALL SELECT source, level + 1, i // 3, (size + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM sub WHERE size > 1 GROUP BY source, level, i // 3, size
+    ), subroots AS (
+        SELECT source, level AS height, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS no, count(*) OVER () AS groups FROM sub WHERE size = 1
+    ), top AS (
+        SELECT 0 AS level, no AS i, groups AS size, subroot AS h FROM subroots
+        UNION ALL SELECT level + 1, i // 3, (size + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE size > 1 GROUP BY level, i // 3, size
+    ), nodes AS (
+        SELECT source, false AS upper, level, i, h FROM sub UNION ALL SELECT NULL, true, level, i, h FROM top
+    ), runs AS (
+        SELECT upper, CASE WHEN upper THEN NULL ELSE source END AS source, level, i // 3 AS run, list(h ORDER BY i) AS hs FROM nodes GROUP BY ALL
+    ), steps AS (
+        SELECT l.doc_id, k, k >= r.height AS upper, CASE WHEN k < r.height THEN l.source END AS source, CASE WHEN k < r.height THEN k ELSE k - r.height END AS level,
+               CASE WHEN k < r.height THEN l.i // (3 ** k)::BIGINT ELSE r.no // (3 ** (k - r.height))::BIGINT END AS i
+        FROM (SELECT l.*, unnest(range(r.height + (SELECT max(level) FROM top))) AS k FROM leaves l JOIN subroots r ON l.source IS NOT DISTINCT FROM r.source) l
+        JOIN subroots r ON l.source IS NOT DISTINCT FROM r.source
+    ), paths AS (
+        SELECT s.doc_id, s.k, array_to_string(hs[:(s.i % 3)], '') AS before, array_to_string(hs[(s.i % 3 + 2):], '') AS after
+        FROM steps s JOIN runs r ON r.upper = s.upper AND r.source IS NOT DISTINCT FROM s.source AND r.level = s.level AND r.run = s.i // 3
+    ), folded AS (
+        SELECT doc_id, 0 AS k, bad AS h FROM leaves UNION ALL SELECT f.doc_id, f.k + 1, sha256(p.before || f.h || p.after) FROM folded f JOIN paths p ON p.doc_id = f.doc_id AND p.k = f.k
+    ), proofs AS (SELECT doc_id, sha256(string_agg(before || after, '' ORDER BY k)) AS proof, max(k) + 1 AS n FROM paths GROUP BY doc_id)
+    SELECT l.doc_id, l.leaf, r.subroot, t.h AS root, coalesce(p.proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+    FROM leaves l JOIN subroots r ON l.source IS NOT DISTINCT FROM r.source JOIN (SELECT h FROM top WHERE size = 1) t ON true
+    LEFT JOIN proofs p ON p.doc_id = l.doc_id JOIN folded f ON f.doc_id = l.doc_id AND f.k = coalesce(p.n, 0)"""
+
 ORACLE_SQL = {
+    "op12_merkle": MERKLE_SQL,
     "op11_mixing": MIXING_SQL,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
