@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, decontaminate, exact_dedup, language_id, line_dedup, merkle, mixing, near_dedup, pii, sharding, toxicity
+from quire.llm import bpe, chat, decontaminate, exact_dedup, hard_negatives, language_id, line_dedup, merkle, mixing, near_dedup, pii, sharding, toxicity
 from quire.llm.common import read
 
 
@@ -101,6 +101,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.Manifest(read(spark, sf_dir, "documents"), changed={"text": tampered}).proofs().withColumnRenamed("id", "doc_id").drop("source")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -108,7 +113,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_bpe, op3_language_id, op4_exact_dedup, op5_toxicity, op6_line_dedup, op7_pii, op8_near_dedup, op9_chat, op10_sharding, op11_mixing, op12_merkle, pipeline)
+    f.__name__: f for f in (op1_decontamination, op2_bpe, op3_language_id, op4_exact_dedup, op5_toxicity, op6_line_dedup, op7_pii, op8_near_dedup, op9_chat, op10_sharding, op11_mixing, op12_merkle, op13_hard_negatives, pipeline)
 }
 
 
@@ -190,7 +195,22 @@ MERKLE_SQL = """
     FROM leaves l JOIN subroots r ON l.source IS NOT DISTINCT FROM r.source JOIN (SELECT h FROM top WHERE size = 1) t ON true
     LEFT JOIN proofs p ON p.doc_id = l.doc_id JOIN folded f ON f.doc_id = l.doc_id AND f.k = coalesce(p.n, 0)"""
 
+
+HARD_NEGATIVES_SQL = """
+    WITH rows AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scores AS (
+        SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS s FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+    ), positives AS (
+        SELECT a, b AS p, s AS ps FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5
+    )
+    SELECT p.a AS anchor_id, p.p AS positive_id, row_number() OVER w AS rank, n.b AS negative_id, p.ps AS positive_score, n.s AS negative_score
+    FROM positives p JOIN scores n ON n.a = p.a AND NOT n.same AND 50 * p.ps <= 100 * n.s AND 100 * n.s <= 95 * p.ps
+    WINDOW w AS (PARTITION BY p.a, p.p ORDER BY n.s DESC, n.b) QUALIFY row_number() OVER w <= 3"""
+
 ORACLE_SQL = {
+    "op13_hard_negatives": HARD_NEGATIVES_SQL,
     "op12_merkle": MERKLE_SQL,
     "op11_mixing": MIXING_SQL,
     "op4_exact_dedup": """
