@@ -125,7 +125,7 @@ def draws(found: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     return met.groupBy("shard", "__q_no").agg(F.count(F.lit(1)).alias("n"))
 
 
-def slots(found: DataFrame, drawn: DataFrame, block_words: int, seed: int) -> DataFrame:
+def slots(found: DataFrame, drawn: DataFrame, block_words: int, seed: int, parts: int) -> DataFrame:
     """(shard, slot, __q_no, __q_pass, __q_block, __q_words): every slot of the mix, its block and how many of the block's words it takes.
 
     A source's slots are numbered along the shards.  Drawn slots beyond a source's number are void; the n-th void slot goes to the n-th slot that
@@ -134,7 +134,7 @@ def slots(found: DataFrame, drawn: DataFrame, block_words: int, seed: int) -> Da
     along = Window.partitionBy("__q_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     rows = drawn.join(found.select("__q_no", "__q_slots"), "__q_no").withColumn("__q_j", F.coalesce(F.sum("n").over(along), F.lit(0)))
     # dealt out again by shard: a source's numbers may meet in a task, its slots may not
-    rows = rows.repartition("shard", "__q_no").withColumn("__q_kept", F.least(F.col("n"), F.greatest(F.col("__q_slots") - F.col("__q_j"), F.lit(0))))
+    rows = rows.repartition(parts, "shard", "__q_no").withColumn("__q_kept", F.least(F.col("n"), F.greatest(F.col("__q_slots") - F.col("__q_j"), F.lit(0))))
     by_no = Window.orderBy("__q_no").rowsBetween(Window.unboundedPreceding, -1)
     total = found.join(drawn.groupBy("__q_no").agg(F.sum("n").alias("__q_d")), "__q_no", "left").withColumn("__q_d", F.coalesce("__q_d", F.lit(0)))
     over, lack = F.greatest(F.col("__q_d") - F.col("__q_slots"), F.lit(0)), F.greatest(F.col("__q_slots") - F.col("__q_d"), F.lit(0))
@@ -172,7 +172,9 @@ class Mix:
         self.draws = stage(draws(self.targets, shard_slots, seed), "draws")
 
     def slots(self) -> DataFrame:
-        return slots(self.targets, self.draws, self.block_words, self.seed)
+        spark = self.draws.sparkSession
+        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), self.draws.count() // 1000)
+        return slots(self.targets, self.draws, self.block_words, self.seed, parts)
 
     def _pieces(self, rows: DataFrame) -> DataFrame:
         return pieces(packed(rows, self.sums, self.targets), self.block_words)
