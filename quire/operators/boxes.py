@@ -169,10 +169,10 @@ def enough_words(source: Column, n_found: Column, overlap: Column) -> Column:
 
 
 def _owned(items: DataFrame, entries: DataFrame, page: list[str], cell: float) -> DataFrame:
-    """(page..., id, rect, kind, e_id, er, e_text): entries whose center lies in an item that no other item contests: the nearest center wins, equal boxes share."""
+    """(page..., id, rect, kind, e_id, er): entries whose center lies in an item that no other item contests: the nearest center wins, equal boxes share."""
     mid = lambda c: (F.col(f"{c}.x0") + F.col(f"{c}.x1")) / 2
     high = lambda c: (F.col(f"{c}.y0") + F.col(f"{c}.y1")) / 2
-    e = entries.select(*page, "kind", F.col("id").alias("e_id"), F.col("r").alias("er"), F.col("text").alias("e_text")).withColumn("cx", F.floor(mid("er") / cell)).withColumn("cy", F.floor(high("er") / cell))
+    e = entries.select(*page, "kind", F.col("id").alias("e_id"), F.col("r").alias("er")).withColumn("cx", F.floor(mid("er") / cell)).withColumn("cy", F.floor(high("er") / cell))
     i = _cells(items.where(G.area(F.col("r")) > 0).select(*page, "id", F.col("r").alias("rect")), "rect", cell)
     met = e.join(i, [*page, "cx", "cy"]).where(G.contains_point(F.col("rect"), mid("er"), high("er"))).drop("cx", "cy")
     dx, dy = mid("rect") - mid("er"), high("rect") - high("er")
@@ -180,37 +180,46 @@ def _owned(items: DataFrame, entries: DataFrame, page: list[str], cell: float) -
     return met.withColumn("best", first).where(F.col("best.rect") == F.col("rect")).drop("best")
 
 
+def _hit(rects: DataFrame, math: DataFrame, page: list[str]) -> DataFrame:
+    """(page..., rid, hit): which of the rectangles (page..., rid, r) meet math by over 0.5."""
+    return rect_overlaps(rects.select(*page, F.col("rid").alias("id"), "r"), math, page).where(F.col("inter") > LEAST_AREA).select(*page, F.col("a_id").alias("rid"), F.lit(True).alias("hit")).distinct()
+
+
 def removable_text(items: DataFrame, spans: DataFrame, blocks: DataFrame, words: DataFrame, math: DataFrame, page: list[str], cell: float = 100.0) -> DataFrame:
     """(page..., id, route, r): rectangles of the page's text that an item may remove, by the first of three ways that finds any.
 
     ``items``, ``spans``, ``blocks``, ``words``: page..., id, r, text; ``math``: page..., id, r.  Text belongs to the item whose center is nearest.  direct: exactly one own span has about the item's box.
     block: own blocks that share enough words with the item.  word: own words, if all of them together do; where the item's text has no word, its
     box (item), if there are two words.  Rectangles that meet math go; if the direct one does, the item has none.  Rectangles equal to a tenth of a point count once.
+    Ownership, math and spans are settled by place; texts come in last, and only those of blocks and words.
     """
-    entry = lambda t, kind: t.where(F.trim("text") != "").select(*page, "id", "r", "text", F.lit(kind).alias("kind"))
+    entry = lambda t, kind: t.where(F.trim("text") != "").select(*page, "id", "r", F.lit(kind).alias("kind"))
     own = _owned(items, entry(spans, "direct").unionByName(entry(blocks, "block")).unionByName(entry(words, "word")), page, cell)
-    source = items.select(*page, "id", (F.trim(F.coalesce("text", F.lit(""))) != "").alias("said"), words_of(F.col("text")).alias("source"))
     w, h, ew, eh = F.col("rect.x1") - F.col("rect.x0"), F.col("rect.y1") - F.col("rect.y0"), F.col("er.x1") - F.col("er.x0"), F.col("er.y1") - F.col("er.y0")
     error = lambda a, b: F.abs(b - a) / F.greatest(a, F.lit(1.0))
     like = G.contains_point(F.col("er"), F.col("rect.x0") + w / 2, F.col("rect.y0") + h / 2) & (error(w, ew) <= SAFE_SIZE) & (error(h, eh) <= SAFE_SIZE) & (G.iou(F.col("rect"), F.col("er")) >= SAFE_IOU)
-    rows = own.join(source, [*page, "id"]).withColumn("found", F.when(F.col("kind") != "direct", words_of(F.col("e_text")))).withColumn("shared", F.array_intersect("found", "source"))
-    able = F.when(F.col("kind") == "direct", like).when(F.col("kind") == "block", (F.size("found") > 0) & F.col("said") & enough_words(F.col("source"), F.size("found"), F.size("shared"))).otherwise(F.col("said"))
-    rows = rows.where(able).select(*page, "id", "kind", "e_id", "rect", padded(F.col("er"), WORD_PAD).alias("r"), "source", F.size("found").alias("n"), F.when(F.col("kind") == "word", F.col("shared")).alias("shared"))
-    # an item whose text has no word may go as a whole, but not through math either
-    whole = rows.where((F.size("source") == 0) & (F.col("kind") == "word")).groupBy(*page, "id").agg(F.first("rect").alias("rect"), F.first("source").alias("source"))
-    whole = whole.select(*page, "id", F.lit("item").alias("kind"), F.lit(0).cast("long").alias("e_id"), "rect", padded(F.col("rect"), ITEM_PAD).alias("r"), "source", F.lit(0).alias("n"), F.lit(None).cast("array<string>").alias("shared"))
-    rows = rows.unionByName(whole).withColumn("rid", F.struct("id", "kind", "e_id"))
-    hit = rect_overlaps(rows.select(*page, F.col("rid").alias("id"), "r"), math, page).where(F.col("inter") > LEAST_AREA).select(*page, F.col("a_id").alias("rid"), F.lit(True).alias("hit")).distinct()
-    rows = rows.join(hit, [*page, "rid"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    own = own.where((F.col("kind") != "direct") | like).select(*page, "id", "kind", "e_id", padded(F.col("er"), WORD_PAD).alias("r")).withColumn("rid", F.struct("id", "kind", "e_id"))
+    own = own.join(_hit(own, math, page), [*page, "rid"], "left").withColumn("hit", F.coalesce("hit", F.lit(False))).drop("rid")
+
+    hashes = lambda t: F.transform(words_of(t), lambda w: F.xxhash64(w))
+    found = blocks.select(*page, F.lit("block").alias("kind"), F.col("id").alias("e_id"), hashes(F.col("text")).alias("found"))
+    found = found.unionByName(words.select(*page, F.lit("word").alias("kind"), F.col("id").alias("e_id"), hashes(F.col("text")).alias("found")))
+    source = items.select(*page, "id", (F.trim(F.coalesce("text", F.lit(""))) != "").alias("said"), hashes(F.col("text")).alias("source"))
+    rows = own.where("kind <> 'direct'").join(found, [*page, "kind", "e_id"]).unionByName(own.where("kind = 'direct'").withColumn("found", F.lit(None).cast("array<long>")))
+    rows = rows.join(source, [*page, "id"]).withColumn("shared", F.array_intersect("found", "source"))
+    able = F.when(F.col("kind") == "direct", True).when(F.col("kind") == "block", (F.size("found") > 0) & F.col("said") & enough_words(F.col("source"), F.size("found"), F.size("shared"))).otherwise(F.col("said"))
     of = lambda kind, value: F.when(F.col("kind") == kind, value)
-    rect = F.struct("e_id", "r", "hit")
-    kept = lambda c: F.filter(c, lambda x: ~x["hit"])
-    one = rows.groupBy(*page, "id").agg(
-        *[F.array_sort(F.collect_list(of(k, rect))).alias(k) for k in ("direct", "block", "word", "item")],
-        F.first("source").alias("source"), F.sum(of("word", F.col("n"))).alias("n"), F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared"),
+    one = rows.where(able).groupBy(*page, "id").agg(
+        *[F.array_sort(F.collect_list(of(k, F.struct("e_id", "r", "hit")))).alias(k) for k in ("direct", "block", "word")],
+        F.first("source").alias("source"), F.sum(of("word", F.size("found"))).alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list(of("word", F.col("shared")))))).alias("overlap"),
     )
-    passes = (F.col("n") > 0) & enough_words(F.col("source"), F.col("n"), F.size("shared"))
+    kept = lambda c: F.filter(c, lambda x: ~x["hit"])
+    passes = (F.col("n") > 0) & enough_words(F.col("source"), F.col("n"), F.col("overlap"))
     route = F.when(F.size("direct") == 1, "direct").when(F.size(kept("block")) > 0, "block").when(passes, F.when(F.size("source") > 0, "word").otherwise("item"))
-    found = F.when(F.col("route") == "direct", kept("direct")).when(F.col("route") == "block", kept("block")).when(F.col("route") == "word", kept("word")).when(F.col("route") == "item", kept("item"))
-    out = one.withColumn("route", route).where("route IS NOT NULL").select(*page, "id", "route", F.inline(found))
-    return dedup_rects(out, [*page, "id"], "e_id").select(*page, "id", "route", "r")
+    one = one.withColumn("route", route).where("route IS NOT NULL")
+    parts = F.when(F.col("route") == "direct", kept("direct")).when(F.col("route") == "block", kept("block")).otherwise(kept("word"))
+    out = one.where("route <> 'item'").select(*page, "id", "route", F.inline(parts)).drop("hit")
+    # an item whose text has no word goes as a whole, but not through math either
+    whole = one.where("route = 'item'").select(*page, "id", "route").join(items.select(*page, "id", "r"), [*page, "id"]).withColumn("rid", F.col("id")).withColumn("r", padded(F.col("r"), ITEM_PAD))
+    whole = whole.join(_hit(whole, math, page), [*page, "rid"], "left_anti").select(*page, "id", "route", F.lit(0).cast("long").alias("e_id"), "r")
+    return dedup_rects(out.unionByName(whole), [*page, "id"], "e_id").select(*page, "id", "route", "r")
