@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import boxing
 from quire.functions import geometry as G
 from quire.operators import boxes as B
 from quire.plans.tables import ITEMS_SQL, box, items
@@ -51,7 +52,18 @@ def text_removable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.removable_text(own, span, block, words, math, PAGE).select(F.col("id").alias("item_id"), "route", *_edges())
 
 
-QUERIES = {f.__name__: f for f in (guards_subtracted, boxes_fitted, text_removable)}
+def text_boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of three lines, in the order 2, 3, 1, over their boxes."""
+    n = F.col("line_no")
+    room = G.box_capacity_units(box(), F.lit(10.0), F.lit(0.4))
+    rows = items(spark, sf_dir).select("doc_id", F.floor(n / 3).alias("g"), F.struct((n % 3).alias("k"), "text", room.alias("room")).alias("m"))
+    rows = rows.groupBy("doc_id", "g").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    text = F.array_join(F.transform(F.concat(F.slice("m", 2, 2), F.slice("m", 1, 1)), lambda m: m["text"]), " ")
+    parts = boxing.split_for_boxes_udf(text, F.transform("m", lambda m: m["room"]))
+    return rows.select("doc_id", "g", F.posexplode(parts).alias("box", "part"))
+
+
+QUERIES = {f.__name__: f for f in (guards_subtracted, boxes_fitted, text_removable, text_boxed)}
 
 _SUBTRACT = f"""WITH RECURSIVE {ITEMS_SQL}, guards AS (
     SELECT doc_id, page_idx, item_id AS g, x0 + 10 AS gx0, y0 + 6 AS gy0, x0 + 60 AS gx1, y0 + 46 AS gy1 FROM items WHERE line_no % 3 = 0

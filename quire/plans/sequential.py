@@ -39,6 +39,22 @@ def restore_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _restored(items(spark, sf_dir).where(F.col("text").rlike(FORMULA_SIGNS)))
 
 
+def segments_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's lines as segments: short ones, and those with a sign of a formula, count as inline equations."""
+    kind = lambda t: F.when((F.length(t) <= 24) | t.rlike(r"[_^\\{}]"), "inline_equation").otherwise("text")
+    parts = F.transform(F.split("text", "\n"), lambda t: F.struct(kind(t).alias("kind"), t.alias("content")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", S.protect_segments_udf(TERMS)(parts).alias("p"))
+    return docs.select("doc_id", F.sha2("p.protected", 256).alias("sha"), F.size("p.tokens").alias("n_tokens"), F.array_join(F.transform("p.tokens", lambda t: t["token_tag"]), ",").alias("tags"))
+
+
+def formulas_reprotected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines protected, restored, and protected again by their own formula maps."""
+    rows = items(spark, sf_dir).select("item_id", S.protect_udf(TERMS)("text").alias("p")).select("item_id", "p.protected", "p.tokens")
+    formulas = F.transform(F.filter("tokens", lambda t: t["token_type"] == "formula"), lambda t: F.struct(t["token_tag"].alias("tag"), t["restore_text"].alias("formula")))
+    rows = rows.withColumn("formulas", formulas).withColumn("again", F.when(F.size("formulas") > 0, S.reprotect_udf(S.restore_udf("protected", "tokens"), "formulas")))
+    return rows.select("item_id", F.size("formulas").alias("n_formulas"), F.coalesce("again", "protected").alias("reprotected"))
+
+
 def segment_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of a document's lines as segments."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda t: F.length(T.normalize_text(t))).alias("sizes"))
@@ -101,7 +117,7 @@ def vertical_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("doc_id", "page_idx", F.size("rs").alias("before"), F.size(S.merge_vertical_udf("rs")).alias("after"))
 
 
-QUERIES = {f.__name__: f for f in (segment_plans, group_units, vertical_merges, protect_inline, restore_tokens, restore_formulas, segment_windows, group_split, sentence_packs, copy_dominance, merge_rects, font_fit, model_hook)}
+QUERIES = {f.__name__: f for f in (segment_plans, group_units, vertical_merges, protect_inline, restore_tokens, restore_formulas, segments_protected, formulas_reprotected, segment_windows, group_split, sentence_packs, copy_dominance, merge_rects, font_fit, model_hook)}
 SQL = {
     "group_units": f"""WITH {ITEMS_SQL}, n AS (SELECT *, line_no // 5 AS g, row_number() OVER (PARTITION BY doc_id, line_no // 5 ORDER BY line_no) AS k FROM items WHERE NOT regexp_matches(text, '<[ft][0-9]'))
         SELECT doc_id, g, trim(string_agg(trim(text || ' <f' || k || '-abc/>', chr(9) || chr(10) || chr(13) || ' '), ' ' ORDER BY line_no)) AS source FROM n GROUP BY ALL""",
