@@ -180,11 +180,6 @@ def _owned(items: DataFrame, entries: DataFrame, page: list[str], cell: float) -
     return met.withColumn("best", first).where(F.col("best.rect") == F.col("rect")).drop("best")
 
 
-def _hit(rects: DataFrame, math: DataFrame, page: list[str]) -> DataFrame:
-    """(page..., rid, hit): which of the rectangles (page..., rid, r) meet math by over 0.5."""
-    return rect_overlaps(rects.select(*page, F.col("rid").alias("id"), "r"), math, page).where(F.col("inter") > LEAST_AREA).select(*page, F.col("a_id").alias("rid"), F.lit(True).alias("hit")).distinct()
-
-
 def removable_text(items: DataFrame, spans: DataFrame, blocks: DataFrame, words: DataFrame, math: DataFrame, page: list[str], cell: float = 100.0) -> DataFrame:
     """(page..., id, route, r): rectangles of the page's text that an item may remove, by the first of three ways that finds any.
 
@@ -198,28 +193,27 @@ def removable_text(items: DataFrame, spans: DataFrame, blocks: DataFrame, words:
     w, h, ew, eh = F.col("rect.x1") - F.col("rect.x0"), F.col("rect.y1") - F.col("rect.y0"), F.col("er.x1") - F.col("er.x0"), F.col("er.y1") - F.col("er.y0")
     error = lambda a, b: F.abs(b - a) / F.greatest(a, F.lit(1.0))
     like = G.contains_point(F.col("er"), F.col("rect.x0") + w / 2, F.col("rect.y0") + h / 2) & (error(w, ew) <= SAFE_SIZE) & (error(h, eh) <= SAFE_SIZE) & (G.iou(F.col("rect"), F.col("er")) >= SAFE_IOU)
-    own = own.where((F.col("kind") != "direct") | like).select(*page, "id", "kind", "e_id", padded(F.col("er"), WORD_PAD).alias("r")).withColumn("rid", F.struct("id", "kind", "e_id"))
-    own = own.join(_hit(own, math, page), [*page, "rid"], "left").withColumn("hit", F.coalesce("hit", F.lit(False))).drop("rid")
-
-    hashes = lambda t: F.transform(words_of(t), lambda w: F.xxhash64(w))
-    found = blocks.select(*page, F.lit("block").alias("kind"), F.col("id").alias("e_id"), hashes(F.col("text")).alias("found"))
-    found = found.unionByName(words.select(*page, F.lit("word").alias("kind"), F.col("id").alias("e_id"), hashes(F.col("text")).alias("found")))
-    source = items.select(*page, "id", (F.trim(F.coalesce("text", F.lit(""))) != "").alias("said"), hashes(F.col("text")).alias("source"))
-    rows = own.where("kind <> 'direct'").join(found, [*page, "kind", "e_id"]).unionByName(own.where("kind = 'direct'").withColumn("found", F.lit(None).cast("array<long>")))
-    rows = rows.join(source, [*page, "id"]).withColumn("shared", F.array_intersect("found", "source"))
-    able = F.when(F.col("kind") == "direct", True).when(F.col("kind") == "block", (F.size("found") > 0) & F.col("said") & enough_words(F.col("source"), F.size("found"), F.size("shared"))).otherwise(F.col("said"))
+    # a page's math is a short array beside each rectangle
+    guards = math.groupBy(*page).agg(F.collect_list("r").alias("__math"))
+    meets = lambda r: F.coalesce(F.exists("__math", lambda m: G.overlap_area(r, m) > LEAST_AREA), F.lit(False))
+    own = own.where((F.col("kind") != "direct") | like).join(guards, page, "left").withColumn("r", padded(F.col("er"), WORD_PAD)).withColumn("whole", padded(F.col("rect"), ITEM_PAD))
+    own = own.select(*page, "id", "kind", "e_id", "r", meets(F.col("r")).alias("hit"), F.when(~meets(F.col("whole")), F.col("whole")).alias("whole"))
+
+    told = lambda t, kind: t.select(*page, F.lit(kind).alias("kind"), F.col("id").alias("e_id"), F.col("text").alias("e_text"))
+    rows = own.join(told(blocks, "block").unionByName(told(words, "word")), [*page, "kind", "e_id"], "left").join(items.select(*page, "id", "text"), [*page, "id"])
+    said = F.trim(F.coalesce("text", F.lit(""))) != ""
+    rows = rows.withColumn("source", words_of(F.col("text"))).withColumn("found", F.when(F.col("kind") != "direct", words_of(F.col("e_text")))).withColumn("shared", F.array_intersect("found", "source"))
+    able = F.when(F.col("kind") == "direct", True).when(F.col("kind") == "block", (F.size("found") > 0) & said & enough_words(F.col("source"), F.size("found"), F.size("shared"))).otherwise(said)
     of = lambda kind, value: F.when(F.col("kind") == kind, value)
     one = rows.where(able).groupBy(*page, "id").agg(
         *[F.array_sort(F.collect_list(of(k, F.struct("e_id", "r", "hit")))).alias(k) for k in ("direct", "block", "word")],
-        F.first("source").alias("source"), F.sum(of("word", F.size("found"))).alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list(of("word", F.col("shared")))))).alias("overlap"),
+        F.first("whole").alias("whole"), F.first("source").alias("source"), F.sum(of("word", F.size("found"))).alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list(of("word", F.col("shared")))))).alias("overlap"),
     )
     kept = lambda c: F.filter(c, lambda x: ~x["hit"])
     passes = (F.col("n") > 0) & enough_words(F.col("source"), F.col("n"), F.col("overlap"))
     route = F.when(F.size("direct") == 1, "direct").when(F.size(kept("block")) > 0, "block").when(passes, F.when(F.size("source") > 0, "word").otherwise("item"))
     one = one.withColumn("route", route).where("route IS NOT NULL")
-    parts = F.when(F.col("route") == "direct", kept("direct")).when(F.col("route") == "block", kept("block")).otherwise(kept("word"))
-    out = one.where("route <> 'item'").select(*page, "id", "route", F.inline(parts)).drop("hit")
-    # an item whose text has no word goes as a whole, but not through math either
-    whole = one.where("route = 'item'").select(*page, "id", "route").join(items.select(*page, "id", "r"), [*page, "id"]).withColumn("rid", F.col("id")).withColumn("r", padded(F.col("r"), ITEM_PAD))
-    whole = whole.join(_hit(whole, math, page), [*page, "rid"], "left_anti").select(*page, "id", "route", F.lit(0).cast("long").alias("e_id"), "r")
-    return dedup_rects(out.unionByName(whole), [*page, "id"], "e_id").select(*page, "id", "route", "r")
+    item = F.when(F.col("whole").isNotNull(), F.array(F.struct(F.lit(0).cast("long").alias("e_id"), F.col("whole").alias("r"), F.lit(False).alias("hit"))))
+    parts = F.when(F.col("route") == "direct", kept("direct")).when(F.col("route") == "block", kept("block")).when(F.col("route") == "word", kept("word")).otherwise(item)
+    out = one.select(*page, "id", "route", F.inline(parts)).drop("hit")
+    return dedup_rects(out, [*page, "id"], "e_id").select(*page, "id", "route", "r")
