@@ -7,6 +7,7 @@ one pass over the few blocks concerned.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -243,8 +244,6 @@ def smooth_pair(a: dict, b: dict) -> None:
         x["leading"] = round(min(max(x["leading"], LEADING_RANGE[0]), max(LEADING_RANGE[1], x["leading_cap"])), 2)
 
 
-_STATE = ("font", "leading", "units", "discount", "width", "space", "dense", "fit", "heavy", "pitch", "lines", "leading_cap")
-
 
 def smooth_bodies(blocks: DataFrame, page: list[str]) -> DataFrame:
     """blocks plus smooth_font and smooth_leading: each body, from the top, is brought closer to the next one of its column, which may have changed already.
@@ -257,21 +256,44 @@ def smooth_bodies(blocks: DataFrame, page: list[str]) -> DataFrame:
     least = F.greatest(F.lit(BOX_WIDTH), F.when(F.col("page_width_med") > 0, F.col("page_width_med") * PAGE_WIDTH_RATIO).otherwise(0.0))
     able = F.col("body") & F.col("markdown") & ~F.col("heavy") & (high >= BOX_HEIGHT) & (wide >= least) & ((F.col("source_words") >= SOURCE_WORDS) | (F.col("zh_chars") >= ZH_CHARS))
     rows = next_in_column(blocks.withColumn("able", F.coalesce(able, F.lit(False))), page)
-    paired = F.max(F.col("next").isNotNull()).over(Window.partitionBy(*page))
-    todo = rows.withColumn("__paired", paired).where("__paired AND able").select(
+    # only blocks of pairs take part: those that another one has as its next, too
+    targets = F.collect_set("next").over(Window.partitionBy(*page))
+    todo = rows.where("able").withColumn("__paired", F.col("next").isNotNull() | F.array_contains(targets, F.col("__k"))).where("__paired").select(
         *page, "id", "__k", "next", "font", "leading", "units", "discount", wide.alias("width"), F.greatest(F.lit(8.0), F.coalesce("space", high)).alias("space"), "dense", "fit", "heavy", F.coalesce("pitch", F.lit(0.0)).alias("pitch"), F.coalesce("lines", F.lit(0)).alias("lines"),
         F.coalesce("leading_cap", F.lit(0.0)).alias("leading_cap"),
     )
+    todo = todo.repartition(*page).sortWithinPartitions(*page, "__k")
 
-    def one(table: pa.Table) -> pa.Table:
-        bodies = sorted(table.select(["__k", "next", *_STATE]).to_pylist(), key=lambda b: b["__k"])
+    def smooth(bodies: list[dict]) -> None:
+        at = {b["__k"]: b for b in bodies}
         for b in bodies:
             if b["next"] is not None:
-                smooth_pair(b, bodies[b["next"]])
-        order = [bodies[k] for k in table["__k"].to_pylist()]
-        return table.select([*page, "id"]).append_column("smooth_font", pa.array([b["font"] for b in order], pa.float64())).append_column("smooth_leading", pa.array([b["leading"] for b in order], pa.float64()))
+                smooth_pair(b, at[b["next"]])
+
+    def made(bodies: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+        columns = [pa.array([b[c] for b in bodies], schema.field(c).type) for c in (*page, "id")]
+        return pa.record_batch([*columns, pa.array([b["font"] for b in bodies], pa.float64()), pa.array([b["leading"] for b in bodies], pa.float64())], names=[*page, "id", "smooth_font", "smooth_leading"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pages come in order, one after the other; one may go on in the next batch."""
+        of = lambda b: tuple(b[c] for c in page)
+        held: list[dict] = []
+        schema = None
+        for batch in batches:
+            schema, done = batch.schema, []
+            for b in batch.to_pylist():
+                if held and of(b) != of(held[0]):
+                    smooth(held)
+                    done += held
+                    held = []
+                held.append(b)
+            if done:
+                yield made(done, schema)
+        if held:
+            smooth(held)
+            yield made(held, schema)
 
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.select(*page, "id").schema)
-    new = todo.groupBy(*page).applyInArrow(one, f"{keys}, smooth_font double, smooth_leading double")
+    new = todo.mapInArrow(run, f"{keys}, smooth_font double, smooth_leading double")
     out = rows.drop("able", "__k", "next").join(new, [*page, "id"], "left")
     return out.withColumn("smooth_font", F.coalesce("smooth_font", "font")).withColumn("smooth_leading", F.coalesce("smooth_leading", "leading"))
