@@ -16,6 +16,7 @@ MATH_SPAN = r"(?<!\\)\$(?:\\.|[^$\\\n])++(?<!\\)\$"
 SOURCE_END = r"[.!?。！？；;:：)\]）】”’\"']\s*$"
 DANGLING = r"[，,、\s]*(?:在|为|是|等于|对于)\s*$"
 LEAK_LEAST = 8
+WEIGHED = r"(?s)<[futnvc]\d+-[0-9a-z]{3}/>|\[\[FORMULA_\d+]]|[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+|[A-Za-z0-9_\-./]+|."
 REASONING = ("保持简洁", "按照规则", "因此输出", "综上，输出", "注意：原文", "译文也应保留")
 REASONING_ENDS = (r"(?s)(?:综上，输出。?|因此输出：?)\s*(.+?)\s*$", r"(?s)输出[:：]\s*(.+?)\s*$")
 REASONING_CHARS, REASONING_SHARE = 180, 0.35
@@ -118,15 +119,27 @@ def salvaged(text: Column) -> Column:
     return F.when(signs >= 2, F.coalesce(*[fits(first_line(p)) for p in REASONING_ENDS]))
 
 
-def trimmed_leak(text: Column, source: Column, own_math: Column, next_math: Column) -> Column:
-    """The text without what belongs to the next item: from the first formula on that only the next item's source has.  Null where nothing leaks or too little is left."""
+def is_open_source(source: Column) -> Column:
+    """Does a source end in the middle of a sentence?"""
+    return (_strip(source) != "") & ~_strip(source).rlike(SOURCE_END)
+
+
+def trimmed_leak(text: Column, open_source: Column, own_math: Column, next_math: Column) -> Column:
+    """The text without what belongs to the next item: from the first formula on that only the next item's source has.  Null where nothing leaks, the source has an end, or too little is left."""
     leaked = F.filter(F.array_except(F.coalesce(next_math, F.array().cast("array<string>")), own_math), lambda m: text.contains(m))
     at = F.array_min(F.transform(leaked, lambda m: F.call_function("instr", text, m)))
     head = F.substring(text, F.lit(1), at - 1)
     short = _rstrip(F.regexp_replace(_rstrip(head), DANGLING, ""))
     sentence = _rstrip(F.regexp_extract(head, r"(?s)^(.*[。！？；])", 1))
     candidate = F.when(F.length(short) >= LEAK_LEAST, short).when(F.length(sentence) >= LEAK_LEAST, sentence)
-    return F.when((F.size(leaked) > 0) & (_strip(source) != "") & ~_strip(source).rlike(SOURCE_END), candidate)
+    return F.when((F.size(leaked) > 0) & open_source, candidate)
+
+
+def text_weight(source: Column) -> Column:
+    """A source's units, 1 at least: placeholders 3, blanks 0.2, words 0.55 a letter, other signs 1."""
+    tokens = F.regexp_extract_all(F.coalesce(source, F.lit("")), F.lit(WEIGHED), F.lit(0))
+    size = lambda t: F.when(t.rlike("^(?:<|\\[\\[FORMULA_)"), 3.0).when(t.rlike("^[A-Za-z0-9_\\-./]"), F.greatest(F.lit(1.0), F.length(t) * 0.55)).when(t.rlike(f"^{T.SPACES}"), 0.2).otherwise(1.0)
+    return F.greatest(F.lit(1.0), F.aggregate(tokens, F.lit(0.0), lambda acc, t: acc + size(t)))
 
 
 def _units(records: DataFrame, doc: str) -> DataFrame:
@@ -156,21 +169,22 @@ def apply_results(records: DataFrame, results: DataFrame, doc: str = "doc_id") -
     last = last.select(doc, F.col("unit_id").alias("__id"), decision_of(F.col("r.decision")).alias("d"), raw.alias("t0"), F.coalesce("r.final_status", F.lit("")).alias("s0")).withColumn("t1", salvaged(F.col("t0")))
     last = last.select(doc, "__id", "d", F.coalesce("t1", "t0").alias("t"), F.when(F.col("t1").isNotNull(), "partially_translated").otherwise(F.col("s0")).alias("s"))
 
-    rows = _units(records, doc)
-    math = F.regexp_extract_all(F.coalesce("source", F.lit("")), F.lit(MATH_SPAN), F.lit(0))
-    rows = rows.withColumn("__math", math).withColumn("__next", F.lead("__math").over(Window.partitionBy(doc).orderBy("pos", "item_id")))
+    # what sources are needed for is computed first, so that texts don't take part in the windows unless the caller keeps them
+    source = F.coalesce("source", F.lit(""))
+    in_group = (F.trim(F.coalesce("continuation_group", F.lit(""))) != "") | F.coalesce("unit_id", F.lit("")).startswith(GROUP_PREFIX)
+    rows = records.withColumn("__math", F.regexp_extract_all(source, F.lit(MATH_SPAN), F.lit(0))).withColumn("__open", is_open_source(source)).withColumn("__weight", F.when(in_group, text_weight(F.col("source"))))
+    rows = _units(rows, doc).withColumn("__next", F.lead("__math").over(Window.partitionBy(doc).orderBy("pos", "item_id")))
 
     # a group's text is split once, then dealt out to the members by rank
-    members = rows.where("__n >= 2").groupBy(doc, "__unit").agg(F.array_sort(F.collect_list(F.struct("__rank", "source"))).alias("m"), F.max_by("tokens", -F.col("__rank")).alias("__tokens"))
+    members = rows.where("__n >= 2").groupBy(doc, "__unit").agg(F.array_sort(F.collect_list(F.struct("__rank", "__weight"))).alias("m"), F.max_by("tokens", -F.col("__rank")).alias("__tokens"))
     grouped = members.join(last.withColumnRenamed("__id", "__unit"), [doc, "__unit"])
-    weights = spans.text_weights_udf(F.transform("m", lambda x: x["source"]))
-    split = spans.split_group_udf(F.col("t"), weights)
+    split = spans.split_group_udf(F.col("t"), F.transform("m", lambda x: x["__weight"]))
     parts = F.when((F.col("d") != KEEP) & (F.col("s") != "failed"), split)
     grouped = grouped.select(doc, "__unit", F.col("d").alias("gd"), F.col("t").alias("gt"), F.col("s").alias("gs"), F.col("__tokens").alias("gtokens"), parts.alias("gparts"))
     single = last.select(doc, F.col("__id").alias("item_id"), F.col("d").alias("id"), F.col("t").alias("it"), F.col("s").alias("is_"))
     rows = rows.join(grouped, [doc, "__unit"], "left").join(single, [doc, "item_id"], "left")
 
-    leak = trimmed_leak(F.col("it"), F.coalesce("source", F.lit("")), F.col("__math"), F.col("__next"))
+    leak = trimmed_leak(F.col("it"), F.col("__open"), F.col("__math"), F.col("__next"))
     rows = rows.withColumn("__leak", F.when(F.coalesce("it", F.lit("")) != "", leak))
     rows = rows.withColumn("it", F.coalesce("__leak", "it")).withColumn("is_", F.when(F.col("__leak").isNotNull(), "partially_translated").otherwise(F.col("is_")))
     has_g, has_i = F.col("gd").isNotNull(), F.col("id").isNotNull()

@@ -4,8 +4,10 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import spans as S
 from quire.functions import text as T
 from quire.operators import records as R
 
@@ -106,6 +108,12 @@ def test_groups_are_dealt_out_whole(spark):
     assert all(squeeze("".join(p)) == squeeze(want[g]) for g, p in parts.items())
 
 
+def test_weights(spark):
+    texts = ["", "one two <f1-abc/>", "中文, a-b/c.d [[FORMULA_3]] < $x$", "  \n\t x", None, "é§"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", R.text_weight(F.col("t")).alias("w")).collect()
+    assert [r["w"] for r in got] == [pytest.approx(max(1.0, S.text_units(r["t"]))) for r in got]
+
+
 def test_empty_tables_and_repeats(spark):
     none, rows = spark.createDataFrame([], RESULT), spark.createDataFrame([record("a", 0, "x"), record("a", 0, "x")], RECORD)
     assert Counter(r["final_status"] for r in R.apply_results(rows, none).collect()) == Counter({"pending": 2})
