@@ -1,4 +1,8 @@
-"""Line dedup over passages whose ends are chosen by rolling hashes of two line hashes, and over single long lines."""
+"""Line dedup over every pair of neighbouring lines and every single long line, by line hashes.
+
+This is not content-defined chunking, which misses most passages of two or three lines: a passage shorter than the distance of two
+chosen boundaries holds no whole chunk.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +15,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import among, filter_bitmaps, filter_blocks, filter_cells, filter_test, join_sized, sliced, stage, unstage
 
-#: Lines under the rolling hash.  Every line begins a window, so a passage is the union of its windows, wherever it
-#: stands: its ends are the places where the rolling hash stops being one that occurs elsewhere.
+#: Lines of a window; the columns below hold two hashes, so it can't be another number.  Every line begins a window, so a passage is
+#: the union of its windows, wherever it stands, and ends where windows stop being ones that occur elsewhere.
 WINDOW = 2
 #: A line of so many words, or so many bytes (scripts without blanks), is a passage by itself.
 LONG_WORDS, LONG_BYTES = 50, 300
@@ -28,10 +32,7 @@ def line_hash(line: bytes, digest: int = DIGEST) -> tuple[int, int]:
 
 
 def windows(lines: list[bytes], digest: int = DIGEST) -> list[tuple[int, int, int, int, int, int]]:
-    """(first line, number of lines, hash of the first, hash of the second or zeros): neighbouring lines, and long single ones.
-
-    The hash rolls: a step drops the oldest line's hash and takes in the next one's.
-    """
+    """(first line, number of lines, hash of the first, hash of the second or zeros): neighbouring lines, and long single ones."""
     hashes = [line_hash(x, digest) for x in lines]
     out = [(k, WINDOW, *hashes[k], *hashes[k + 1]) for k in range(len(lines) - WINDOW + 1)]
     return out + [(k, 1, *hashes[k], 0, 0) for k, x in enumerate(lines) if len(x) >= LONG_BYTES or len(x.split()) >= LONG_WORDS]

@@ -99,13 +99,13 @@ class Scorer:
 
 
 def _terms(low: int, high: int):
-    """(text, toxic) rows to (term, bad, good): in how many texts a word or stem occurs."""
+    """(text, toxic) rows to (term, bad, good): in how many texts a word of any length, or a stem of ``low`` to ``high`` letters, occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             count: dict[str, list[int]] = {}
             for text, bad in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words = {w for w in _WORD.findall(fold(text.as_py() or "")) if low <= len(w) <= 40}
+                words = set(_WORD.findall(fold(text.as_py() or "")))
                 terms = words | {w[:k] + "*" for w in words for k in range(low, min(high, len(w) - 1) + 1)}
                 for t in terms:
                     count.setdefault(t, [0, 0])[0 if bad else 1] += 1
@@ -125,14 +125,14 @@ def _feature_rows(lexicon: Lexicon):
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", sample: int = SAMPLE, most_terms: int = 4000, stem: tuple[int, int] = (4, 7)) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", sample: int = SAMPLE, stem: tuple[int, int] = (4, 7)) -> Lexicon:
     """A lexicon from texts and their 0/1 labels (other labels and null ids are left out).
 
     Takes about ``sample`` labels of either kind by hash of the id (all where there are fewer): so few that they are
-    broadcast to the texts, which don't shuffle.  Counts in how many texts of each label every folded word and word stem
-    occurs; keeps terms that are rare in label-0 texts, weighted by log odds; then fits the calibration on the same sample.
-    To the driver come at most ``most_terms`` terms and three numbers a sampled text.  Without both labels the lexicon
-    is empty.
+    broadcast to the texts, which don't shuffle.  Counts in how many texts of each label every folded word, of any length, and every
+    word stem of ``stem`` letters occurs; keeps all terms that are in three label-1 texts and 0.3 % of them at least and rare in
+    label-0 texts, weighted by log odds; then fits the calibration on the same sample.  To the driver come those terms and three
+    numbers a sampled text: the sample bounds both, since a term costs its texts an occurrence each.  Without both labels the lexicon is empty.
     """
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("toxic IN (0, 1) AND id IS NOT NULL").distinct()
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -149,7 +149,7 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     odds = F.ln((F.col("bad") + 0.5) / (n[1] + 1.0)) - F.ln((F.col("good") + 0.5) / (n[0] + 1.0))
     least = max(3, round(0.003 * n[1]))
     strong = counted.where(F.col("bad") >= least).withColumn("odds", odds).where("odds > 3")
-    found = {r["term"]: (r["bad"], r["good"], r["odds"]) for r in strong.orderBy(F.desc("bad"), "term").limit(most_terms).collect()}
+    found = {r["term"]: (r["bad"], r["good"], r["odds"]) for r in strong.collect()}
     weights: dict[str, float] = {}
     for term, (bad, _good, weight) in sorted(found.items(), key=lambda x: (len(x[0]), x[0])):
         word = term.rstrip("*")

@@ -136,6 +136,18 @@ def test_op5_on_held_out_texts(spark):
     assert all(r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in rows)
 
 
+def test_toxicity_learns_words_of_any_length(spark):
+    """Two-letter insults and very long ones are learnt, however many other words mark label 1."""
+    long = "verylong" * 8
+    rows = [(k, f"plain text number{k} {'zq' if k % 4 == 0 else long if k % 4 == 1 else ''} " + " ".join(f"bad{chr(97 + j % 26)}{chr(97 + j // 26)}x" for j in range(k % 4 * 200)), 1) for k in range(400)]
+    rows += [(1000 + k, f"plain text number{k} and more", 0) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn(df, df)
+    score = toxicity.Scorer(lexicon)
+    assert "zq" in lexicon.weights and any(long.startswith(t.rstrip("*")) for t in lexicon.weights if len(t) > 3)
+    assert score("you zq") > 0.7 and score(f"you {long}") > 0.7 and score("plain text and more") < 0.3
+
+
 def test_toxicity_edge_cases(spark, odd, none):
     labels = spark.createDataFrame([(1, 0), (7, 0), (9, 1), (9, 1), (None, 1), (11, None), (12, 5)], "doc_id long, toxic int")
     lexicon = toxicity.learn(odd, labels)
