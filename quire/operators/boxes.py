@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
-from quire.operators.layout import _cells, dedup_rects, rect_overlaps
+from quire.operators.layout import dedup_rects, rect_overlaps
 from quire.operators.outputs import let
 
 # --- fixed values ------------------------------------------------------------
@@ -168,52 +168,49 @@ def enough_words(source: Column, n_found: Column, overlap: Column) -> Column:
     return F.when(n == 0, n_found >= 2).otherwise(overlap >= least)
 
 
-def _owned(items: DataFrame, entries: DataFrame, page: list[str], cell: float) -> DataFrame:
-    """(page..., id, rect, kind, e_id, er): entries whose center lies in an item that no other item contests: the nearest center wins, equal boxes share."""
-    mid = lambda c: (F.col(f"{c}.x0") + F.col(f"{c}.x1")) / 2
-    high = lambda c: (F.col(f"{c}.y0") + F.col(f"{c}.y1")) / 2
-    e = entries.select(*page, "kind", F.col("id").alias("e_id"), F.col("r").alias("er")).withColumn("cx", F.floor(mid("er") / cell)).withColumn("cy", F.floor(high("er") / cell))
-    i = _cells(items.where(G.area(F.col("r")) > 0).select(*page, "id", F.col("r").alias("rect")), "rect", cell)
-    met = e.join(i, [*page, "cx", "cy"]).where(G.contains_point(F.col("rect"), mid("er"), high("er"))).drop("cx", "cy")
-    dx, dy = mid("rect") - mid("er"), high("rect") - high("er")
-    first = F.min(F.struct((dx * dx + dy * dy).alias("d"), "id", "rect")).over(Window.partitionBy(*page, "kind", "e_id"))
-    return met.withColumn("best", first).where(F.col("best.rect") == F.col("rect")).drop("best")
-
-
-def removable_text(items: DataFrame, spans: DataFrame, blocks: DataFrame, words: DataFrame, math: DataFrame, page: list[str], cell: float = 100.0) -> DataFrame:
+def removable_text(items: DataFrame, spans: DataFrame, blocks: DataFrame, words: DataFrame, math: DataFrame, page: list[str]) -> DataFrame:
     """(page..., id, route, r): rectangles of the page's text that an item may remove, by the first of three ways that finds any.
 
-    ``items``, ``spans``, ``blocks``, ``words``: page..., id, r, text; ``math``: page..., id, r.  Text belongs to the item whose center is nearest.  direct: exactly one own span has about the item's box.
+    ``items``, ``spans``, ``blocks``, ``words``: page..., id, r, text; ``math``: page..., id, r.  Text belongs to the item whose center is nearest (of equal distances the smaller id; equal boxes share).  direct: exactly one own span has about the item's box.
     block: own blocks that share enough words with the item.  word: own words, if all of them together do; where the item's text has no word, its
     box (item), if there are two words.  Rectangles that meet math go; if the direct one does, the item has none.  Rectangles equal to a tenth of a point count once.
-    Ownership, math and spans are settled by place; texts come in last, and only those of blocks and words.
+    Entries meet the boxes of their page as one array and everything after that stays on the page, so texts shuffle once.
     """
-    entry = lambda t, kind: t.where(F.trim("text") != "").select(*page, "id", "r", F.lit(kind).alias("kind"))
-    own = _owned(items, entry(spans, "direct").unionByName(entry(blocks, "block")).unionByName(entry(words, "word")), page, cell)
-    w, h, ew, eh = F.col("rect.x1") - F.col("rect.x0"), F.col("rect.y1") - F.col("rect.y0"), F.col("er.x1") - F.col("er.x0"), F.col("er.y1") - F.col("er.y0")
+    entry = lambda t, kind, text: t.where(F.trim("text") != "").select(*page, F.lit(kind).alias("kind"), F.col("id").alias("e_id"), F.col("r").alias("er"), text.alias("e_text"))
+    entries = entry(spans, "direct", F.lit(None).cast("string")).unionByName(entry(blocks, "block", F.col("text"))).unionByName(entry(words, "word", F.col("text")))
+    pages = items.where(G.area(F.col("r")) > 0).groupBy(*page).agg(F.collect_list(F.struct("id", F.col("r").alias("rect"), "text")).alias("__items")).join(math.groupBy(*page).agg(F.collect_list("r").alias("__math")), page, "left")
+    er = F.col("er")
+    ex, ey = G.center_x(er), G.center_y(er)
+
+    def owners(inside: Column) -> Column:
+        def far(i: Column) -> Column:
+            dx, dy = G.center_x(i["rect"]) - ex, G.center_y(i["rect"]) - ey
+            return F.struct((dx * dx + dy * dy).alias("d"), i["id"].alias("id"), i["rect"].alias("rect"))
+
+        return let(F.array_min(F.transform(inside, far))["rect"], lambda best: F.filter(inside, lambda i: i["rect"] == best))
+
+    mine = let(F.filter("__items", lambda i: G.contains_point(i["rect"], ex, ey)), owners)
+    own = entries.join(pages, page).select(*page, "kind", "e_id", "er", "e_text", "__math", F.explode(mine).alias("o"))
+    rect = F.col("o.rect")
+    w, h, ew, eh = rect["x1"] - rect["x0"], rect["y1"] - rect["y0"], er["x1"] - er["x0"], er["y1"] - er["y0"]
     error = lambda a, b: F.abs(b - a) / F.greatest(a, F.lit(1.0))
-    like = G.contains_point(F.col("er"), F.col("rect.x0") + w / 2, F.col("rect.y0") + h / 2) & (error(w, ew) <= SAFE_SIZE) & (error(h, eh) <= SAFE_SIZE) & (G.iou(F.col("rect"), F.col("er")) >= SAFE_IOU)
-    # a page's math is a short array beside each rectangle
-    guards = math.groupBy(*page).agg(F.collect_list("r").alias("__math"))
+    like = G.contains_point(er, rect["x0"] + w / 2, rect["y0"] + h / 2) & (error(w, ew) <= SAFE_SIZE) & (error(h, eh) <= SAFE_SIZE) & (G.iou(rect, er) >= SAFE_IOU)
     meets = lambda r: F.coalesce(F.exists("__math", lambda m: G.overlap_area(r, m) > LEAST_AREA), F.lit(False))
-    own = own.where((F.col("kind") != "direct") | like).join(guards, page, "left").withColumn("r", padded(F.col("er"), WORD_PAD)).withColumn("whole", padded(F.col("rect"), ITEM_PAD))
-    own = own.select(*page, "id", "kind", "e_id", "r", meets(F.col("r")).alias("hit"), F.when(~meets(F.col("whole")), F.col("whole")).alias("whole"))
-
-    told = lambda t, kind: t.select(*page, F.lit(kind).alias("kind"), F.col("id").alias("e_id"), F.col("text").alias("e_text"))
-    rows = own.join(told(blocks, "block").unionByName(told(words, "word")), [*page, "kind", "e_id"], "left").join(items.select(*page, "id", "text"), [*page, "id"])
-    said = F.trim(F.coalesce("text", F.lit(""))) != ""
-    rows = rows.withColumn("source", words_of(F.col("text"))).withColumn("found", F.when(F.col("kind") != "direct", words_of(F.col("e_text")))).withColumn("shared", F.array_intersect("found", "source"))
-    able = F.when(F.col("kind") == "direct", True).when(F.col("kind") == "block", (F.size("found") > 0) & said & enough_words(F.col("source"), F.size("found"), F.size("shared"))).otherwise(said)
+    own = own.where((F.col("kind") != "direct") | like).withColumn("r", padded(er, WORD_PAD)).withColumn("hit", meets(F.col("r"))).withColumn("found", F.when(F.col("kind") != "direct", words_of(F.col("e_text"))))
     of = lambda kind, value: F.when(F.col("kind") == kind, value)
-    one = rows.where(able).groupBy(*page, "id").agg(
-        *[F.array_sort(F.collect_list(of(k, F.struct("e_id", "r", "hit")))).alias(k) for k in ("direct", "block", "word")],
-        F.first("whole").alias("whole"), F.first("source").alias("source"), F.sum(of("word", F.size("found"))).alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list(of("word", F.col("shared")))))).alias("overlap"),
+    one = own.groupBy(*page, F.col("o.id").alias("id")).agg(
+        F.first("o").alias("o"), F.first("__math").alias("__math"), F.array_sort(F.collect_list(of("direct", F.struct("e_id", "r", "hit")))).alias("direct"), F.array_sort(F.collect_list(of("word", F.struct("e_id", "r", "hit")))).alias("word"),
+        F.array_sort(F.collect_list(of("block", F.struct("e_id", "r", "hit", "found")))).alias("blocks"), F.flatten(F.collect_list(of("word", F.col("found")))).alias("found"),
     )
+    one = one.withColumn("source", words_of(F.col("o.text"))).withColumn("said", F.trim(F.coalesce("o.text", F.lit(""))) != "")
+    fits = F.filter("blocks", lambda b: ~b["hit"] & F.col("said") & (F.size(b["found"]) > 0) & enough_words(F.col("source"), F.size(b["found"]), F.size(F.array_intersect(b["found"], "source"))))
+    one = one.withColumn("block", F.transform(fits, lambda b: F.struct(b["e_id"].alias("e_id"), b["r"].alias("r"), b["hit"].alias("hit"))))
+    passes = F.col("said") & (F.size("found") > 0) & enough_words(F.col("source"), F.size("found"), F.size(F.array_intersect("found", "source")))
+    route = F.when(F.size("direct") == 1, "direct").when(F.size("block") > 0, "block").when(passes, F.when(F.size("source") > 0, "word").otherwise("item"))
+    whole = padded(F.col("o.rect"), ITEM_PAD)
     kept = lambda c: F.filter(c, lambda x: ~x["hit"])
-    passes = (F.col("n") > 0) & enough_words(F.col("source"), F.col("n"), F.col("overlap"))
-    route = F.when(F.size("direct") == 1, "direct").when(F.size(kept("block")) > 0, "block").when(passes, F.when(F.size("source") > 0, "word").otherwise("item"))
+    item = F.array(F.struct(F.lit(0).cast("long").alias("e_id"), whole.alias("r"), meets(whole).alias("hit")))
     one = one.withColumn("route", route).where("route IS NOT NULL")
-    item = F.when(F.col("whole").isNotNull(), F.array(F.struct(F.lit(0).cast("long").alias("e_id"), F.col("whole").alias("r"), F.lit(False).alias("hit"))))
-    parts = F.when(F.col("route") == "direct", kept("direct")).when(F.col("route") == "block", kept("block")).when(F.col("route") == "word", kept("word")).otherwise(item)
-    out = one.select(*page, "id", "route", F.inline(parts)).drop("hit")
+    parts = F.when(F.col("route") == "direct", F.col("direct")).when(F.col("route") == "block", F.col("block")).when(F.col("route") == "word", F.col("word")).otherwise(item)
+    out = one.select(*page, "id", "route", F.inline(kept(parts))).drop("hit")
     return dedup_rects(out, [*page, "id"], "e_id").select(*page, "id", "route", "r")
