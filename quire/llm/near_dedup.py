@@ -240,18 +240,35 @@ def _across(near: DataFrame, source: DataFrame, width: int, percent: int) -> Dat
     prefix = stage(first.join(sets.select("id", "bits"), F.col("doc_id") == F.col("id")).drop("id"), "prefix")
     for t in (sets, tokens):
         unstage(t)
-    x, y = prefix.alias("x"), prefix.alias("y")
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
-    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc_id") < F.col("y.doc_id")))
-    short = F.col("x.k") <= F.col("x.n") - F.ceil(F.col("x.n") * (2 * percent) / (100 + percent)) + 1
-    fits = F.col("x.n") * 100 >= F.col("y.n") * percent
+    return _met(prefix, percent)
+
+
+def _met(prefix: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the rows (a, t, doc_id, n, comp, k, bits) of ``prefix`` that meet in (a, t), differ in comp and may be alike.
+
+    In each (a, t) rows of the largest component don't meet one another, only the others: a component of any size with the same template costs a few outliers
+    their number each, not its own square.
+    """
+    each = prefix.groupBy("a", "t", "comp").agg(F.count(F.lit(1)).alias("c"))
+    top = each.groupBy("a", "t").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("members")).where("comps > 1")
+    top = stage(top.select("a", "t", F.col("top.comp").alias("most"), "members"), "tops")
+    rows = stage(join_sized(prefix, top, ["a", "t"], "members", prefix.count()).withColumn("large", F.col("comp") == F.col("most")).drop("most", "members"), "prefix")
+    unstage(prefix)
+    p, q = rows.where("NOT large").alias("p"), rows.alias("q")
+    met = (F.col("p.a") == F.col("q.a")) & (F.col("p.t") == F.col("q.t")) & (F.col("p.comp") != F.col("q.comp"))
+    once = F.col("q.large") | (F.col("p.doc_id") < F.col("q.doc_id"))
+    first = (F.col("p.n") < F.col("q.n")) | ((F.col("p.n") == F.col("q.n")) & (F.col("p.doc_id") < F.col("q.doc_id")))
+    xn, yn = F.least("p.n", "q.n"), F.greatest("p.n", "q.n")
+    xk = F.when(first, F.col("p.k")).otherwise(F.col("q.k"))
+    need = F.ceil((xn + yn) * percent / (100 + percent))
+    short = xk <= xn - F.ceil(xn * (2 * percent) / (100 + percent)) + 1
+    fits = xn * 100 >= yn * percent
     # at the first common shingle of an alike pair all the others still follow; a pair may be met there only
-    room = F.least(F.col("x.n") - F.col("x.k"), F.col("y.n") - F.col("y.k")) + 1 >= need
+    room = F.least(F.col("p.n") - F.col("p.k"), F.col("q.n") - F.col("q.k")) + 1 >= need
     # alike sets differ in (100 - p) / (100 + p) * (x + y) shingles at most
-    differ = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(BITMAP // 64)), F.lit(0))
-    alike = differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
-    met = (F.col("x.a") == F.col("y.a")) & (F.col("x.t") == F.col("y.t"))
-    return x.join(y, met & smaller & short & fits & room & (F.col("x.comp") != F.col("y.comp")) & alike).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    differ = sum((F.bit_count(F.col("p.bits")[i].bitwiseXOR(F.col("q.bits")[i])) for i in range(BITMAP // 64)), F.lit(0))
+    alike = differ * (100 + percent) <= (xn + yn) * (100 - percent)
+    return p.join(q, met & once & short & fits & room & alike).select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -213,3 +214,50 @@ def test_a_shared_template_gives_no_pairs(spark):
     assert near_dedup._across(near, df, 4, 80).count() == 0
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, width=4).collect()}
     assert got == {i: 0 if i % 50 == 0 else i for i, _ in docs}
+
+
+def template_rows(n, outliers):
+    """``n`` documents of one component (183 common words and 17 own ones), and outliers that hold half of the common words."""
+    common = [f"c{j}" for j in range(183)]
+    rows = [(k, " ".join(common + [f"o{k}-{j}" for j in range(17)])) for k in range(n)]
+    return rows + [(n + k, " ".join(common[:92] + [f"u{k}-{j}" for j in range(90)])) for k in range(outliers)]
+
+
+def test_a_large_component_does_not_meet_itself(spark, monkeypatch):
+    rows = template_rows(500, 20)
+    seen = []
+    real = near_dedup._met
+
+    def watched(prefix, percent):
+        by_key = {}
+        for r in prefix.select("a", "t", "comp").collect():
+            by_key.setdefault((r["a"], r["t"]), []).append(r["comp"])
+        seen.append((sum(len(c) ** 2 for c in by_key.values()), sum((len(c) - max(map(c.count, set(c)))) * len(c) for c in by_key.values())))
+        return real(prefix, percent)
+
+    monkeypatch.setattr(near_dedup, "_met", watched)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, width=4).collect()}
+    assert got == brute_components(rows, 4)
+    assert all(rest < whole / 10 for whole, rest in seen if whole > 10_000)
+
+
+def test_meetings_equal_all_pairs(spark):
+    """What meets is what all rows of a key would have met, but for pairs of one component."""
+    rng = random.Random(8)
+    rows, sizes = [], {}
+    for d in range(120):
+        sizes[d] = rng.randrange(4, 9)
+        for k in range(1, sizes[d] + 1):
+            rows.append((0, rng.randrange(12), d, sizes[d], 0 if d < 70 else d % 7 + 1, k, [0] * (near_dedup.BITMAP // 64)))
+    rows = list({(r[0], r[1], r[2]): r for r in rows}.values())
+    df = spark.createDataFrame(rows, "a long, t long, doc_id long, n long, comp long, k int, bits array<long>")
+    want = set()
+    for x in rows:
+        for y in rows:
+            if x[1] == y[1] and x[4] != y[4] and (x[3], x[2]) < (y[3], y[2]):
+                need = -(-(x[3] + y[3]) * 80 // 180)
+                if x[5] <= x[3] - -(-x[3] * 160 // 180) + 1 and x[3] * 100 >= y[3] * 80 and min(x[3] - x[5], y[3] - y[5]) + 1 >= need:
+                    want.add((min(x[2], y[2]), max(x[2], y[2])))
+    got = {tuple(r) for r in near_dedup._met(near_dedup.stage(df, "prefix"), 80).collect()}
+    assert got == want and len(want) > 20
