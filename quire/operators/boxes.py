@@ -180,16 +180,19 @@ def removable_text(items: DataFrame, spans: DataFrame, blocks: DataFrame, words:
     entries = entry(spans, "direct", F.lit(None).cast("string")).unionByName(entry(blocks, "block", F.col("text"))).unionByName(entry(words, "word", F.col("text")))
     pages = items.where(G.area(F.col("r")) > 0).groupBy(*page).agg(F.collect_list(F.struct("id", F.col("r").alias("rect"), "text")).alias("__items")).join(math.groupBy(*page).agg(F.collect_list("r").alias("__math")), page, "left")
     er = F.col("er")
-    ex, ey = G.center_x(er), G.center_y(er)
 
-    def owners(inside: Column) -> Column:
+    def holders(c: Column) -> Column:
+        """Of the items around an entry's center those with the nearest box."""
+
         def far(i: Column) -> Column:
-            dx, dy = G.center_x(i["rect"]) - ex, G.center_y(i["rect"]) - ey
+            dx, dy = G.center_x(i["rect"]) - c["x"], G.center_y(i["rect"]) - c["y"]
             return F.struct((dx * dx + dy * dy).alias("d"), i["id"].alias("id"), i["rect"].alias("rect"))
 
-        return let(F.array_min(F.transform(inside, far))["rect"], lambda best: F.filter(inside, lambda i: i["rect"] == best))
+        inside = F.filter("__items", lambda i: G.contains_point(i["rect"], c["x"], c["y"]))
+        contested = lambda m: let(F.array_min(F.transform(m, far))["rect"], lambda best: F.filter(m, lambda i: i["rect"] == best))
+        return let(inside, lambda m: F.when(F.size(m) <= 1, m).otherwise(contested(m)))
 
-    mine = let(F.filter("__items", lambda i: G.contains_point(i["rect"], ex, ey)), owners)
+    mine = let(F.struct(G.center_x(er).alias("x"), G.center_y(er).alias("y")), holders)
     own = entries.join(pages, page).select(*page, "kind", "e_id", "er", "e_text", "__math", F.explode(mine).alias("o"))
     rect = F.col("o.rect")
     w, h, ew, eh = rect["x1"] - rect["x0"], rect["y1"] - rect["y0"], er["x1"] - er["x0"], er["y1"] - er["y0"]
