@@ -16,7 +16,7 @@ MATH_SPAN = r"(?<!\\)\$(?:\\.|[^$\\\n])++(?<!\\)\$"
 SOURCE_END = r"[.!?。！？；;:：)\]）】”’\"']\s*$"
 DANGLING = r"[，,、\s]*(?:在|为|是|等于|对于)\s*$"
 LEAK_LEAST = 8
-WEIGHED = r"(?s)<[futnvc]\d+-[0-9a-z]{3}/>|\[\[FORMULA_\d+]]|[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+|[A-Za-z0-9_\-./]+|."
+WEIGHED_TOKEN, WORD_SIGN = r"<[futnvc]\d+-[0-9a-z]{3}/>|\[\[FORMULA_\d+]]", r"[A-Za-z0-9_\-./]"
 REASONING = ("保持简洁", "按照规则", "因此输出", "综上，输出", "注意：原文", "译文也应保留")
 REASONING_ENDS = (r"(?s)(?:综上，输出。?|因此输出：?)\s*(.+?)\s*$", r"(?s)输出[:：]\s*(.+?)\s*$")
 REASONING_CHARS, REASONING_SHARE = 180, 0.35
@@ -126,20 +126,27 @@ def is_open_source(source: Column) -> Column:
 
 def trimmed_leak(text: Column, open_source: Column, own_math: Column, next_math: Column) -> Column:
     """The text without what belongs to the next item: from the first formula on that only the next item's source has.  Null where nothing leaks, the source has an end, or too little is left."""
+    able = open_source & (F.size(next_math) > 0) & text.contains("$")
     leaked = F.filter(F.array_except(F.coalesce(next_math, F.array().cast("array<string>")), own_math), lambda m: text.contains(m))
     at = F.array_min(F.transform(leaked, lambda m: F.call_function("instr", text, m)))
     head = F.substring(text, F.lit(1), at - 1)
     short = _rstrip(F.regexp_replace(_rstrip(head), DANGLING, ""))
     sentence = _rstrip(F.regexp_extract(head, r"(?s)^(.*[。！？；])", 1))
     candidate = F.when(F.length(short) >= LEAK_LEAST, short).when(F.length(sentence) >= LEAK_LEAST, sentence)
-    return F.when((F.size(leaked) > 0) & open_source, candidate)
+    return F.when(able, F.when(F.size(leaked) > 0, candidate))
 
 
 def text_weight(source: Column) -> Column:
-    """A source's units, 1 at least: placeholders 3, blanks 0.2, words 0.55 a letter, other signs 1."""
-    tokens = F.regexp_extract_all(F.coalesce(source, F.lit("")), F.lit(WEIGHED), F.lit(0))
-    size = lambda t: F.when(t.rlike("^(?:<|\\[\\[FORMULA_)"), 3.0).when(t.rlike("^[A-Za-z0-9_\\-./]"), F.greatest(F.lit(1.0), F.length(t) * 0.55)).when(t.rlike(f"^{T.SPACES}"), 0.2).otherwise(1.0)
-    return F.greatest(F.lit(1.0), F.aggregate(tokens, F.lit(0.0), lambda acc, t: acc + size(t)))
+    """A source's units, 1 at least: placeholders 3, a run of blanks 0.2, words 0.55 a letter and 1 at least, other signs 1 (an angle 3)."""
+    whole = F.coalesce(source, F.lit(""))
+    text = F.when(whole.contains("<") | whole.contains("[["), F.regexp_replace(whole, WEIGHED_TOKEN, "\x00")).otherwise(whole)
+    n = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    left = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
+    tokens = F.length(text) - F.length(F.translate(text, "\x00", ""))
+    angles = F.length(text) - F.length(F.translate(text, "<", ""))
+    words, others = F.length(text) - left(WORD_SIGN), left(rf"{WORD_SIGN}|{T.SPACES}")
+    single = n(rf"(?<!{WORD_SIGN}){WORD_SIGN}(?!{WORD_SIGN})")
+    return F.greatest(F.lit(1.0), words * 0.55 + single * 0.45 + n(f"{T.SPACES}+") * 0.2 + others + (tokens + angles) * 2.0)
 
 
 def _units(records: DataFrame, doc: str) -> DataFrame:
@@ -196,9 +203,11 @@ def apply_results(records: DataFrame, results: DataFrame, doc: str = "doc_id") -
     part = F.get(F.col("gparts"), F.col("__rank"))
     joined = lambda t: F.when(F.coalesce("tail_prefix", F.lit("")) == "", t).otherwise(_join(F.col("tail_prefix"), t))
     pick = lambda own, group, before: F.when(i == "text", own).when(decided.isin("failed", "kept"), "").when((g == "text") & skipped, "").when(g == "text", group).otherwise(before)
-    text = pick(joined(restore(F.col("it"), F.col("tokens"))), restore(part, F.col("gtokens")), F.col("translated_text"))
+    # what several columns show is computed once
+    rows = rows.withColumn("__own", F.when(i == "text", joined(restore(F.col("it"), F.col("tokens")))))
+    text = pick(F.col("__own"), restore(part, F.col("gtokens")), F.col("translated_text"))
     protected = pick(joined(F.col("it")), part, F.col("protected_translated_text"))
-    whole = pick(joined(restore(F.col("it"), F.col("tokens"))), restore(F.col("gt"), F.col("gtokens")), F.col("unit_translated_text"))
+    whole = pick(F.col("__own"), restore(F.col("gt"), F.col("gtokens")), F.col("unit_translated_text"))
     should = F.when(i == "failed", True).when(i == "kept", False).when(g == "failed", True).when(g == "kept", False).otherwise(F.col("should_translate"))
     label = F.when(i == "failed", "").when(i == "kept", KEPT_LABEL).when(g == "failed", "").when(g == "kept", KEPT_LABEL).otherwise(F.col("label"))
     named = lambda s: F.when(s == "", "translated").otherwise(s)
