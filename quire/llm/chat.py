@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,36 +66,57 @@ def _tokenizer(path: str) -> Tokenizer:
     return made
 
 
-def mask_of(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[int]:
+def mask_of(offsets: Sequence[tuple[int, int]], spans: list[tuple[int, int]]) -> np.ndarray:
     """For each token 1 if its offsets lie in one of the ascending, disjoint spans: found by binary search over token starts and ends."""
-    starts, ends = [a for a, _ in offsets], [b for _, b in offsets]
-    mask = [0] * len(offsets)
-    for a, b in spans:
-        for k in range(bisect_left(starts, a), bisect_right(ends, b)):
-            mask[k] = 1
+    at = np.asarray(offsets, np.int32).reshape(-1, 2)
+    mask = np.zeros(len(at), np.int32)
+    if spans:
+        edges = np.asarray(spans, np.int32)
+        for a, b in zip(np.searchsorted(at[:, 0], edges[:, 0], "left"), np.searchsorted(at[:, 1], edges[:, 1], "right"), strict=True):
+            mask[a:b] = 1
     return mask
 
 
 _COLUMNS = "conv_id long, n_turns long, formatted string, ids array<int>, mask array<int>, starts array<int>, ends array<int>"
 
 
+#: Conversations that become Python objects at a time, and tokens after which a batch of results leaves the worker.
+SOME, TOKENS = 32, 200_000
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
+
+
 def _format(path: str, loss_roles: tuple[str, ...]):
+    """Encodes one conversation after the other and keeps arrays only: the library's encodings take over 100 bytes a token."""
+
+    def coded(tokenizer: Tokenizer, turns: list[dict]) -> tuple:
+        made = render([(t["role"], t["text"]) for t in turns])
+        code = tokenizer.encode(made.text, add_special_tokens=False)
+        offsets = np.array(code.offsets, np.int32).reshape(-1, 2)
+        mask = mask_of(offsets, [s for s, r in zip(made.spans, made.roles, strict=True) if r in loss_roles])
+        return len(made.spans), made.text, np.array(code.ids, np.int32), mask, offsets[:, 0], offsets[:, 1]
+
+    def packed(ids: list, rows: list[tuple]) -> pa.RecordBatch:
+        n, texts, *lists = zip(*rows, strict=True)
+        columns = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(texts, pa.string()), *map(_lists, lists)]
+        return pa.record_batch(columns, names=["conv_id", "n_turns", "formatted", "ids", "mask", "starts", "ends"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
-        lists = pa.list_(pa.int32())
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                made = [render([(t["role"], t["text"]) for t in turns]) for turns in part.column(1).to_pylist()]
-                coded = tokenizer.encode_batch([m.text for m in made], add_special_tokens=False)
-                masks = [mask_of(c.offsets, [s for s, r in zip(m.spans, m.roles, strict=True) if r in loss_roles]) for m, c in zip(made, coded, strict=True)]
-                yield pa.record_batch(
-                    [
-                        part.column(0), pa.array([len(m.spans) for m in made], pa.int64()), pa.array([m.text for m in made], pa.string()), pa.array([c.ids for c in coded], lists), pa.array(masks, lists),
-                        pa.array([[x for x, _ in c.offsets] for c in coded], lists), pa.array([[y for _, y in c.offsets] for c in coded], lists),
-                    ],
-                    names=["conv_id", "n_turns", "formatted", "ids", "mask", "starts", "ends"],
-                )
+        for batch in sliced(batches, SOME):
+            ids, rows, weight = [], [], 0
+            for conv, turns in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows.append(coded(tokenizer, turns.as_py()))
+                ids.append(conv)
+                weight += len(rows[-1][2])
+                if weight > TOKENS:
+                    yield packed(ids, rows)
+                    ids, rows, weight = [], [], 0
+            if rows:
+                yield packed(ids, rows)
 
     return run
 
@@ -112,11 +133,12 @@ def format_chats(turns: DataFrame, vocabulary: str, id_col: str = "conv_id", tur
     return grouped.mapInArrow(_format(vocabulary, tuple(loss_roles)), _COLUMNS)
 
 
-def masked_text(formatted: str, mask: list[int], starts: list[int], ends: list[int]) -> str:
+def masked_text(formatted: str, mask: Sequence[int], starts: Sequence[int], ends: Sequence[int]) -> str:
     """The text under the mask.  Tokens of one character's bytes share its offsets; it counts once."""
-    out, until = [], 0
-    for keep, a, b in zip(mask, starts, ends, strict=True):
-        if keep and b > until:
-            out.append(formatted[max(a, until) : b])
-            until = b
-    return unescape("".join(out))
+    keep = np.flatnonzero(np.asarray(mask))
+    if not len(keep):
+        return ""
+    at, until = np.asarray(starts)[keep], np.maximum.accumulate(np.asarray(ends)[keep])
+    heads = np.flatnonzero(np.append(True, at[1:] > until[:-1]))  # of runs without a gap
+    tails = np.append(heads[1:], len(keep)) - 1
+    return unescape("".join(formatted[a:b] for a, b in zip(at[heads].tolist(), until[tails].tolist(), strict=True)))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, chat, decontaminate, exact_dedup, hard_negatives, language_id, line_dedup, merkle, mixing, near_dedup, pii, sharding, toxicity
-from quire.llm.common import read
+from quire.llm.common import read, stage
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -68,13 +68,16 @@ EXTRA = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[IN
 
 
 def _chat_digests(batches):
+    """Rows are read one after the other, their lists as arrays: a batch of lists as Python objects takes many times its size."""
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     for batch in batches:
+        ids, texts, *lists = (batch.column(c) for c in ("conv_id", "formatted", "mask", "starts", "ends"))
         out = []
-        for r in batch.to_pylist():
-            turns = chat.parse(r["formatted"])
-            loss = chat.masked_text(r["formatted"], r["mask"], r["starts"], r["ends"])
-            out.append((r["conv_id"], len(turns), sha("".join(f"{role}\n{text}\n" for role, text, _, _ in turns)), len(loss), sha(loss), len(r["formatted"])))
+        for k, conv in enumerate(ids.to_pylist()):
+            formatted = texts[k].as_py()
+            turns = chat.parse(formatted)
+            loss = chat.masked_text(formatted, *(x[k].values.to_numpy() for x in lists))
+            out.append((conv, len(turns), sha("".join(f"{role}\n{text}\n" for role, text, _, _ in turns)), len(loss), sha(loss), len(formatted)))
         if out:
             c = list(zip(*out, strict=True))
             yield pa.record_batch([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2]), pa.array(c[3], pa.int64()), pa.array(c[4]), pa.array(c[5], pa.int64())], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
@@ -84,7 +87,9 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     both = turns.unionByName(spark.createDataFrame(EXTRA, turns.schema))
     formatted = chat.format_chats(both, vocabulary())
-    return formatted.mapInArrow(_chat_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    digests = formatted.mapInArrow(_chat_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    # staged, since only so the batches between the two workers are small; a row is a few hundred bytes
+    return stage(digests, "chats")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,12 @@ import math
 import random
 import re
 import time
+import tracemalloc
 from collections import defaultdict
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -384,6 +386,25 @@ def test_chat_edge_cases(spark):
     assert chat.format_chats(df.limit(0), PATH).count() == 0
 
 
+def test_chat_batches_take_little_memory():
+    """Neither the encodings of many conversations nor their lists stand in a worker as Python objects at once."""
+    text = " ".join(f"w{k % 89}" for k in range(4000))
+    turns = pa.array([[{"turn": 0, "role": "user", "text": "hi"}, {"turn": 1, "role": "assistant", "text": text}]] * 60)
+    batch = pa.record_batch([pa.array(range(60), pa.int64()), turns], names=["conv_id", "turns"])
+    chat._tokenizer(PATH)
+    tracemalloc.start()
+    try:
+        made = list(chat._format(PATH, ("assistant",))(iter([batch])))
+        formatted = pa.Table.from_batches(made).combine_chunks().to_batches()
+        rows = pa.Table.from_batches(queries._chat_digests(iter(formatted))).to_pylist()
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    tokens = sum(len(x) for b in made for x in b.column("ids"))
+    assert len(rows) == 60 and {r["loss_sha256"] for r in rows} == {hashlib.sha256(text.encode()).hexdigest()} and tokens > 400_000
+    assert peak < 60 * tokens  # bytes; lists of all rows at once took several times that
+
+
 # --- sharding ------------------------------------------------------------------
 
 
