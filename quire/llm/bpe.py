@@ -47,13 +47,13 @@ class _Newer(Exception):
 
 
 @lru_cache(maxsize=1)
-def _newer() -> regex.Pattern | None:
+def _newer() -> frozenset[str]:
     """The letters and digits of this process's Unicode tables that the tokenizers library's tables don't know."""
     split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
     every = "".join(map(chr, (*range(0x20, 0xD800), *range(0xE000, 0x110000))))
     recent = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
     odd = [c for c in recent if len(split.pre_tokenize_str("a" + c)) == 2 and len(split.pre_tokenize_str("1" + c)) == 2]
-    return regex.compile("[" + "".join(map(regex.escape, odd)) + "]") if odd else None
+    return frozenset(odd)
 
 
 class Bpe(dict):
@@ -67,8 +67,8 @@ class Bpe(dict):
         self.split_added = regex.compile("(" + "|".join(regex.escape(a) for a in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.pieces = regex.compile(PATTERN)
         self.newer = _newer()
-        if self.newer is not None:
-            odd = self.newer.pattern
+        if self.newer:
+            odd = "[" + "".join(map(regex.escape, sorted(self.newer))) + "]"
             old = PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|{odd})")
             old = old.replace(r"?\p{L}+", rf"?[\p{{L}}--{odd}]+").replace(r"?\p{N}+", rf"?[\p{{N}}--{odd}]+")
             self.old_pieces = regex.compile(old, regex.V1)
@@ -179,7 +179,7 @@ class Bpe(dict):
         if packed is not None:
             self._keep(piece, packed)
             return packed
-        if not piece.isascii() and self.newer is not None and self.newer.search(piece):
+        if not (piece.isascii() or self.newer.isdisjoint(piece)):  # a pattern of that many characters would take longer than the merges
             raise _Newer
         packed = _pack(self.encode_piece(piece))
         if len(piece) <= CACHED_CHARS:

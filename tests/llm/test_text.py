@@ -55,6 +55,21 @@ def test_bpe_decodes_broken_sequences(library):
         assert b.decode(np.array(ids)) == library.decode(ids, skip_special_tokens=False).encode()
 
 
+def test_bpe_takes_no_longer_for_letters_beyond_ascii(library):
+    """Each new piece is looked at for characters that only newer Unicode tables know; that must not outweigh its merges."""
+    b = bpe.load(PATH)
+    took = {}
+    for tail in ("eat", "éàß"):
+        rng = random.Random(tail)
+        words = ["".join(rng.choices("aeilnorst", k=7)) + tail for _ in range(4000)]
+        b.encode(" ".join(words[:1000]))
+        start = time.process_time()
+        ids = b.encode(" ".join(words[1000:]))
+        took[tail] = time.process_time() - start
+        assert ids.tolist() == library.encode(" ".join(words[1000:]), add_special_tokens=False).ids
+    assert took["éàß"] < 3 * took["eat"], took
+
+
 def test_op2(spark, library):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     rows = queries.op2_bpe(spark, DATA).collect()
