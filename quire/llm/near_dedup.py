@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -176,26 +177,35 @@ def components(links: DataFrame) -> DataFrame:
         unstage(edges)
         edges = fresh
         if now == mark:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            out = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            out._quire_path = edges._quire_path
+            return out
         mark = now
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
 
-    Sets are made anew, where the texts are read, for documents that may be in a pair; texts don't shuffle.  Pairs of sets
-    are compared row by row in the JVM: as Arrow batches, they would take memory there and in the workers.
+    Sets are made anew, where the texts are read, for documents that may be in a pair; texts don't shuffle.
     """
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     wanted = among(docs, "doc_id", ids, ids.count()).where("__q_in").select("doc_id", "text")
     sets = stage(wanted.mapInArrow(_sets(width), "id long, shingles array<long>"), "sets")
-    rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    sized = rows.select("a", "b", (F.size("x") + F.size("y")).cast("long").alias("sum"), F.size(F.array_intersect("x", "y")).cast("long").alias("same"))
-    links = stage(sized.where(F.col("same") * (100 + percent) >= F.col("sum") * percent).select("a", "b"), "links")
+    links = _alike(pairs, sets, percent)
     unstage(sets)
     return links
 
 
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union of their ``sets`` (id, shingles).
+
+    Pairs of sets are compared row by row in the JVM: as Arrow batches, they would take memory there and in the workers.
+    """
+    rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    sized = rows.select("a", "b", (F.size("x") + F.size("y")).cast("long").alias("sum"), F.size(F.array_intersect("x", "y")).cast("long").alias("same"))
+    return stage(sized.where(F.col("same") * (100 + percent) >= F.col("sum") * percent).select("a", "b"), "links")
+
+
 def _labelled(rows: DataFrame, grouped: DataFrame) -> DataFrame:
     """rows (doc_id, ...) plus comp: the component found so far."""
     return rows.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
@@ -214,31 +224,38 @@ def _again(shared: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
     top = stage(top.select("band", F.col("top.comp").alias("most"), F.col("top.one.a").alias("a"), F.col("top.one.na").alias("na"), "members"), "tops")
     met = join_sized(rows, top, ["band"], "members", rows.count()).where("comp <> most").where(F.least("n", "na") * 100 >= F.greatest("n", "na") * percent)
     pairs = stage(met.select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
-    unstage(rows)
+    for t in (rows, top):
+        unstage(t)
     return pairs
 
 
-def _across(near: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+def _marked_sets(near: DataFrame, source: DataFrame, width: int) -> DataFrame:
+    """(id, shingles, bits) of the documents in ``near``: read once, for their meetings and for the links among those that meet."""
+    ids = near.select("doc_id").distinct()
+    wanted = among(source, "doc_id", ids, ids.count()).where("__q_in").select("doc_id", "text")
+    return stage(wanted.mapInArrow(_shingles(width), "id long, shingles array<long>, bits array<long>").dropDuplicates(["id"]), "shingles")
+
+
+def _across(near: DataFrame, source: DataFrame, width: int, percent: int, sets: DataFrame | None = None) -> DataFrame:
     """Candidate pairs (a, b) among the rows (a, doc_id, n, comp) of ``near`` that share ``a`` and differ in comp: by prefix filter.
 
     Inside a group the shingles of a set are ranked from rare to frequent.  Sets x and y, x the smaller, with
     100 * intersection >= p * union share one of the first n_x - ceil(2p n_x / (100 + p)) + 1 shingles of x and the first
     n_y - ceil(p n_y / 100) + 1 of y; that is exact.  Shingles of a template that a whole group has rank last, so its
     documents meet only where they are alike beyond it.  Of those that meet, pairs go on that their places in the ranking
-    and their bitmaps allow to be alike, both exact bounds.
+    and their bitmaps allow to be alike, both exact bounds.  ``sets``: those of ``_marked_sets``, if made already.
     """
-    ids = near.select("doc_id").distinct()
-    wanted = among(source, "doc_id", ids, ids.count()).where("__q_in").select("doc_id", "text")
-    sets = stage(wanted.mapInArrow(_shingles(width), "id long, shingles array<long>, bits array<long>").dropDuplicates(["id"]), "shingles")
-    tokens = stage(near.join(sets.drop("bits"), F.col("doc_id") == F.col("id")).select("a", "doc_id", "n", "comp", F.explode("shingles").alias("t")), "tokens")
+    sets = _marked_sets(near, source, width) if sets is None else sets
+    tokens = stage(near.join(sets.drop("bits"), F.col("doc_id") == F.col("id")).select("a", "doc_id", "n", "comp", F.size("shingles").alias("m"), F.explode("shingles").alias("t")), "tokens")
     often = stage(tokens.groupBy("a", "t").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("a", "t", "df"), "often")
-    # a shingle that only one component has can't be shared across components, but it takes a place in the prefix
-    counted = join_sized(tokens, often, ["a", "t"], "df", tokens.count(), how="left")
-    ranked = counted.withColumn("k", F.row_number().over(Window.partitionBy("a", "doc_id").orderBy(F.coalesce("df", F.lit(0)), "t")))
+    # a shingle that only one component has can't be shared across components: it meets nothing, but it takes one of the first places in the prefix
+    counted = join_sized(tokens, often, ["a", "t"], "df", tokens.count())
+    of = Window.partitionBy("a", "doc_id")
+    ranked = counted.withColumn("k", (F.col("m") - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("df", "t"))).cast("int"))
     long = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    first = ranked.where((F.col("k") <= long) & F.col("df").isNotNull()).select("a", "t", "doc_id", "n", "comp", "k")
+    first = ranked.where(F.col("k") <= long).select("a", "t", "doc_id", "n", "comp", "k")
     prefix = stage(first.join(sets.select("id", "bits"), F.col("doc_id") == F.col("id")).drop("id"), "prefix")
-    for t in (sets, tokens):
+    for t in (tokens, often):
         unstage(t)
     return _met(prefix, percent)
 
@@ -268,7 +285,11 @@ def _met(prefix: DataFrame, percent: int) -> DataFrame:
     # alike sets differ in (100 - p) / (100 + p) * (x + y) shingles at most
     differ = sum((F.bit_count(F.col("p.bits")[i].bitwiseXOR(F.col("q.bits")[i])) for i in range(BITMAP // 64)), F.lit(0))
     alike = differ * (100 + percent) <= (xn + yn) * (100 - percent)
-    return p.join(q, met & once & short & fits & room & alike).select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b")).distinct()
+    pairs = p.join(q, met & once & short & fits & room & alike).select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b")).distinct()
+    pairs = stage(pairs, "pairs")
+    for t in (top, rows):
+        unstage(t)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -286,6 +307,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     it shares no band, with a probability of MISS at most (banding()); more similar pairs less often, and a lost pair
     only counts where no other links join its documents.
     """
+    return _decided(docs, id_col, text_col, width, percent)[0]
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The result of ``near_duplicates``, and the staged tables that it still reads; all others are deleted as soon as they have been read."""
     bands, rows = banding(percent)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sigs = stage(source.mapInArrow(_signatures(width, bands, rows), _SIGNED), "signatures")
@@ -295,8 +321,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = sigs.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     members = stage(reps.select("doc_id", "n", F.explode("bands").alias("band")), "members")
     sizes = stage(members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    shared = stage(join_sized(members, sizes, ["band"], "size", members.count()), "shared")
+    # nearly all bands have one class only; these don't shuffle again
+    total = members.count()
+    again = stage(among(members, "band", sizes.select("band"), sizes.count()).where("__q_in").drop("__q_in"), "members")
     unstage(members)
+    shared = stage(join_sized(again, sizes, ["band"], "size", total), "shared")
+    for t in (again, sizes):
+        unstage(t)
     # the class that meets the most others is nearest to what a bucket's classes were copied from
     met = shared.groupBy("doc_id").agg(F.sum("size").alias("met"))
     center = F.max(F.struct(F.col("met"), (-F.col("doc_id")).alias("id"), F.col("n").alias("na"))).alias("c")
@@ -305,35 +336,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = stage(join_sized(shared, buckets, ["band"], "members", shared.count()).where(F.col("doc_id") != F.col("a")).select("a", "na", "doc_id", "n").distinct(), "near")
     unstage(buckets)
     star = near.where(F.least("n", "na") * 100 >= F.greatest("n", "na") * percent).select("a", F.col("doc_id").alias("b"))
-    links = _linked(stage(star, "pairs"), source, width, percent)
-    final = components(links)
+    pairs = stage(star, "pairs")
+    links = [_linked(pairs, source, width, percent)]
+    final = components(links[0])
+    unstage(pairs)
     pairs = _again(shared, final, percent)
     if not pairs.isEmpty():
-        links = links.unionByName(_linked(pairs, source, width, percent))
-        final = components(links)
-    unstage(shared)
+        links.append(_linked(pairs, source, width, percent))
+        unstage(final)
+        final = components(links[0].unionByName(links[1]))
+    for t in (pairs, shared):
+        unstage(t)
     labelled = stage(_labelled(near.select("a", "doc_id", "n"), final), "labelled")
+    unstage(near)
     mixed = labelled.groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("a", "members")
     mixed = stage(mixed, "mixed")
     # the center has been compared with all the others
-    rest = stage(_across(join_sized(labelled, mixed, ["a"], "members", labelled.count()).drop("members"), source, width, percent), "pairs")
-    if not rest.isEmpty():
-        final = components(links.unionByName(_linked(rest, source, width, percent)))
-    for t in (near, labelled):
+    left = join_sized(labelled, mixed, ["a"], "members", labelled.count()).drop("members")
+    sets = _marked_sets(left, source, width)
+    pairs = _across(left, source, width, percent, sets)
+    for t in (labelled, mixed):
+        unstage(t)
+    if not pairs.isEmpty():
+        links.append(_alike(pairs, sets, percent))
+        unstage(final)
+        final = components(reduce(DataFrame.unionByName, links))
+    for t in (pairs, sets, *links):
         unstage(t)
     # the classes that have copies or links; every other document is its own component
     known = classes.join(final, F.col("rep") == F.col("node"), "left").where("copies > 1 OR component IS NOT NULL").select("h1", "h2", "n", F.coalesce("component", "rep").alias("group"), "copies")
     known = stage(known, "known")
+    for t in (classes, final):
+        unstage(t)
     plain = sigs.select("doc_id", "n", "h1", "h2")
     found = join_sized(plain.where(some), known, ["h1", "h2", "n"], "copies", sigs.count(), how="left").drop("copies").select("doc_id", "n", "group")
     found = found.unionByName(plain.where(f"NOT ({some}) OR doc_id IS NULL").select("doc_id", "n", F.lit(None).cast("long").alias("group")))
     group = F.coalesce("group", "doc_id")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(group == F.col("doc_id"), F.lit(True)).alias("kept"))
+    decided = found.select("doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(group == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return decided, [sigs, known]
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The documents of ``docs`` that stay, with its columns: of each group the one with the smallest id.  A row with a null id stays."""
-    gone = stage(near_duplicates(docs, id_col, text_col, width, percent).where("NOT kept").select(F.col("doc_id").alias("__q_gone")).distinct(), "gone")
+    decided, read = _decided(docs, id_col, text_col, width, percent)
+    gone = stage(decided.where("NOT kept").select(F.col("doc_id").alias("__q_gone")).distinct(), "gone")
+    for t in read:
+        unstage(t)
     tested = among(docs, id_col, gone, gone.count())
     passed = tested.where("NOT __q_in").drop("__q_in")
     # only rows that may go are shuffled

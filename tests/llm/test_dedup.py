@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import defaultdict
@@ -261,3 +262,25 @@ def test_meetings_equal_all_pairs(spark):
                     want.add((min(x[2], y[2]), max(x[2], y[2])))
     got = {tuple(r) for r in near_dedup._met(near_dedup.stage(df, "prefix"), 80).collect()}
     assert got == want and len(want) > 20
+
+
+def test_texts_are_read_three_times_for_sets_at_most(spark, monkeypatch):
+    """Star, second look and meetings each read the texts of their documents; links among those that meet take the sets of the meetings."""
+    reads, real = [], near_dedup.among
+    monkeypatch.setattr(near_dedup, "among", lambda rows, *more, **named: (reads.append("text" in rows.columns), real(rows, *more, **named))[1])
+    pair = lambda *_: near_dedup.stage(spark.createDataFrame([(0, 1)], "a long, b long"), "pairs")
+    monkeypatch.setattr(near_dedup, "_again", pair)
+    monkeypatch.setattr(near_dedup, "_met", pair)
+    rows = template_rows(12, 2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()}
+    assert got == brute_components(rows, 4) and sum(reads) <= 3
+
+
+def test_tables_that_are_not_read_any_more_are_deleted(spark):
+    from quire.llm import common
+
+    before = set(os.listdir(common._root(spark))) if os.path.isdir(common._root(spark)) else set()
+    rows = template_rows(12, 2)
+    kept = near_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), width=4)
+    assert {t.split("-")[0] for t in set(os.listdir(common._root(spark))) - before} == {"gone"}
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in brute_components(rows, 4).items() if c == i}
