@@ -82,6 +82,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = left.where(F.col("__q_hot").isNull() | F.col(id_col).eqNullSafe(F.col("__q_hot_keep"))).drop("__q_hot", "__q_hot_keep")
     keep = groups.select(F.col("__q_sha").alias("__q_s2"), "__q_keep")
     met = left.join(keep, F.col("__q_s") == F.col("__q_s2"), "left")
-    passed = met.where("__q_s2 IS NULL").select(*docs.columns)  # the filter passes a little too much
-    best = met.where(F.col("__q_s2").isNotNull() & F.col(id_col).eqNullSafe(F.col("__q_keep"))).dropDuplicates(["__q_s"]).select(*docs.columns)
-    return single.unionByName(passed).unionByName(best)
+    # the filter passes a little too much: a text without a group occurs once, so it stays as its own only row
+    stay = met.where(F.col("__q_s2").isNull() | F.col(id_col).eqNullSafe(F.col("__q_keep"))).dropDuplicates(["__q_s"]).select(*docs.columns)
+    return single.unionByName(stay)

@@ -284,3 +284,10 @@ def test_tables_that_are_not_read_any_more_are_deleted(spark):
     kept = near_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), width=4)
     assert {t.split("-")[0] for t in set(os.listdir(common._root(spark))) - before} == {"gone"}
     assert {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in brute_components(rows, 4).items() if c == i}
+
+
+def test_rows_that_may_be_copies_shuffle_once(spark):
+    texts = [(k, f"text {k % 7}" if k < 40 else f"own {k}") for k in range(60)]
+    kept = exact_dedup.drop_copies(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 4  # one with the hot groups, one with all, and the filter twice
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(33, 60)]
