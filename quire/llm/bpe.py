@@ -18,7 +18,7 @@ from tokenizers import pre_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import sliced
+from quire.llm.common import give_back, sliced
 
 #: Fixed value: the split of byte-level tokenizers.  Letters stand first, being most frequent; no other branch can start with one.
 PATTERN = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -72,48 +72,44 @@ class Bpe(dict):
             old = PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|{odd})")
             old = old.replace(r"?\p{L}+", rf"?[\p{{L}}--{odd}]+").replace(r"?\p{N}+", rf"?[\p{{N}}--{odd}]+")
             self.old_pieces = regex.compile(old, regex.V1)
-        self.pair_rank: dict[tuple[int, int], int] = {}
-        self.made_of: dict[int, tuple[int, int]] = {}
-        self.made_at: dict[int, int] = {}
+        # arrays by token and pairs as one number: objects in each of them would take several times the memory, in every worker
+        most = self.most = max([-1, *vocab.values(), *added.values()]) + 1
+        self.pair_rank: dict[int, int] = {}
+        self.made_of = (array("i", [-1]) * most, array("i", [-1]) * most)
+        self.made_at = array("q", [_NEVER]) * most
         for rank, (a, b) in enumerate(merges):
             x, y, z = vocab[a], vocab[b], vocab[a + b]
-            self.pair_rank.setdefault((x, y), rank)
-            if z not in self.made_of:
-                self.made_of[z], self.made_at[z] = (x, y), rank
+            self.pair_rank.setdefault(x * most + y, rank)
+            if self.made_at[z] == _NEVER:
+                self.made_of[0][z], self.made_of[1][z], self.made_at[z] = x, y, rank
         texts = {i: raw(t) for t, i in vocab.items() if all(c in value for c in t) and t not in added}
         table = texts | {i: raw(a) if all(c in value for c in a) else a.encode() for a, i in added.items()}
         self.match = ahocorasick.Automaton()
         for i, t in texts.items():
-            if len(t) == 1 or i in self.made_of:
+            if len(t) == 1 or self.made_at[i] < _NEVER:
                 self.match.add_word(t.decode("latin-1"), i)
         self.match.make_automaton()
-        self.size = {i: len(t) for i, t in texts.items()}
+        self.size = array("i", [0]) * most
         # of each token the longest other token that it starts with, or -1
-        of = {t: i for i, t in texts.items() if len(t) == 1 or i in self.made_of}
-        self.shorter = {i: next((of[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in of), -1) for i, t in texts.items()}
-        most = max(table, default=-1) + 1
+        self.shorter = array("i", [-1]) * most
+        of = {t: i for i, t in texts.items() if len(t) == 1 or self.made_at[i] < _NEVER}
+        for i, t in texts.items():
+            self.size[i] = len(t)
+            self.shorter[i] = next((of[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in of), -1)
         sizes = np.zeros(most, np.int64)
         for i, t in table.items():
             sizes[i] = len(t)
         self.sizes, self.starts = sizes, np.concatenate([[0], np.cumsum(sizes)])[:-1]
         self.blob = np.frombuffer(b"".join(table.get(i, b"") for i in range(most)), np.uint8)
-        self._left: dict[int, list[tuple[int, int]]] = {}
-        self._right: dict[int, list[tuple[int, int]]] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self.older: dict[str, bytes] = {}
 
-    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
+    def _spine(self, token: int, side: int) -> Iterator[tuple[int, int]]:
         """The parts of a token that touch its left (0) or right (1) edge, each with the rank at which it becomes part of more."""
-        memo = self._right if side else self._left
-        if token not in memo:
-            out, at, until = [], token, _NEVER
-            while True:
-                out.append((at, until))
-                if at not in self.made_of:
-                    break
-                until, at = self.made_at[at], self.made_of[at][side]
-            memo[token] = out
-        return memo[token]
+        until, part, made = _NEVER, self.made_of[side], self.made_at
+        while token >= 0:
+            yield token, until
+            until, token = made[token], part[token]
 
     def fits(self, a: int, b: int) -> bool:
         """The pair-compatibility table, filled as asked: would the merges leave tokens a, b side by side as they are?
@@ -121,17 +117,18 @@ class Bpe(dict):
         They would not if some pair of parts that meet at the seam merges before either part is used up.  Of pairs
         of equal rank the left one merges first.
         """
-        known = self._fits.get((a, b))
+        known = self._fits.get(a * self.most + b)
         if known is None:
             known = True
+            right = list(self._spine(b, 0))
             for x, x_until in self._spine(a, 1):
-                for y, y_until in self._spine(b, 0):
-                    rank = self.pair_rank.get((x, y))
+                for y, y_until in right:
+                    rank = self.pair_rank.get(x * self.most + y)
                     if rank is not None and rank < x_until and rank <= y_until:
                         known = False
             if len(self._fits) > 260_000:
                 self._fits.clear()
-            self._fits[a, b] = known
+            self._fits[a * self.most + b] = known
         return known
 
     def encode_piece(self, piece: str) -> list[int]:
@@ -142,7 +139,7 @@ class Bpe(dict):
         text = piece.encode().decode("latin-1")
         if not text:
             return []
-        n, sizes, shorter, known = len(text), self.size, self.shorter, self._fits
+        n, sizes, shorter, known, most = len(text), self.size, self.shorter, self._fits, self.most
         out: list[int] = []
         dead: set[int] = set()
         at, last, matches, follows = 0, -1, self.match.iter_long(text), True
@@ -152,7 +149,7 @@ class Bpe(dict):
                 if at + sizes[token] not in dead:
                     if last < 0:
                         break
-                    ok = known.get((last, token))
+                    ok = known.get(last * most + token)
                     if ok or (ok is None and self.fits(last, token)):
                         break
                 token, follows = shorter[token], False
@@ -193,6 +190,12 @@ class Bpe(dict):
             self.clear()
         self[piece] = packed
 
+    def forget(self) -> None:
+        """Drops the pieces and pairs met so far: a worker that goes on to other work would hold them idle."""
+        for met in (self, self.older, self._fits):
+            met.clear()
+        give_back()
+
     def _packed(self, text: str) -> bytes:
         try:
             return b"".join(map(self.__getitem__, self.pieces.findall(text)))
@@ -241,6 +244,7 @@ def _encode(path: str):
                 if weight > 8_000_000 or row == len(texts) - 1:
                     yield pa.record_batch([batch.column(0)[n_rows : row + 1], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
                     ids, n_rows, weight = [], row + 1, 0
+        bpe.forget()
 
     return run
 
@@ -280,6 +284,7 @@ def _digests(path: str):
                 a.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     return run
 

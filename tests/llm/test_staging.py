@@ -3,6 +3,7 @@
 import pyarrow as pa
 import pytest
 
+from quire.llm import common
 from quire.llm.common import stage
 
 KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -37,3 +38,17 @@ def test_the_setting_comes_back_after_a_failure(spark, setting):
 def test_a_staged_table_is_not_written_again(spark):
     rows = stage(spark.range(3).toDF("id"), "rows")
     assert stage(rows, "rows") is rows
+
+
+def test_a_worker_gives_back_what_it_no_longer_uses(monkeypatch):
+    """Once, after the last batch: free memory of a worker that waits for its next task still counts as the executor's."""
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(True))
+    batch = pa.record_batch([pa.array(range(2500))], names=["n"])
+    sizes = []
+    for x in common.sliced(iter([batch, batch])):
+        assert not given
+        sizes.append(x.num_rows)
+    assert sizes == [1000, 1000, 500] * 2 and given == [True]
+    monkeypatch.undo()
+    common.give_back()

@@ -90,6 +90,23 @@ def test_bpe_edge_cases(spark, odd, none):
     assert bpe.encode(none, PATH).count() == 0
 
 
+def test_bpe_tables_are_small_and_go_with_a_partition(library):
+    """Workers outlive a stage: what one keeps counts against its executor in all stages that follow."""
+    bpe._newer()
+    tracemalloc.start()
+    b = bpe.load.__wrapped__(PATH)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 22_000_000, held
+    text = "words that aren't in one token, naïveté 12345"
+    assert b.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    b, batch = bpe.load(PATH), pa.record_batch([pa.array([1, 2]), pa.array([text, None])], names=["doc_id", "text"])
+    for run in (bpe._encode(PATH), bpe._digests(PATH)):
+        rows = [r for x in run(iter([batch])) for r in x.to_pylist()]
+        assert [r["doc_id"] for r in rows] == [1, 2]
+        assert not b and not b.older and not b._fits
+
+
 # --- language ------------------------------------------------------------------
 
 
