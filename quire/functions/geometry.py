@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Limits of merging.
 GROWTH, ROW_SLACK, OVERLAP, GAP = 2.4, 6.0, 0.8, 3.0
+#: Width of a character in font sizes; exact, so that its product with a decimal size is.
+CHAR_WIDTH = Decimal("0.92")
 
 
 def _zero(c: Column) -> Column:
@@ -62,7 +66,7 @@ def center_y(r: Column) -> Column:
 
 
 def chars_per_line(r: Column, font_pt: Column) -> Column:
-    return F.greatest(F.lit(4.0), F.greatest(F.lit(8.0), r["x1"] - r["x0"]) / F.greatest(font_pt * 0.92, F.lit(1.0)))
+    return F.greatest(F.lit(4.0), F.greatest(F.lit(8.0), r["x1"] - r["x0"]) / F.greatest(font_pt * F.lit(CHAR_WIDTH), F.lit(1.0)))
 
 
 def line_step(font_pt: Column, leading_em: Column) -> Column:
@@ -85,9 +89,11 @@ def text_demand_units(text: Column) -> Column:
     words = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*"), F.lit(0))
     gaps = F.regexp_extract_all(text, F.lit(r"\s+"), F.lit(0))
     rest = F.regexp_replace(F.regexp_replace(text, r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*", ""), r"[\s一-鿿]", "")
-    sized = F.aggregate(words, F.lit(0.0), lambda acc, w: acc + F.greatest(F.lit(1.0), F.length(w) * 0.55))
-    spaced = F.aggregate(gaps, F.lit(0.0), lambda acc, w: acc + F.greatest(F.lit(0.2), F.length(w) * 0.25))
-    return sized + spaced + n("[一-鿿]") + F.length(rest) * 0.45
+    # in whole hundredths: a sum of fractions would go astray, and a line more be needed for it
+    none = F.lit(0).cast("long")
+    sized = F.aggregate(words, none, lambda acc, w: acc + F.greatest(F.lit(100), F.length(w) * 55))
+    spaced = F.aggregate(gaps, none, lambda acc, w: acc + F.greatest(F.lit(20), F.length(w) * 25))
+    return (sized + spaced + n("[一-鿿]") * 100 + F.length(rest) * 45) / 100
 
 
 def formula_discount(units: Column) -> Column:

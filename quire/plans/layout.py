@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ def ocr_block_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capacity_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, font, lead = box(), F.lit(10.0), F.lit(0.4)
+    r, font, lead = box(), F.lit(Decimal("10.0")), F.lit(0.4)
     rows = items(spark, sf_dir).withColumn("demand", G.text_demand_units(F.col("text")))
     return rows.select(
         "item_id", F.round(G.box_capacity_units(r, font, lead), 4).alias("capacity"), F.round("demand", 4).alias("demand"),
