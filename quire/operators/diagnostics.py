@@ -13,6 +13,7 @@ STATUSES = ("translated", "partially_translated", "kept_origin", "failed")
 ALLOWED_ROUTES = ("fast_path_keep_origin",)
 ALLOWED_REASONS = ("code", "keep_origin", "no_trans", "skip_display_formula", "skip_model_keep_origin")
 SLOW_MS, SLOW_SAMPLES = 30000, 12
+PERCENTILES = (0.5, 0.9, 0.95)
 TIMEOUTS = ("ReadTimeout", "ConnectTimeout", "Timeout")
 OCR_STAGES = ("ocr_upload", "ocr_processing", "ocr_result_ready", "normalizing")
 TRANSLATE_STAGES = ("translation_prepare", "translating", "translation_batches", "continuation_review", "page_policies", "domain_inference", "garbled_repair")
@@ -87,11 +88,25 @@ def route_summary(rows: DataFrame) -> DataFrame:
 
 
 def latency_summary(rows: DataFrame, keys: list[str], value: str = "latency_ms") -> DataFrame:
-    """count, min, p50, p90, p95, max, mean: percentiles interpolate linearly and round to whole numbers (halves to even)."""
-    v = F.col(value)
-    p = F.percentile(v, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
-    agg = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("min"), p.alias("p"), F.max(v).alias("max"), F.round(F.avg(v), 2).alias("mean"))
-    return agg.select(*keys, "n", "min", *[F.bround(F.col("p")[i]).cast("long").alias(f"p{q}") for i, q in enumerate((50, 90, 95))], "max", "mean")
+    """count, min, p50, p90, p95, max, mean: percentiles interpolate linearly and round to whole numbers (halves to even).
+
+    Values are counted before they are put in order.  A percentile between two values is low * (1 - d) + high * d with the first product not
+    rounded, as SQL's quantile_cont has it: that decides where it lies half way between two whole numbers.
+    """
+    v, to = F.col("__v"), F.col("__to")
+    counted = rows.groupBy(*keys, F.col(value).alias("__v")).agg(F.count(value).alias("__c"))
+    w = Window.partitionBy(*keys)
+    placed = counted.withColumn("__to", F.sum("__c").over(w.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.sum("__c").over(w))
+    place = lambda q: (F.col("__n") - 1) * F.lit(q)
+    ends = [F.min(F.when(to > edge(place(q)), v)).alias(f"{name}{k}") for k, q in enumerate(PERCENTILES) for edge, name in ((F.floor, "__low"), (F.ceil, "__high"))]
+    agg = placed.groupBy(*keys, "__n").agg(F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v.cast("double") * F.col("__c")).alias("__sum"), *ends)
+
+    def percentile(k: int) -> Column:
+        low, high, d = F.col(f"__low{k}").cast("double"), F.col(f"__high{k}").cast("double"), place(PERCENTILES[k]) - F.floor(place(PERCENTILES[k]))
+        return F.when(low.isNotNull(), F.reflect(F.lit("java.lang.Math"), F.lit("fma"), low, 1 - d, high * d).cast("double"))
+
+    mean = F.round(F.col("__sum") / F.col("__n") * 100) / 100
+    return agg.select(*keys, F.col("__n").alias("n"), "min", *[F.bround(percentile(k)).cast("long").alias(f"p{round(q * 100)}") for k, q in enumerate(PERCENTILES)], "max", mean.alias("mean"))
 
 
 def latency_outliers(rows: DataFrame, keys: list[str], floor_ms: int = SLOW_MS, value: str = "latency_ms") -> DataFrame:

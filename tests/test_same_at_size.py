@@ -30,3 +30,9 @@ def test_capacity_of_lines_that_fit_to_the_unit(same):
     out = same("capacity_units", "documents", list(enumerate(texts)), DOCUMENT).set_index("item_id")
     assert out.loc[0, "demand"] == 612.5 and out.loc[0, "n_lines"] == 23
     assert out.loc[1000000, "demand"] == 39.2 and out.loc[1000000, "n_lines"] == 2
+
+
+def test_percentiles_that_lie_half_way(same):
+    # nine tenths of the way from one value of a user to the other lie at a whole number and a half
+    rows = [(k, None, u, "view", (v + 0.5) / 300, '{"k": 1}') for k, (u, v) in enumerate((u, v) for u in range(20) for v in (407, 582 + 20 * u))]
+    same("latency_percentiles", "events", rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
