@@ -16,8 +16,10 @@ from pyspark.sql.types import StructType
 
 from quire.operators.store import live_stage
 
-#: Fixed value: sources that a term remembers.
+#: Fixed value: sources of a term that are shown.
 SOURCES = 8
+#: Of sources without a place, which come last.
+NO_PLACE = 2**63 - 1
 
 
 def source(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 16) -> DataFrame:
@@ -66,18 +68,21 @@ def _latest(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
 
 
 def _remember(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    hits, sources = state.get if state.exists else (0, [])
-    sources = list(sources)
+    """Adds a batch's rows of a term, which come in any order and in parts, to its state: hits, and where each source came first."""
+    hits, sources, places = state.get if state.exists else (0, [], [])
+    first = dict(zip(sources, places, strict=True))
     for part in parts:
-        for s in part.sort_values("at")["source"]:
-            hits += 1
-            if s and s not in sources:
-                sources = [*sources, s][-SOURCES:]
-    state.update((hits, sources))
-    yield pd.DataFrame([[*key, hits, ",".join(sources)]], columns=["job", "term", "hits", "sources"])
+        hits += len(part)
+        for s, at in part.groupby("source")["at"].min().items():
+            if s:
+                at = NO_PLACE if pd.isna(at) else int(at)
+                first[s] = min(at, first.get(s, at))
+    names = sorted(first, key=lambda s: (first[s], s))
+    state.update((hits, names, [first[s] for s in names]))
+    yield pd.DataFrame([[*key, hits, ",".join(names[-SOURCES:])]], columns=["job", "term", "hits", "sources"])
 
 
 def term_memory(occurrences: DataFrame, folder: str) -> DataFrame:
-    """(job, term, hits, sources) folded as occurrences (job, term, source, at) arrive; the state of a term is one row."""
-    made = occurrences.groupBy("job", "term").applyInPandasWithState(_remember, "job string, term string, hits long, sources string", "hits long, sources array<string>", "update", GroupStateTimeout.NoTimeout)
+    """(job, term, hits, sources) folded as occurrences (job, term, source, at) arrive, in whatever order: sources by their first place, the newest ``SOURCES`` shown.  The state of a term is one row, with one entry for each source."""
+    made = occurrences.groupBy("job", "term").applyInPandasWithState(_remember, "job string, term string, hits long, sources string", "hits long, sources array<string>, places array<long>", "update", GroupStateTimeout.NoTimeout)
     return _latest(made, ["job", "term"], folder)
