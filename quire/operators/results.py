@@ -75,10 +75,10 @@ def force_mixed_literal(c: Column, bodylike: Column) -> Column:
 
 
 def force_body(c: Column, bodylike: Column, grouped: Column, with_formulas: Column) -> Column:
-    """Body prose that has to be translated: 8 words, 6 in a group, 5 with formulas."""
+    """Body prose that has to be translated: 8 words, 6 in a group, 5 with formulas.  Whether it is code is asked of what its placeholders leave."""
     words = T.english_word_count(T.strip_placeholders(c))
     least = F.when(grouped, 6).when(with_formulas, 5).otherwise(8)
-    return bodylike & (F.trim(F.coalesce(c, F.lit(""))) != "") & ~T.is_code_literal(c) & ~T.is_garbled(c) & ~T.is_short_fragment(c) & (words >= least) & T.is_english_prose(c)
+    return bodylike & (F.trim(F.coalesce(c, F.lit(""))) != "") & ~T.is_garbled(c) & ~T.is_short_fragment(c) & (words >= least) & T.is_english_prose(c)
 
 
 def is_no_translation_code(c: Column) -> Column:

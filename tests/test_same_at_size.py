@@ -67,3 +67,12 @@ def test_parts_of_one_batch_come_in_any_order():
     assert state.get[1:] == (["b", "a", "c", "z"], [1, 3, 7, live.NO_PLACE])
     [late] = live._remember(("j", "t"), iter([part(*[(f"s{k}", 20 + k) for k in range(6)]), part(("c", 0))]), state)
     assert late.values.tolist() == [["j", "t", 13, "a,s0,s1,s2,s3,s4,s5,z"]]
+
+
+@pytest.mark.parametrize("name", ["results_canonical", "results_applied", "stream_flush"])
+def test_copy_that_only_its_placeholder_makes_code(same, name):
+    # five of eleven tokens are code with the placeholder, four of ten without it: prose, so the copy isn't kept
+    text = "Anthnt$$$ enthor,%%% the&&& to%%% of%%% thth*** eshe,### hest*** reesen$$$ annted."
+    out = same(name, "documents", [(0, "\n".join(["a line"] * 30 + [text]))], DOCUMENT)
+    status = out[out["unit_id"] == "0-30"]["final_status"]
+    assert set(status) == {"translated"}
