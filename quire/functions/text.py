@@ -89,8 +89,8 @@ _URL_LIKE = URL_LIKE.replace(r"\.)+[A-Za-z]{2,}", r"\.)++[A-Za-z]{2,}")
 _EN_CHUNK = EN_CHUNK.replace("]*)*", "]*+)*+")
 _HEADING_START = HEADING_START.replace(r"(?:\.\d+)*", r"(?:\.\d+)*+")
 _AUTHOR_START = AUTHOR_START.replace(r"(?:[A-Z]\.\s*)+", r"[A-Z]\.")  # one initial decides
-#: Unicode white space.
-SPACES = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Unicode white space.  Java tests the single characters by one table, and the others only where they can be.
+SPACES = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
 #: A token with an operator or underscore (as in an indexed symbol), in capitals, or with both a letter and a digit (as in a float).
 CODEISH = r"(?<!\S)(?:(?=\S*[(){}\[\]=*<>+/,;:_])|(?=[A-Z][A-Z0-9_.-]{3,}(?!\S))|(?=\S*[A-Za-z])(?=\S*\d))\S+"
 
@@ -201,7 +201,7 @@ def normalize_reference_heading(c: Column, clean: bool = False) -> Column:
 
 
 def is_reference_heading(c: Column, clean: bool = False) -> Column:
-    low = F.lower(_clean(c, clean))
+    low = F.lower(_text(c))
     return _after(_any([low.contains(x) for x in ("reference", "bibliography", "cited")]), normalize_reference_heading(c, clean).isin(*REFERENCE_HEADINGS))
 
 
@@ -236,10 +236,9 @@ def is_email_fragment(c: Column) -> Column:
 
 def is_short_copyright_tail(c: Column, clean: bool = False) -> Column:
     t = _clean(c, clean)
-    low = F.lower(t)
-    signal = _any([low.contains(x) for x in COPYRIGHT_SIGNALS])
-    disclaimer = _any([low.contains(x) for x in DISCLAIMERS])
-    return _after(F.length(t).between(1, 220), _after(signal & ~disclaimer, t.rlike(_COPYRIGHT_TAIL) & (_count(t, EN_WORD) <= 32)))
+    # the lower-case text is made once
+    signal = F.exists(F.array(F.lower(t)), lambda low: _any([low.contains(x) for x in COPYRIGHT_SIGNALS]) & ~_any([low.contains(x) for x in DISCLAIMERS]))
+    return _after(F.length(t).between(1, 220), _after(signal, t.rlike(_COPYRIGHT_TAIL) & (_count(t, EN_WORD) <= 32)))
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -265,9 +264,10 @@ def is_code_literal(c: Column, clean: bool = False) -> Column:
     codeish = _count(t, CODEISH) >= F.when(loop, 2).otherwise(F.greatest(F.lit(3), F.floor(n / 2)))
     upper = _chars(t, r"\P{Lu}") / F.greatest(F.lit(1), alpha_count(t))
     dense = (_signs(t, "(){}[]=*<>+/,;:") >= F.greatest(F.lit(6), F.floor(F.length(t) / 18))) | (natural_word_count(t) <= 4) | ((upper >= 0.55) & ~t.rlike(_PROSE_CUE))
-    # the least number of such tokens, by the signs, digits and capitals that each of them needs
-    signs = F.length(F.regexp_replace(t, r"[^(){}\[\]=*<>+/,;:_0-9A-Z]+", ""))
-    likely = F.greatest(F.lit(2), F.least(F.lit(3), F.floor(n / 2))) <= signs
+    # the least number of such tokens, by the signs, digits and capitals that each of them needs; a loop has an equals sign.  Java tests
+    # single characters of a class by one table, ranges one by one
+    signs = F.length(F.regexp_replace(t, r"[^(){}\[\]=*<>+/,;:_0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ]+", ""))
+    likely = F.when(t.contains("="), 2).otherwise(F.greatest(F.lit(3), F.floor(n / 2))) <= signs
     return _after((F.length(t) >= 24) & n.between(2, 64), _after(likely, _after(codeish, ~t.rlike(r"[一-鿿]") & (loop | dense))))
 
 
@@ -294,7 +294,8 @@ def is_garbled(c: Column) -> Column:
 def is_cjk_dominant(c: Column, clean: bool = False) -> Column:
     t = _clean(c, clean)
     cjk = zh_char_count(t)
-    return (F.length(t) >= 16) & (cjk >= F.greatest(F.lit(10), 2 * _chars(t, "[^A-Za-z]"), 2 * _count(t, EN_WORD)))
+    # ten such characters have twenty bytes more than characters; few texts come to the patterns
+    return _after((F.length(t) >= 16) & (F.octet_length(t) - F.length(t) >= 20), _after(cjk >= 10, cjk >= F.greatest(2 * _chars(t, "[^A-Za-z]"), 2 * _count(t, EN_WORD))))
 
 
 def is_author_list(c: Column) -> Column:

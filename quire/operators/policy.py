@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators.outputs import let
 
 #: Labels that a model may give, and that mean "keep the original".
 MODEL_KEEPS = ("code", "no_trans", "keep_origin", "skip_model_keep_origin")
@@ -35,18 +36,32 @@ def model_label(label: Column, existing: Column, grouped: Column, bodylike: Colu
     return F.when(~settled & label.isNotNull() & (label != "translate") & ~refused, mapped)
 
 
+def content_labels(rows: DataFrame, metadata_pages: int = 8, metadata: bool = True) -> DataFrame:
+    """Adds content_label, what apply_policies() says of a text by itself: metadata fragment (first pages only), CJK source, code; else empty.
+
+    ``rows``: text, page_idx, kind, is_bodylike.  Where it is added before a cutoff is joined, texts don't shuffle.
+    """
+    first = F.col("page_idx") <= metadata_pages if metadata else F.lit(False)
+
+    # by a lambda: as one expression of the stage's code, the rules make a method that the JVM doesn't compile
+    def decide(t: Column) -> Column:
+        return F.when(F.when(first, T.is_hard_metadata(t, clean=True)).otherwise(False), "skip_metadata_fragment").when(T.is_cjk_dominant(t, clean=True), "skip_cjk_source_body").when(
+            (F.col("kind") == "code") | F.when(F.col("is_bodylike"), T.is_code_literal(t, clean=True)).otherwise(False), "code").otherwise("")
+
+    return rows.withColumn("content_label", let(T.normalize_text(F.col("text")), decide))
+
+
 def apply_policies(rows: DataFrame, metadata_pages: int = 8, reference_tail: bool = True, metadata: bool = True, titles: bool = True) -> DataFrame:
     """Adds label and should_translate.  Order: title, reference tail, metadata fragment (first pages only), CJK source, code, forced literal.
 
-    ``rows``: text, page_idx, block_idx, cutoff_page, cutoff_block, is_title_like, kind, is_bodylike.  A flag turns its rule off.
+    ``rows``: text, page_idx, block_idx, cutoff_page, cutoff_block, is_title_like, kind, is_bodylike; or content_label in place of text, kind and is_bodylike.  A flag turns its rule off.
     """
-    c = F.col("text")
+    if "content_label" not in rows.columns:
+        rows = content_labels(rows, metadata_pages, metadata)
+        return apply_policies(rows, metadata_pages, reference_tail, metadata, titles).drop("content_label")
     tail = at_or_after(F.col("page_idx"), F.col("block_idx"), F.col("cutoff_page"), F.col("cutoff_block"))
     on = lambda flag, cond: cond if flag else F.lit(False)
-    label = (
-        F.when(on(titles, F.col("is_title_like")), "skip_title").when(on(reference_tail, tail), "skip_reference_tail").when(on(metadata, (F.col("page_idx") <= metadata_pages) & T.is_hard_metadata(c)), "skip_metadata_fragment")
-        .when(T.is_cjk_dominant(c), "skip_cjk_source_body").when((F.col("kind") == "code") | (F.col("is_bodylike") & T.is_code_literal(c)), "code").otherwise("")
-    )
+    label = F.when(on(titles, F.col("is_title_like")), "skip_title").when(on(reference_tail, tail), "skip_reference_tail").otherwise(F.col("content_label"))
     return rows.withColumn("label", label).withColumn("should_translate", F.col("label") == "")
 
 

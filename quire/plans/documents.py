@@ -97,12 +97,14 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.html_blocks(table(spark, sf_dir, "pages"))
 
 
-def _policed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _policed(spark: SparkSession, sf_dir: str, *more: F.Column) -> DataFrame:
+    """Lines with their labels.  ``more``: what else of a line is needed; texts stay behind."""
     rows = items(spark, sf_dir).withColumn("block_idx", F.col("line_no"))
     heading = T.is_reference_heading(F.col("text"))
     cut = D.reference_cutoff(rows, "doc_id", heading & (F.col("line_no") > 1))
-    rows = rows.join(cut, "doc_id", "left").withColumns({"is_title_like": F.col("layout_role") == "title", "kind": F.lit("text"), "is_bodylike": F.col("layout_role") != "title"})
-    return P.apply_policies(rows)
+    rows = P.content_labels(rows.withColumns({"is_title_like": F.col("layout_role") == "title", "kind": F.lit("text"), "is_bodylike": F.col("layout_role") != "title"}))
+    rows = rows.select("doc_id", "page_idx", "block_idx", "is_title_like", "content_label", *more)
+    return P.apply_policies(rows.join(cut, "doc_id", "left"))
 
 
 def policies_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +112,8 @@ def policies_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _policed(spark, sf_dir).withColumns({"translated_text": F.when(F.col("line_no") % 3 == 0, F.col("text")), "final_status": F.when(F.col("label").startswith("skip_"), "kept_origin")})
+    """Of a translated text only counts that there is one, so its first sign stands for it."""
+    rows = _policed(spark, sf_dir, F.when(F.col("line_no") % 3 == 0, F.left(F.trim("text"), F.lit(1))).alias("translated_text")).withColumn("final_status", F.when(F.col("label").startswith("skip_"), "kept_origin"))
     return P.page_summaries(rows, "doc_id", "page_idx")
 
 
